@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .quality import OP8_SQL, op8_quality_rules
+from .sharding import op6_sharding
+from .topk import OP1_SQL, op1_topk_search
+from .urls import OP5_SQL, op5_url_filters
 
 
 def queries() -> dict:
-    return {"op8_quality_rules": op8_quality_rules}
+    return {"op1_topk_search": op1_topk_search, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op8_quality_rules": op8_quality_rules}
 
 
 def oracle_sql() -> dict:
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op5_url_filters": OP5_SQL, "op8_quality_rules": OP8_SQL}
