@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from .bpe import op3_byte_bpe
 from .quality import OP8_SQL, op8_quality_rules
+from .secrets import op10_secret_scans
 from .sharding import op6_sharding
 from .topk import OP1_SQL, op1_topk_search
 from .urls import OP5_SQL, op5_url_filters
 
 
 def queries() -> dict:
-    return {"op1_topk_search": op1_topk_search, "op3_byte_bpe": op3_byte_bpe, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op8_quality_rules": op8_quality_rules}
+    return {"op1_topk_search": op1_topk_search, "op3_byte_bpe": op3_byte_bpe, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op8_quality_rules": op8_quality_rules, "op10_secret_scans": op10_secret_scans}
 
 
 def oracle_sql() -> dict:
