@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_byte_bpe
+from .jaccard import OP7_SQL, op7_jaccard_join
 from .packing import op9_packing
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op10_secret_scans
@@ -12,8 +13,8 @@ from .urls import OP5_SQL, op5_url_filters
 
 
 def queries() -> dict:
-    return {"op1_topk_search": op1_topk_search, "op3_byte_bpe": op3_byte_bpe, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_secret_scans": op10_secret_scans}
+    return {"op1_topk_search": op1_topk_search, "op3_byte_bpe": op3_byte_bpe, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_secret_scans": op10_secret_scans}
 
 
 def oracle_sql() -> dict:
-    return {"op1_topk_search": OP1_SQL, "op5_url_filters": OP5_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op1_topk_search": OP1_SQL, "op5_url_filters": OP5_SQL, "op7_jaccard_join": OP7_SQL, "op8_quality_rules": OP8_SQL}
