@@ -8,12 +8,13 @@ from .packing import op9_packing
 from .quality import OP8_SQL, op8_quality_rules
 from .secrets import op10_secret_scans
 from .sharding import op6_sharding
+from .suffixes import op2_suffix_dedup
 from .topk import OP1_SQL, op1_topk_search
 from .urls import OP5_SQL, op5_url_filters
 
 
 def queries() -> dict:
-    return {"op1_topk_search": op1_topk_search, "op3_byte_bpe": op3_byte_bpe, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_secret_scans": op10_secret_scans}
+    return {"op1_topk_search": op1_topk_search, "op2_suffix_dedup": op2_suffix_dedup, "op3_byte_bpe": op3_byte_bpe, "op5_url_filters": op5_url_filters, "op6_sharding": op6_sharding, "op7_jaccard_join": op7_jaccard_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_secret_scans": op10_secret_scans}
 
 
 def oracle_sql() -> dict:
