@@ -11,7 +11,8 @@ The prefix ends when the counts reach m; two linked sets then have a signature i
 Nodes that share a signature are joined to the least of them (a star), never to each other: so rows
 grow with the signatures.  A star's family holds all its candidate pairs; large families are cut into blocks,
 each pair of blocks a unit of work.  Upper bounds on the overlap from hash histograms take out pairs that
-can't link; what is left is verified on the exact sets, and linked nodes become components.
+can't link.  The components of what is left are clusters: a node's set is sent to its cluster alone, where the
+exact overlaps are counted, and linked nodes become components.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .shingles import shingle_sets
 FREQUENT_LEAST, FREQUENT_MOST = 64, 1 << 16
 #: A batch reports shingles held by one in so many of its documents.
 LOCAL_SHARE = 1000
-#: Buckets of a set's histogram.
-HISTOGRAM = 128
+#: A set's histogram has a power of two of buckets, about one for so many shingles, and no fewer than the second number.
+BUCKET_SHINGLES, BUCKETS_LEAST = 8, 64
 #: Members of a family that are compared in one unit; larger families are cut.
 BLOCK = 512
 #: Sets from which sub-classes are used; below, all shingles count as rare.
@@ -68,12 +69,19 @@ def node_of(tokens: np.ndarray) -> bytes:
 
 
 def histogram(tokens: np.ndarray) -> bytes:
-    counts = np.bincount((tokens & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+    """Shingles by the low bits of their hash."""
+    size = max(BUCKETS_LEAST, 1 << (len(tokens) // BUCKET_SHINGLES).bit_length())
+    counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
     if counts.max(initial=0) > 65_535:
         counts[:] = 65_535  # too large a set to bound: it passes every time
     return counts.astype("<u2").tobytes()
 
 
+def folded(counts: np.ndarray, size: int) -> np.ndarray:
+    """The histogram of fewer buckets (a power of two)."""
+    return np.minimum(counts.astype(np.int64).reshape(-1, size).sum(0), 65_535) if len(counts) != size else counts
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, m: Measure) -> np.ndarray:
     """Signature hashes of one sorted token set."""
     n = len(tokens)
@@ -236,9 +244,7 @@ def groups_of(whole: pa.Table, key: list[str]) -> Iterator[tuple[int, int]]:
     begins = np.zeros(n, bool)
     begins[0] = True
     for k in key:
-        column = whole.column(k).combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        codes = column.dictionary_encode().indices.to_numpy()
+        codes = whole.column(k).chunk(0).dictionary_encode().indices.to_numpy()
         begins[1:] |= codes[1:] != codes[:-1]
     at = np.flatnonzero(begins)
     yield from zip(at.tolist(), [*at[1:].tolist(), n], strict=True)
@@ -247,52 +253,68 @@ def groups_of(whole: pa.Table, key: list[str]) -> Iterator[tuple[int, int]]:
 UNIT = ["leader", "a", "b"]
 
 
-def bound_pairs(measure: Measure):
-    """Of each unit, the members that may link with another, numbered by component of possible links."""
+def possible_links(measure: Measure):
+    """Of each unit, the pairs whose bound lets them link, as stars (u, v) of their components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_groups(batches, UNIT, 20_000):
-            sizes = whole.column("n").to_numpy()
-            rows, parts = [], []
-            bound = whole.column("histogram").combine_chunks()
-            data, _ = buffers(bound.chunk(0) if isinstance(bound, pa.ChunkedArray) else bound)
-            counts = data.view("<u2").reshape(-1, HISTOGRAM)
+            sizes, members = whole.column("n").to_numpy(), whole.column("member")
+            rows, heads = [], []
+            data, at = buffers(whole.column("histogram").chunk(0))
             for low, high in groups_of(whole, UNIT):
                 if high - low < 2:
                     continue
                 order = low + np.argsort(sizes[low:high], kind="stable")
-                n, h = sizes[order], counts[order]
+                n = sizes[order]
+                h = [data[at[k] : at[k + 1]].view("<u2") for k in order]
                 ends = np.searchsorted(n, measure.den * n // measure.num, "right")
                 parent = list(range(len(order)))
+                size = 0
                 for i in range(len(order) - 1):
                     if ends[i] > i + 1:
-                        most = np.minimum(h[i], h[i + 1 : ends[i]]).sum(1, dtype=np.int64)
+                        if len(h[i]) != size or reach < ends[i]:  # as many buckets as the smaller set has
+                            size, begin, reach = len(h[i]), i, max(int(ends[i]), int(np.searchsorted(n, 2 * n[i])))
+                            level = np.array([folded(x, size) for x in h[begin:reach]], np.uint16)
+                        most = np.minimum(level[i - begin], level[i + 1 - begin : ends[i] - begin]).sum(1, dtype=np.int64)
                         for j in np.flatnonzero(measure.links(most, n[i], n[i + 1 : ends[i]])):
                             parent[find(parent, i + 1 + int(j))] = find(parent, i)
-                roots = np.array([find(parent, k) for k in range(len(order))])
-                some = np.bincount(roots, minlength=len(order))[roots] > 1
-                rows += order[some].tolist()
-                parts += roots[some].tolist()
+                for k in range(len(order)):
+                    if (r := find(parent, k)) != k:
+                        rows.append(int(order[k]))
+                        heads.append(int(order[r]))
             if rows:
-                found = whole.take(pa.array(rows))
-                found = pa.table({**{k: found.column(k) for k in (*UNIT, "member")}, "part": pa.array(parts, pa.int32())})
-                yield from found.combine_chunks().to_batches()
+                yield pa.RecordBatch.from_arrays([members.take(pa.array(rows)).combine_chunks(), members.take(pa.array(heads)).combine_chunks()], names=["u", "v"])
 
     return run
 
 
+def units_of(members: DataFrame, group: str, size: int) -> DataFrame:
+    """Cut the groups of (group, member) rows into blocks of ``size``: a row for each unit (leader, a, b) the member is in.
+
+    A unit holds a pair of blocks, so all pairs of a group meet; groups up to the size are one unit.
+    """
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > size)
+    sizes = materialize(sizes.select(F.col(group).alias("_l"), F.ceil(F.col("size") / size).cast("int").alias("blocks")), "shingle-large-groups")
+    units = members.join(sizes, F.col(group) == F.col("_l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    units = units.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return units.select(F.col(group).alias("leader"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "member")
+
+
 def shingle_rows(measure: Measure):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches, "text"):
-            sets = [s for s in shingle_sets(*buffers(rows.column(rows.schema.get_field_index("text"))), measure.k) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+            sets = shingle_sets(*buffers(rows.column("text")), measure.k)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("units"), pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["units", "member", "tokens"],
+            )
 
     return run
 
 
 def verify(measure: Measure):
-    """Links of each part, as stars of its components; every pair of sizes that fit is counted exactly."""
-    key = [*UNIT, "part"]
+    """Links of each unit, as stars of its components; every pair of sizes that fit is counted exactly."""
 
     def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n = np.array([len(s) for s in sets])
@@ -318,10 +340,10 @@ def verify(measure: Measure):
         return [(int(order[k]), int(order[r])) for k in range(len(order)) if (r := find(parent, k)) != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, key):
+        for whole in whole_groups(batches, UNIT):
             nodes, tokens = whole.column("member").to_pylist(), whole.column("tokens")
             u, v = [], []
-            for low, high in groups_of(whole, key):
+            for low, high in groups_of(whole, UNIT):
                 distinct = {nodes[k]: k for k in range(low, high)}
                 if len(distinct) < 2:
                     continue
@@ -335,7 +357,7 @@ def verify(measure: Measure):
 
 
 def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
+    """doc_id, n_shingles, component_id, text_hash and root (the component's least node; null without shingles) of every row.
 
     Null text is empty.  Sets without shingles link with nothing: their component is their own doc_id.  A
     component's id is its smallest doc_id; rows with a null doc_id take part, and get their component's id, which is
@@ -356,38 +378,36 @@ def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
     stars = packed.repartition(buckets, "bucket").mapInArrow(star_rows, "leader binary, member binary")
     stars = materialize(stars.distinct(), "shingle-stars")
     members = stars.unionByName(stars.select("leader", F.col("leader").alias("member")).distinct())
-    sizes = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= BLOCK)
-    sizes = materialize(sizes.select(F.col("leader").alias("_l"), F.ceil((F.col("size") + 1) / BLOCK).cast("int").alias("blocks")), "shingle-families")
-    units = members.join(sizes, F.col("leader") == F.col("_l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    units = units.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    units = units.select("leader", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "member")
+    units = units_of(members, "leader", BLOCK)
     units = units.join(nodes.select(F.col("node").alias("_n"), "n", "histogram"), F.col("member") == F.col("_n")).drop("_n")
     units = units.repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
-    parts = materialize(units.mapInArrow(bound_pairs(measure), "leader binary, a int, b int, member binary, part int"), "shingle-parts")
+    clusters = components(units.mapInArrow(possible_links(measure), "u binary, v binary"))
+    clusters = materialize(clusters.withColumnRenamed("node", "member"), "shingle-clusters")
 
-    wanted = parts.select("member").distinct().join(nodes, F.col("member") == F.col("node")).select("sample.doc_id", "sample.text_hash")
-    wanted = materialize(wanted.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "shingle-wanted")
+    wanted = units_of(clusters, "root", BLOCK).groupBy("member").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
+    wanted = wanted.join(nodes.select("node", "sample"), F.col("member") == F.col("node"))
+    wanted = materialize(wanted.select(F.col("sample.doc_id").alias("_d"), F.col("sample.text_hash").alias("_h"), "units"), "shingle-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    of_wanted = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
-    tokens = materialize(of_wanted.select("text").mapInArrow(shingle_rows(measure), "node binary, tokens binary"), "shingle-tokens")
-    exact = parts.join(tokens, F.col("member") == F.col("node")).drop("node").repartition(buckets, *UNIT, "part").sortWithinPartitions(*UNIT, "part")
+    of_wanted = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
+    tokens = of_wanted.select("text", "units").mapInArrow(shingle_rows(measure), "units array<struct<leader:binary, a:int, b:int>>, member binary, tokens binary")
+    exact = tokens.select(F.explode("units").alias("u"), "member", "tokens").select("u.*", "member", "tokens")
+    exact = exact.repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
     roots = materialize(components(exact.mapInArrow(verify(measure), "u binary, v binary")), "shingle-roots")
 
     ids = nodes.select("node", F.col("doc_id").alias("own_id"))
     named = roots.withColumnRenamed("node", "_n")
     of_node = ids.join(named, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "own_id")
     least = of_node.groupBy("root").agg(F.min("own_id").alias("component_id")).withColumnRenamed("root", "_r")
-    final = materialize(of_node.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "component_id"), "shingle-components")
-    out = found.where("kind = 0").select("doc_id", "node", "n").join(final, F.col("node") == F.col("_n"), "left")
+    final = materialize(of_node.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "root", "component_id"), "shingle-components")
+    out = found.where("kind = 0").select("doc_id", "text_hash", "node", "n").join(final, F.col("node") == F.col("_n"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", "root")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Measure(4, 85, 100))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), Measure(4, 85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = r"""
