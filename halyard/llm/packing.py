@@ -12,6 +12,8 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -27,9 +29,10 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Rests that are partitioned together, on average.
 BLOCK_RESTS = 1024
-SLICE = 8 << 20
+SLICE = 12 << 20
+LETTER_THEN_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)"
 #: Distinct words whose ids a Python worker remembers.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 600_000
 
 
 class WordIds:
@@ -40,31 +43,46 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.starts, self.lengths, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def forget(self) -> None:
+        """Keep the words that were met again since they were learned."""
+        names = list(self.known)
+        kept = np.flatnonzero(self.hits[: len(names)] > 1)
+        if 2 * len(kept) > MEMORY_WORDS:
+            kept = kept[:0]
+        lengths = self.lengths[kept]
+        ids = self.ids[take_ranges(self.starts[kept], lengths)]
+        self.ids, self.used = np.concatenate([ids, np.zeros(1 << 16, np.int32)]), len(ids)
+        self.starts = np.concatenate([np.cumsum(lengths) - lengths, np.zeros(1 << 12, np.int64)])
+        self.lengths = np.concatenate([lengths, np.zeros(1 << 12, np.int64)])
+        self.hits = np.concatenate([np.ones(len(kept), np.int64), np.zeros(1 << 12, np.int64)])
+        self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
 
     def learn(self, words: list[str]) -> None:
         for begin in range(0, len(words), 10_000):
             some = words[begin : begin + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                end = self.used + len(ids)
-                if end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
-                self.ids[self.used : end] = ids
-                self.known[word] = len(self.starts)
-                self.starts.append(self.used)
-                self.lengths.append(len(ids))
-                self.used = end
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            fresh = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+            if (end := self.used + len(fresh)) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(fresh)), np.int32)])
+            n = len(self.known)
+            if n + len(some) > len(self.starts):
+                self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros(max(len(x), len(some)), np.int64)]) for x in (self.starts, self.lengths, self.hits))
+            self.ids[self.used : end] = fresh
+            self.lengths[n : n + len(some)] = lengths
+            self.starts[n : n + len(some)] = self.used + np.cumsum(lengths) - lengths
+            self.known.update(zip(some, range(n, n + len(some)), strict=True))
+            self.used = end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and offsets of the texts (one more than there are texts)."""
-        lists = pc.ascii_split_whitespace(texts)
+        # a token never spans a letter and the punctuation after it, so words are met more often when cut there
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)  # as the tokenizer will
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, LETTER_THEN_MARK, r"\1 \2"))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
         bounds -= bounds[0]
@@ -73,7 +91,8 @@ class WordIds:
             self.forget()
         self.learn([w for w in words if w not in self.known])
         index = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        starts, lengths = np.array(self.starts, np.int64)[index], np.array(self.lengths, np.int64)[index]
+        self.hits[index] += 1
+        starts, lengths = self.starts[index], self.lengths[index]
         at = coded.indices.to_numpy()
         lengths = lengths[at] if len(at) else np.zeros(0, np.int64)
         ids = self.ids[take_ranges(starts[at] if len(at) else lengths, lengths)]
@@ -128,7 +147,7 @@ def difference(sizes: list[int], ways: int) -> list[list[int]]:
             # a's sets at ways-1-j face b's set j, so b's first ``meet`` sets face a's last ones
             joined = [(a[ways - 1 - j][0] + b[j][0], (a[ways - 1 - j][1], b[j][1])) for j in range(ways - len(a), len(b))]
             union = a[: ways - len(b)] + joined + b[: ways - len(a)]
-        union.sort(key=lambda x: -x[0])
+        union.sort(key=itemgetter(0), reverse=True)
         spread = union[0][0] - (union[-1][0] if len(union) == ways else 0)
         heapq.heappush(heap, (-spread, stamp, union))
         stamp += 1
