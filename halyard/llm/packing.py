@@ -22,17 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table, take_ranges
+from .common import materialize, slices, small_batches, table, take_ranges
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Rests that are partitioned together, on average.
 BLOCK_RESTS = 1024
-SLICE = 12 << 20
+SLICE = 6 << 20
 LETTER_THEN_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)"
+#: Words that the tokenizer takes as one text; it cuts at blanks, so each is encoded as if alone.
+JOINED_WORDS = 100
 #: Distinct words whose ids a Python worker remembers.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 300_000
 
 
 class WordIds:
@@ -61,12 +63,21 @@ class WordIds:
         self.hits = np.concatenate([np.ones(len(kept), np.int64), np.zeros(1 << 12, np.int64)])
         self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and how many each has; many go through the tokenizer as one text."""
+        texts = [" ".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        coded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)  # in code points, with a blank after each
+        before = np.concatenate([[0], ends])[0 : len(words) : JOINED_WORDS]
+        counts = [len(e) for e in coded]
+        starts = np.fromiter(chain.from_iterable(map(itemgetter(0), e.offsets) for e in coded), np.int64, len(ids))
+        return ids, np.bincount(np.searchsorted(ends, starts + np.repeat(before, counts), "right"), minlength=len(words))
+
     def learn(self, words: list[str]) -> None:
         for begin in range(0, len(words), 10_000):
             some = words[begin : begin + 10_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            fresh = np.fromiter(chain.from_iterable(found), np.int32, int(lengths.sum()))
+            fresh, lengths = self.encode_words(some)
             if (end := self.used + len(fresh)) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(fresh)), np.int32)])
             n = len(self.known)
@@ -89,8 +100,14 @@ class WordIds:
         words = coded.dictionary.to_pylist()
         if len(self.known) > MEMORY_WORDS:
             self.forget()
-        self.learn([w for w in words if w not in self.known])
-        index = np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        found = list(map(self.known.get, words))
+        new = [k for k, i in enumerate(found) if i is None]
+        if new:
+            n = len(self.known)
+            self.learn([words[k] for k in new])
+            for i, k in enumerate(new, n):
+                found[k] = i
+        index = np.array(found, np.int64)
         self.hits[index] += 1
         starts, lengths = self.starts[index], self.lengths[index]
         at = coded.indices.to_numpy()
@@ -197,6 +214,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
     Null text is empty: a piece of the end id alone.  Rows with a null or repeated doc_id are documents of their
     own.  Windows are near-equal within a block, and no id is dropped or repeated.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     fields = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(cut_into_pieces(path, window, with_ids), fields), "pieces")
