@@ -5,10 +5,14 @@ windows have equal anchors at equal offsets.  Anchors seen once can't lie in a r
 pieces of the text are cut (68 bytes before the anchor to 100 from it), which hold all windows with that
 anchor, and pieces of one anchor meet in one shard.
 
-Shards.  Copies of a piece are settled at once: all but the first are repeats.  Of what differs, a shard
-builds a suffix array by Larsson-Sadakane refinement (ranks by 8 bytes, then doubled, only groups that
-aren't sorted yet), takes common prefixes as Kasai does along each piece, and cuts the array into runs of
-suffixes with 100 bytes in common: all but a run's first window are repeats.
+Copies.  Pieces that agree in anchor and hash (128 bits in all) are settled without their bytes: all but the first
+are repeats.  Only anchors with different pieces go on, with the first of each.
+
+Shards.  The pieces of a shard, led by their anchor, are two texts of eight-byte symbols: from the anchor on, and
+from it back.  A suffix array of each by Larsson-Sadakane refinement (ranks by a symbol, then doubled, only groups that
+aren't sorted yet) brings an anchor's pieces together, in order of what follows and of what precedes, and Kasai's common
+prefixes tell how far neighbours agree.  Windows are equal when they hold the anchor at the same offset and no neighbours in
+between agree for too short a way on either side: all but the first of such a class are repeats.
 
 Hot anchors are dealt over several shards.  Their shards pass on what is first in them, sorted, and
 these lists are merged by binary search, by a longer gram.
@@ -21,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize, mix, partitions, slices, table, take_ranges, text_or_empty
+from .common import buffers, discard, materialize, mix, partitions, releasing, slices, small_batches, table, take_ranges, text_or_empty, whole_groups
 
 SPAN = 100
 GRAM = 32
@@ -32,6 +37,8 @@ BEFORE = SPAN - GRAM
 WIDTH = BEFORE + SPAN
 #: Occurrences of an anchor that one shard takes.
 HOT = 2048
+#: Pieces in a shard, as far as whole anchors allow.
+SHARD_PIECES = 20_000
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 #: No byte of UTF-8.
@@ -64,7 +71,7 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows that lie within a text."""
+    """Positions of the anchors of all windows that lie within a text, and the hashes of all grams."""
     n = len(data)
     if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -77,27 +84,40 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     padded = np.zeros(len(h) + BEFORE, np.uint64)
     padded[BEFORE : BEFORE + len(least)] = least
     found = np.flatnonzero(sliding(padded, BEFORE + 1, np.maximum) == h)
-    return found, h[found]
+    return found, h
+
+
+def piece_hashes(data: np.ndarray, at: np.ndarray, h: np.ndarray, found: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces round anchors: of six grams that cover one, or of its bytes where the text ends within."""
+    first, last = np.maximum(at[who], found - BEFORE), np.minimum(at[who + 1], found + SPAN)
+    whole = last - first == WIDTH
+    out = np.zeros(len(found), np.uint64)
+    p = found[whole]
+    x = h[p - BEFORE].copy()
+    for shift in (GRAM - BEFORE, 2 * GRAM - BEFORE, 3 * GRAM - BEFORE, 4 * GRAM - BEFORE, SPAN - GRAM):
+        x = mix(x * _A + h[p + shift])
+    out[whole] = x
+    body = data.tobytes()
+    for i in np.flatnonzero(~whole).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(body[first[i] : last[i]], digest_size=8, salt=int(found[i] - first[i]).to_bytes(2, "little")).digest(), "little")
+    return out
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of a byte array in order, by refinement of the groups that aren't sorted yet."""
+    """Suffixes of an array of symbols in order, by refinement of the groups that aren't sorted yet."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    begins = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    group = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    order = np.argsort(text, kind="stable")
+    ordered = text[order]
+    begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    rank[order] = group
-    h = 8
+    rank[order] = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    h = 1
     while True:
         alone = begins & np.concatenate([begins[1:], [True]])
         slots = np.flatnonzero(~alone)
         if not len(slots):
-            break
+            return order
         some = order[slots]
         first, second = rank[some], rank[np.minimum(some + h, n)]
         inner = np.lexsort((second, first))  # groups keep their slots; members are sorted within
@@ -107,43 +127,74 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         begins[slots] = fresh
         rank[some] = slots[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
         h *= 2
-    return order
 
 
-def common_prefixes(text: np.ndarray, before: np.ndarray, starts: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """Kasai's common prefixes with the preceding suffix, at most ``most``, for runs of positions.
+def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Kasai's common prefixes of suffixes with the preceding ones in order, for counts[r] positions from starts[r] on.
 
-    ``before[p]`` is the suffix that precedes p in order (-1: none).  Run r takes counts[r] positions from starts[r]
-    on, and all runs advance together: a prefix is at most one shorter than that of the position before.
+    All runs advance together; a prefix is at most one shorter than that of the position before.
     """
-    padded = np.concatenate([text, np.zeros(most + 16, np.uint8)])
-    load = np.ndarray((len(text) + most + 8,), "<u8", padded, strides=(1,))
-    out = np.zeros(len(text), np.int16)
-    active = np.flatnonzero(counts > 0)
-    held = np.zeros(len(counts), np.int64)
-    step = 0
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    out, held = np.zeros(n, np.int64), np.zeros(len(counts), np.int64)
+    active, step = np.flatnonzero(counts > 0), 0
     while len(active):
         p = starts[active] + step
         q = before[p]
-        h = np.maximum(held[active] - 1, 0)
-        h[q < 0] = 0
-        going = np.flatnonzero((q >= 0) & (h < most))
+        h = np.where(q < 0, 0, np.maximum(held[active] - 1, 0))
+        going = np.flatnonzero(q >= 0)
         while len(going):
-            x = load[p[going] + h[going]] ^ load[q[going] + h[going]]
-            same = x == 0
-            low = x & (~x + np.uint64(1))
-            h[going] += np.where(same, 8, np.log2(np.where(same, 1, low).astype(np.float64)).astype(np.int64) // 8)
-            going = going[same & (h[going] < most)]
-        h = np.minimum(h, most)
+            a, b = p[going] + h[going], q[going] + h[going]
+            going, a, b = (x[(a < n) & (b < n)] for x in (going, a, b))
+            same = text[a] == text[b]
+            going = going[same]
+            h[going] += 1
         out[p], held[active] = h, h
         step += 1
         active = active[counts[active] > step]
     return out
 
 
+def neighbours(anchor: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of (anchor, bytes), and how many bytes each has in common with the one before: -1 across anchors.
+
+    Only the first ``lengths`` bytes of a row count.
+    """
+    m, width = matrix.shape
+    symbols = -(-width // 8)
+    body = np.full((m, symbols * 8), STOP, np.uint8)
+    body[:, :width] = matrix
+    body[np.arange(symbols * 8) >= lengths[:, None]] = STOP
+    words = body.view(">u8").astype(np.uint64)
+    text = np.empty((m, symbols + 2), np.uint64)
+    text[:, 0], text[:, 1:-1] = anchor, words
+    text[:, -1] = np.uint64(0xFFFE << 48) + np.arange(m, dtype=np.uint64)  # an end of its own: no word begins with these bytes
+    flat = text.ravel()
+    array = suffix_array(flat)
+    starts = np.arange(m) * (symbols + 2)
+    prefix = common_prefixes(flat, array, starts, np.full(m, symbols + 1))
+    order = array[array % (symbols + 2) == 0] // (symbols + 2)
+    order = order[np.argsort(anchor[order], kind="stable")]
+    agree = prefix[starts[order]] - 1  # without the anchor; rows of one anchor are neighbours in the array
+    change = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+    agree[change] = -1
+    inner = np.flatnonzero(~change)
+    x = np.zeros(m, np.uint64)
+    at = np.minimum(agree[inner], symbols - 1)
+    x[inner] = words[order[inner], at] ^ words[order[inner - 1], at]
+    common = np.zeros(m, np.int64)
+    for k in range(1, 8):  # leading bytes in common of the first words that differ
+        common += (x >> np.uint64(64 - 8 * k)) == 0
+    common = np.where(agree >= symbols, symbols * 8, agree * 8 + common)
+    common[inner] = np.minimum(common[inner], np.minimum(lengths[order[inner]], lengths[order[inner - 1]]))
+    common[change] = -1
+    return order, common
+
+
 def deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Anchors of each slice packed by bucket; texts that equal an earlier one of the slice go by as copies (bucket -1)."""
-    for rows in slices(batches, "text"):
+    for rows in slices(batches, "text", 1 << 20):
         ks, hs = rows.column("k").to_numpy(), rows.column("h").to_numpy()
         data, at = buffers(rows.column("text"))
         lengths = np.diff(at)
@@ -156,73 +207,180 @@ def deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordB
                 alive[d] = False
                 if ks[d] != ks[first]:
                     copies.append(d)
-        found, hashes = anchors(data, at)
+        found, h = anchors(data, at)
         who = np.searchsorted(at, found, "right") - 1
-        keep = alive[who]
-        found, hashes, who = found[keep], hashes[keep], who[keep]
+        found, who = found[alive[who]], who[alive[who]]
+        hashes, pieces = h[found], piece_hashes(data, at, h, found, who)
         bucket = (mix(hashes.copy()) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        out = [(-1, b"", b"", b"", np.stack([ks[copies], hs[copies]], 1).astype("<i8").tobytes())] if copies else []
+        keys = np.stack([ks, hs, lengths], 1).astype("<i8")
+        out = [(-1, b"", b"", b"", b"", keys[copies].tobytes())] if copies else []
         for b in np.flatnonzero(np.diff(cuts)):
             some = order[cuts[b] : cuts[b + 1]]
             mine, local = np.unique(who[some], return_inverse=True)
             place = (found[some] - at[who[some]]).astype("<u4")
-            out.append((int(b), hashes[some].tobytes(), local.astype("<u4").tobytes(), place.tobytes(), np.stack([ks[mine], hs[mine]], 1).astype("<i8").tobytes()))
+            out.append((int(b), hashes[some].tobytes(), pieces[some].tobytes(), local.astype("<u4").tobytes(), place.tobytes(), keys[mine].tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "hashes", "who", "places", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "hashes", "pieces", "who", "places", "docs"])
 
 
-def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By document, the anchors that occur twice or more: (place u4, ways u4, hash u8) packed; and the copies."""
-    parts, copies = [], []
+NEEDED = [("place", "<u4"), ("ways", "<u4"), ("hash", "<u8")]
+
+
+def by_document(k: np.ndarray, h: np.ndarray, records: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Keys of the documents and the bytes of their records, some thousands at a time."""
+    if not len(k):
+        return
+    order = np.lexsort((h, k))
+    k, h, records = k[order], h[order], records[order]
+    at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
+    raw, size = records.tobytes(), records.itemsize
+    ends = np.concatenate([at[1:], [len(k)]])
+    for i in range(0, len(at), 20_000):
+        a, b = at[i : i + 20_000], ends[i : i + 20_000]
+        yield k[a], h[a], [raw[x * size : y * size] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+PARCEL = "to int, k binary, h binary, needed_sizes binary, needed binary, spans_sizes binary, spans binary, copied binary"
+
+
+def parcels(k, h, needed: list[bytes], spans: list[bytes], copied: bool, groups: int) -> Iterator[pa.RecordBatch]:
+    """What was found about documents, packed by group of documents: a row a group, whatever the number of documents."""
+    k, h = np.asarray(k, np.int64), np.asarray(h, np.int64)
+    to = (mix(k.view(np.uint64) ^ mix(h.view(np.uint64).copy())) % np.uint64(groups)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(groups + 1))
+    out = []
+    for g in np.flatnonzero(np.diff(cuts)).tolist():
+        some = order[cuts[g] : cuts[g + 1]]
+        row = [g, k[some].tobytes(), h[some].tobytes()]
+        for values in (needed, spans):
+            mine = [values[i] for i in some.tolist()]
+            row += [np.array(list(map(len, mine)), "<u4").tobytes(), b"".join(mine)]
+        out.append((*row, bytes([copied]) * len(some)))
+    if out:
+        types = (pa.int32(), *[pa.binary()] * 7)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in PARCEL.split(", ")])
+
+
+@releasing
+def open_parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document with all that the parcels tell about it."""
+    found: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for b, h, w, p, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            docs = np.frombuffer(d, "<i8").reshape(-1, 2)
+        for k, h, ns, nd, ss, sd, copied in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            at_n = at_s = 0
+            for *key, n, s, c in zip(np.frombuffer(k, "<i8").tolist(), np.frombuffer(h, "<i8").tolist(), np.frombuffer(ns, "<u4").tolist(), np.frombuffer(ss, "<u4").tolist(), copied, strict=True):
+                own = found.setdefault(tuple(key), [[], [], False])
+                if n:
+                    own[0].append(nd[at_n : at_n + n])
+                if s:
+                    own[1].append(sd[at_s : at_s + s])
+                own[2] |= bool(c)
+                at_n, at_s = at_n + n, at_s + s
+    keys = list(found)
+    for i in range(0, len(keys), 2000):
+        some = keys[i : i + 2000]
+        needed, spans, copied = zip(*(found[key] for key in some), strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0] for key in some], pa.int64()), pa.array([key[1] for key in some], pa.int64()), pa.array(needed, pa.list_(pa.binary())), pa.array(spans, pa.list_(pa.binary())), pa.array(copied)],
+            names=["_k", "_h", "needed", "early", "copied"],
+        )
+
+
+def repeated(groups: int):
+    """By document: marks on repeated pieces, the anchors whose pieces have to be compared, and the copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from find_repeated(batches, groups)
+
+    return releasing(run)
+
+
+def find_repeated(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    parts = []
+    for batch in batches:
+        for b, h, c, w, p, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            docs = np.frombuffer(d, "<i8").reshape(-1, 3)
             if b < 0:
-                copies.append(docs)
+                yield from parcels(docs[:, 0].copy(), docs[:, 1].copy(), [b""] * len(docs), [b""] * len(docs), True, groups)
             else:
-                parts.append((np.frombuffer(h, np.uint64), np.frombuffer(p, "<u4"), docs[np.frombuffer(w, "<u4")]))
-    names = ["k", "h", "anchors", "copied"]
-    if copies:
-        docs = np.concatenate(copies)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.nulls(len(docs), pa.binary()), pa.array([True] * len(docs))], names=names)
+                parts.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(p, "<u4"), docs[np.frombuffer(w, "<u4")]))
     if not parts:
         return
-    hashes = np.concatenate([p[0] for p in parts])
+    hashes, pieces = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
-    begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    counts = np.diff(np.concatenate([np.flatnonzero(begins), [len(ordered)]]))[np.cumsum(begins) - 1]
-    order, counts = order[counts > 1], counts[counts > 1]
+    more = np.zeros(len(order), bool)
+    more[1:] = ordered[1:] == ordered[:-1]
+    more[:-1] |= more[1:]
+    order = order[more]
     if not len(order):
         return
-    docs = np.concatenate([p[2] for p in parts])[order]
-    record = np.empty(len(order), [("place", "<u4"), ("ways", "<u4"), ("hash", "<u8")])
-    record["place"], record["ways"], record["hash"] = np.concatenate([p[1] for p in parts])[order], -(-counts // HOT), hashes[order]
-    by_doc = np.lexsort((docs[:, 1], docs[:, 0]))
-    docs, record = docs[by_doc], record[by_doc]
-    at = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]).any(1)]))
-    raw, ends = record.tobytes(), np.concatenate([at[1:], [len(docs)]]) * 16
-    values = [raw[a * 16 : b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-    for i in range(0, len(at), 20_000):
-        some = at[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[some, 0]), pa.array(docs[some, 1]), pa.array(values[i : i + 20_000], pa.binary()), pa.array([False] * len(some))], names=names)
+    hashes, pieces = hashes[order], pieces[order]
+    place, docs = np.concatenate([p[2] for p in parts])[order].astype(np.int64), np.concatenate([p[3] for p in parts])[order]
+    del parts
+    sort = np.lexsort((place, docs[:, 1], docs[:, 0], pieces, hashes))
+    hashes, pieces, place, docs = hashes[sort], pieces[sort], place[sort], docs[sort]
+    anew = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    head = anew | np.concatenate([[True], pieces[1:] != pieces[:-1]])
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+    late = (docs[:, :2] != docs[lead, :2]).any(1) | (place != place[lead])
+    p, n = place[late], docs[late, 2]
+    low = np.maximum(0, p - BEFORE)
+    count = np.minimum(p, n - SPAN) - low + 1
+    stretch = np.stack([low, low + count - 1], 1).astype("<u4").view("<u8").ravel()
+    heads = np.flatnonzero(head)  # the first of each piece
+    group = np.cumsum(anew)[heads]
+    kinds = np.bincount(group)[group]
+    heads, kinds = heads[kinds > 1], kinds[kinds > 1]
+    record = np.empty(len(heads), NEEDED)
+    record["place"], record["ways"], record["hash"] = place[heads], -(-kinds // HOT), hashes[heads]
+    found: dict[tuple[int, int], list] = {}
+    for at, some, values in ((0, late, stretch), (1, heads, record)):
+        for ks, hs, packed in by_document(docs[some, 0], docs[some, 1], values):
+            for key, v in zip(zip(ks.tolist(), hs.tolist(), strict=True), packed, strict=True):
+                found.setdefault(key, [b"", b""])[at] = v
+    if found:
+        spans, needed = zip(*found.values(), strict=True)
+        yield from parcels([key[0] for key in found], [key[1] for key in found], needed, spans, False, groups)
+
+
+@releasing
+def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed, with their digest, for the way through the shuffle."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for rows in slices(batches, "text"):
+        at = rows.schema.get_field_index("text")
+        texts = [(t or "").encode() for t in rows.column(at).to_pylist()]
+        columns = [c for i, c in enumerate(rows.columns) if i != at]
+        names = [n for n in rows.schema.names if n != "text"]
+        columns += [pa.array([packer.compress(t) for t in texts], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([len(t) for t in texts], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*names, "packed", "sha", "n_bytes"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows, some megabytes at a time, with their texts."""
+    packer = zstandard.ZstdDecompressor()
+    for rows in slices(batches, "packed", 1 << 20):
+        yield rows, [packer.decompress(z) if z else b"" for z in rows.column("packed").to_pylist()]
 
 
 PIECE = "anchor long, salt int, k long, h long, place int, l int, r int, ways int, piece binary"
 
 
+@releasing
 def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces round the repeated anchors, the anchor always at byte 68; l and r bytes of text lie before and from it."""
-    for rows in slices(batches, "text"):
-        lists = rows.column("anchors")
+    for rows, texts in unpacked(batches):
+        lists = rows.column("needed")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         raw, inner = buffers(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
-        record = raw.view([("place", "<u4"), ("ways", "<u4"), ("hash", "<u8")])
-        per_row = np.diff(inner[bounds - bounds[0]]) // 16
+        record = raw.view(NEEDED)
+        per_row = np.diff(inner[bounds - bounds[0]]) // record.itemsize
         doc = np.repeat(np.arange(rows.num_rows), per_row)
-        data, at = buffers(rows.column("text"))
+        data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(SPAN, np.uint8)])
         for i in range(0, len(record), 20_000):
             some, d = record[i : i + 20_000], doc[i : i + 20_000]
@@ -279,85 +437,69 @@ def mark_rows(k, h, starts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MARK_TYPES, strict=True)], names=[f.split()[0] for f in MARK.split(", ")])
 
 
+@releasing
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shards, one after another; rows come sorted by anchor and salt, and a shard takes whole anchors."""
+    for whole in whole_groups(batches, ["anchor", "salt"], SHARD_PIECES):
+        yield from settle_shard(whole)
+
+
+def settle_shard(whole: pa.Table) -> Iterator[pa.RecordBatch]:
     """Repeats within a shard as marks; of hot anchors also the pieces that hold a window first seen there."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    whole = pa.Table.from_batches(held).combine_chunks()
     anchor, salt, k, h, place, l, r, ways = (whole.column(i).to_numpy() for i in range(8))
     matrix = buffers(whole.column("piece").chunk(0))[0].reshape(-1, WIDTH)
     n = len(k)
-    full = np.zeros((n, WIDTH + 2), np.uint8)
-    full[:, :WIDTH], full[:, WIDTH], full[:, WIDTH + 1] = matrix, l, r
-    order = np.lexsort((place, h, k))  # so that a piece's first row is its first occurrence
-    rows = full[order].view(f"V{WIDTH + 2}").ravel()
-    kind: dict[bytes, int] = {}
-    same = np.fromiter((kind.setdefault((a, s, v), i) for i, (a, s, v) in enumerate(zip(anchor[order].tolist(), salt[order].tolist(), rows.tolist(), strict=True))), np.int64, n)
-    first = order[same]  # for each row in order, its piece's first row
+    order = np.lexsort((place, h, k))  # occurrences, earliest first
+    anchor, salt, k, h, place, l, r, ways, matrix = (x[order] for x in (anchor, salt, k, h, place, l, r, ways, matrix))
+    group = anchor.view(np.uint64) ^ mix(salt.astype(np.uint64) + np.uint64(1))
+    after, follow = neighbours(group, matrix[:, BEFORE:], r)
+    back, precede = neighbours(group, matrix[:, BEFORE - 1 :: -1], l)
     low, count = BEFORE - l, np.minimum(BEFORE, BEFORE + r - SPAN) - (BEFORE - l) + 1  # columns at which windows begin
-    other = (k[order] != k[first]) | (h[order] != h[first]) | (place[order] != place[first])
-    late = order[other]
-    marks = [(np.repeat(k[late], count[late]), np.repeat(h[late], count[late]), take_ranges(place[late] - l[late], count[late]))]
-    mine = np.unique(first)
-    # only where an anchor has different pieces is there anything left to sort
-    by = np.lexsort((salt[mine], anchor[mine]))
-    mine = mine[by]
-    new = np.concatenate([[True], (anchor[mine][1:] != anchor[mine][:-1]) | (salt[mine][1:] != salt[mine][:-1])])
-    sizes = np.diff(np.concatenate([np.flatnonzero(new), [len(mine)]]))[np.cumsum(new) - 1]
-    firsts = [mine[sizes == 1]]  # pieces all of whose windows are first here
-    some = mine[sizes > 1]
-    lost = np.zeros(0, np.int64)
-    if len(some):
-        lengths = l[some] + r[some]
-        at = np.concatenate([[0], np.cumsum(lengths + 1)])
-        text = np.full(at[-1], STOP, np.uint8)
-        text[take_ranges(at[:-1], lengths)] = matrix[np.repeat(some, lengths), take_ranges(low[some].astype(np.int64), lengths)]
-        array = suffix_array(text)
-        before = np.full(len(text), -1, np.int64)
-        before[array[1:]] = array[:-1]
-        prefix = common_prefixes(text, before, at[:-1], count[some].astype(np.int64), SPAN)
-        piece = np.repeat(np.arange(len(some)), lengths + 1)
-        offset = np.arange(len(text)) - at[piece]
-        valid = offset < count[some][piece]
-        run = np.cumsum(prefix[array] < SPAN)
-        keep = valid[array]
-        suffix, run = array[keep], run[keep]
-        owner = some[piece[suffix]]
-        start = place[owner] - l[owner] + offset[suffix]
-        sort = np.lexsort((start, h[owner], k[owner], run))
-        run, owner, start, suffix = run[sort], owner[sort], start[sort], suffix[sort]
-        head = np.concatenate([[True], run[1:] != run[:-1]])
-        lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        late = (k[owner] != k[owner[lead]]) | (h[owner] != h[owner[lead]]) | (start != start[lead])
-        marks.append((k[owner[late]], h[owner[late]], start[late]))
-        lost = suffix[late]
-        firsts.append(some)
-    yield mark_rows(*(np.concatenate(x) for x in zip(*marks, strict=True)))
-    hot = np.concatenate(firsts)
-    hot = hot[ways[hot] > 1]
-    if not len(hot):
-        return
-    gone: dict[int, set] = {}
+    column = take_ranges(low, count)
+    by = np.argsort(column, kind="stable")
+    row, column = np.repeat(np.arange(n), count)[by], column[by]
+    cuts = np.searchsorted(column, np.arange(BEFORE + 2))
+    right, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    key = np.zeros(len(row), np.uint64)
+    for c in range(BEFORE + 1):  # a window at column c needs c + 32 bytes from the anchor on, and 68 - c before it
+        right[after] = np.cumsum(follow < c + GRAM)
+        left[back] = np.cumsum(precede < BEFORE - c)
+        here = slice(cuts[c], cuts[c + 1])
+        key[here] = (right[row[here]].astype(np.uint64) << np.uint64(32)) | left[row[here]].astype(np.uint64)
+    sort = np.lexsort((key, column))  # stable: within a class the earliest stays first
+    row, column, key = row[sort], column[sort], key[sort]
+    head = np.ones(len(row), bool)
+    head[1:] = (key[1:] != key[:-1]) | (column[1:] != column[:-1])
+    lead = row[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    late = (k[row] != k[lead]) | (h[row] != h[lead]) | (place[row] != place[lead])
+    lost = row[late]
     if len(lost):
-        for row, c in zip(some[piece[lost]].tolist(), (low[some[piece[lost]]] + offset[lost]).tolist(), strict=True):
-            gone.setdefault(row, set()).add(c)
+        yield mark_rows(k[lost], h[lost], place[lost] - BEFORE + column[late])
+    hot = head & (ways[row] > 1)
+    if not hot.any():
+        return
+    row, column = row[hot], column[hot]
     out = []
-    for row in hot.tolist():
-        windows = [c for c in range(low[row], low[row] + count[row]) if c not in gone.get(row, ())]
-        body = matrix[row].tobytes()
-        half = SPAN - BEFORE  # of a window, this much or more lies on one side of the anchor
-        for side in (0, 1):
-            mid = BEFORE // 2
-            those = bytes(c for c in windows if (c >= mid) == bool(side))
-            if those:
-                gram = body[BEFORE : BEFORE + GRAM + mid] if side else body[mid : BEFORE + half]
-                key = int.from_bytes(hashlib.blake2b(gram + bytes([side]), digest_size=8).digest(), "little", signed=True)
-                out.append((False, int(k[row]), int(h[row]), None, key, int(salt[row]), int(place[row]), body, those))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _MARK_TYPES, strict=True)], names=[f.split()[0] for f in MARK.split(", ")])
-
-
+    mid = BEFORE // 2
+    for side in (0, 1):
+        those = (column >= mid) == bool(side)
+        rows, columns = row[those], column[those]
+        by = np.argsort(rows, kind="stable")
+        rows, columns = rows[by], columns[by].astype(np.uint8)
+        if not len(rows):
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
+            i = rows[a]
+            body = matrix[i].tobytes()
+            gram = body[BEFORE : SPAN + mid] if side else body[mid:SPAN]
+            to = int.from_bytes(hashlib.blake2b(gram + bytes([side]), digest_size=8).digest(), "little", signed=True)
+            out.append((False, int(k[i]), int(h[i]), None, to, int(salt[i]), int(place[i]), body, columns[a:b].tobytes()))
+    for i in range(0, len(out), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), _MARK_TYPES, strict=True)], names=[f.split()[0] for f in MARK.split(", ")])
+
+
+@releasing
 def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the sorted window lists of hot anchors' shards, one after another, by binary search."""
     held = [b for b in batches if b.num_rows]
@@ -406,20 +548,19 @@ def finish(keep: list[str], with_text: bool):
     """The result's columns for documents with marks; with text, what is left of it, in whole characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches, "_text"):
-            data, at = buffers(rows.column("_text"))
+        for rows, texts in unpacked(batches):
             out = []
-            for d, spans in enumerate(rows.column("spans").to_pylist()):
-                body = data[at[d] : at[d + 1]]
-                gone = covered(len(body), spans or [])
+            for text, copied, early, late in zip(texts, rows.column("copied").to_pylist(), rows.column("early").to_pylist(), rows.column("late").to_pylist(), strict=True):
+                body = np.frombuffer(text, np.uint8)
+                gone = np.ones(len(body), bool) if copied else covered(len(body), [*(early or []), *(late or [])])
                 left = body[~gone].tobytes()
                 first = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(body) else 0
-                out.append((int(gone.sum()), first, left.decode("utf-8", "ignore") if with_text else hashlib.sha256(left).hexdigest()))
-            columns = [rows.column(c) for c in keep] + [rows.column("n_bytes")]
-            columns += [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+                out.append((len(body), int(gone.sum()), first, left.decode("utf-8", "ignore") if with_text else hashlib.sha256(left).hexdigest()))
+            columns = [rows.column(c) for c in keep]
+            columns += [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return run
+    return releasing(run)
 
 
 def deduplicate(docs: DataFrame, keep: list[str], with_text: bool) -> DataFrame:
@@ -430,41 +571,45 @@ def deduplicate(docs: DataFrame, keep: list[str], with_text: bool) -> DataFrame:
     taken for one document, and fare alike.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = partitions(spark)
     kinds = dict(docs.dtypes)
     named = [f"_{i}" for i in range(len(keep))]  # so that no name clashes
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)])
-    packed = base.select("k", "h", "text").mapInArrow(lambda it: deal(it, buckets), "bucket int, hashes binary, who binary, places binary, docs binary")
-    lists = packed.repartition(buckets, "bucket").mapInArrow(repeated, f"{_KEY}, anchors binary, copied boolean")
-    by_doc = lists.groupBy("k", "h").agg(F.collect_list("anchors").alias("anchors"), F.max("copied").alias("copied"))
-    by_doc = materialize(by_doc.withColumnsRenamed({"k": "_k", "h": "_h"}), "anchors")
-    joined = base.join(by_doc, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left")
-    state = F.when(F.col("copied"), 2).when(F.size("anchors") > 0, 1).otherwise(0)
-    joined = joined.withColumns({"state": state, "n_bytes": F.octet_length("text").cast("long")})
-    wanted = F.when(F.col("state") != 2, F.col("text")) if with_text else F.when(F.col("state") == 1, F.col("text"))
-    sha = F.when(F.col("state") == 0, F.sha2(F.col("text").cast("binary"), 256))
-    joined = joined.select("k", "h", "state", "n_bytes", wanted.alias("text"), (F.lit(None).cast("string") if with_text else sha).alias("sha"), F.when(F.col("state") == 1, F.col("anchors")).alias("anchors"), *named)
-    joined = materialize(joined, "suspects")
-
-    suspects = joined.where("state = 1")
-    pieces = suspects.select("k", "h", "text", "anchors").mapInArrow(cut_pieces, PIECE)
-    settled = materialize(pieces.repartition(buckets, "anchor", "salt").mapInArrow(settle, MARK), "marks")
+    dealt = base.select("k", "h", "text").mapInArrow(releasing(lambda it: deal(it, buckets)), "bucket int, hashes binary, pieces binary, who binary, places binary, docs binary")
+    lists = dealt.repartition(buckets, "bucket").mapInArrow(repeated(buckets), PARCEL)
+    by_doc = lists.repartition(buckets, "to").mapInArrow(open_parcels, "_k long, _h long, needed array<binary>, early array<binary>, copied boolean")
+    by_doc = materialize(by_doc, "suspects")
+    fields = "".join(f", {n} {kinds[c]}" for c, n in zip(keep, named, strict=True))
+    packed = base.mapInArrow(press, f"{_KEY}{fields}, packed binary, sha string, n_bytes long")
+    joined = packed.join(by_doc, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left")
+    changed = F.col("_k").isNotNull() & (F.lit(with_text) | ~F.coalesce("copied", F.lit(False)))
+    joined = joined.withColumns({"changed": changed, "packed": F.when(changed | F.lit(with_text), F.col("packed"))}).drop("_k", "_h")
+    joined = materialize(joined, "suspect-texts")
+    discard(by_doc)
+
+    suspects = joined.where("changed")
+    pieces = suspects.where(~F.coalesce("copied", F.lit(False)) & (F.size("needed") > 0)).select("k", "h", "packed", "needed").mapInArrow(cut_pieces, PIECE)
+    shards = pieces.repartition(buckets, "anchor", "salt").sortWithinPartitions("anchor", "salt")
+    settled = materialize(shards.mapInArrow(settle, MARK), "marks")
     merged = settled.where("not mark").repartition(buckets, "gram").mapInArrow(merge_shards, MARK)
     marks = settled.where("mark").select("k", "h", "spans").unionByName(merged.select("k", "h", "spans"))
-    marks = materialize(marks.groupBy("k", "h").agg(F.collect_list("spans").alias("spans")).withColumnsRenamed({"k": "_mk", "h": "_mh"}), "marks-by-document")
-    marked = suspects.select("k", "h", "n_bytes", F.col("text").alias("_text"), *named).join(marks, (F.col("k") == F.col("_mk")) & (F.col("h") == F.col("_mh")), "left")
-    fields = ", ".join(f"{n} {kinds[c]}" for c, n in zip(keep, named, strict=True))
-    changed = marked.select(*named, "n_bytes", "_text", "spans").mapInArrow(finish(named, with_text), f"{fields}, n_bytes long, n_removed long, n_spans long, kept string")
-    none = F.lit("") if with_text else F.lit(hashlib.sha256(b"").hexdigest())
-    whole = F.col("state") == 2
-    others = joined.where("state <> 1").select(
-        *named,
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(whole, none).otherwise(F.col("text") if with_text else F.col("sha")).alias("kept"),
-    )
-    return changed.unionByName(others).withColumnsRenamed(dict(zip(named, keep, strict=True)))
+    marks = materialize(marks.groupBy("k", "h").agg(F.collect_list("spans").alias("late")).withColumnsRenamed({"k": "_k", "h": "_h"}), "marks-by-document")
+    discard(settled)
+    rows = joined if with_text else suspects
+    marked = rows.join(marks, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left").select(*named, "packed", "copied", "early", "late")
+    out = marked.mapInArrow(finish(named, with_text), f"{fields[2:]}, n_bytes long, n_removed long, n_spans long, kept string")
+    if not with_text:
+        whole = F.coalesce("copied", F.lit(False))
+        others = joined.where("not changed").select(
+            *named,
+            "n_bytes",
+            F.when(whole, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+            F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
+            F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept"),
+        )
+        out = out.unionByName(others)
+    return out.withColumnsRenamed(dict(zip(named, keep, strict=True)))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

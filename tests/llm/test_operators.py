@@ -130,10 +130,9 @@ def test_hot_anchors_are_merged_across_shards(monkeypatch):
     k, h = np.arange(len(texts)), np.zeros(len(texts), np.int64)
     dealt = list(suffixes.deal([pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(texts)], names=["k", "h", "text"])], 1))
     spans, needed = {}, {}
-    for b in suffixes.repeated(dealt):
+    for b in suffixes.open_parcels(suffixes.repeated(3)(dealt)):
         for x in b.to_pylist():
-            spans.setdefault(x["k"], []).extend([x["spans"]] if x["spans"] else [])
-            needed.setdefault(x["k"], []).extend([x["needed"]] if x["needed"] else [])
+            spans[x["_k"]], needed[x["_k"]] = list(x["early"]), x["needed"]
     import zstandard
 
     packed = [zstandard.ZstdCompressor().compress(t.encode()) for t in texts]
