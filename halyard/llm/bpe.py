@@ -18,11 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_or_empty
+from .common import materialize, releasing, small_batches, table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 16
@@ -31,10 +30,29 @@ DICTIONARY_WORDS = 1_000_000
 DICTIONARY_BYTES = 64
 NO_RANK = (1 << 31) - 1
 #: Words that are looked up together.
-LOOKUP_WORDS = 1_000_000
+LOOKUP_WORDS = 2_000_000
 SEGMENT = "ids:string, n:int, bytes:binary, word:string"
 
 
+def murmur3(data: bytes) -> int:
+    """Spark's ``hash`` of a string: 32-bit Murmur3 with seed 42, the last bytes one at a time and signed."""
+
+    def mixed(h: int, k: int) -> int:
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        h ^= (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        return ((h << 13 | h >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
+
+    h, whole = 42, len(data) - len(data) % 4
+    for i in range(0, whole, 4):
+        h = mixed(h, int.from_bytes(data[i : i + 4], "little"))
+    for b in data[whole:]:
+        h = mixed(h, (b - 256) & 0xFFFFFFFF if b > 127 else b)
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
 def read_ranks(path: str) -> list[bytes]:
     """The pieces of a rank file, by rank."""
     with open(path, "rb") as f:
@@ -44,10 +62,18 @@ def read_ranks(path: str) -> list[bytes]:
     return [piece for _, piece in found]
 
 
+_SPACE, _SOLID = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
+#: A pattern in common use, and one for Java that cuts alike: alternatives that can't begin with the same character
+#: change places, and what never needs to be given back is possessive.
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+COMMON_FOR_JAVA = rf" ?+\p{{L}}++|'(?:[stmd]|re|ve|ll)| ?+[^{_SPACE}\p{{L}}\p{{N}}]++| ?+\p{{N}}++|{_SPACE}+(?!{_SOLID})|{_SPACE}++"
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern for Java, where white space has to be named to be that of Unicode."""
-    space, other = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
-    return pattern.replace(r"[^\s", "[^" + space).replace(r"\s", space).replace(r"\S", other)
+    if pattern == COMMON_PATTERN:
+        return COMMON_FOR_JAVA
+    return pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", _SPACE).replace(r"\S", _SOLID)
 
 
 class Coder:
@@ -57,7 +83,7 @@ class Coder:
         maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
         texts = [p.decode("latin-1") for p in pieces]
         for rank, t in enumerate(texts):
-            maps[xxhash.xxh64_intdigest(t.encode(), 42) % BUCKETS][t] = rank
+            maps[murmur3(t.encode()) % BUCKETS][t] = rank
         self.rank_json, self.piece_json, self.pattern = json.dumps(maps), json.dumps(texts), java_pattern(pattern)
 
     def words(self, text: Column) -> Column:
@@ -69,7 +95,7 @@ class Coder:
         names = F.from_json(F.lit(self.piece_json), "array<string>")
 
         def rank(table: Column, piece: Column) -> Column:
-            return F.get(table, F.xxhash64(piece).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[piece]
+            return F.get(table, F.hash(piece).bitwiseAND(F.lit(BUCKETS - 1)))[piece]
 
         def let(value: Column, body) -> Column:
             return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -79,16 +105,17 @@ class Coder:
                 return F.struct(p.alias("p"), F.transform(p, lambda x, i: F.coalesce(rank(table, F.concat(x, F.get(p, i + 1))), F.lit(NO_RANK))).alias("r"))
 
             def merge(s: Column, k: Column) -> Column:
+                """Pieces k and k + 1 (from 1) become one; the ranks with its neighbours are looked up anew."""
                 p, r = s["p"], s["r"]
 
+                def ranked(piece: Column) -> Column:
+                    return F.coalesce(rank(table, piece), F.lit(NO_RANK))
+
                 def join(new: Column) -> Column:
-                    ranked = lambda piece: F.array(F.coalesce(rank(table, piece), F.lit(NO_RANK)))
-                    none = F.array().cast("array<int>")
-                    left = F.when(k > 1, F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), ranked(F.concat(F.get(p, k - 2), new)))).otherwise(none)
-                    return F.struct(
-                        F.concat(F.slice(p, 1, k - 1), F.array(new), F.slice(p, k + 2, F.size(p))).alias("p"),
-                        F.concat(left, ranked(F.concat(new, F.get(p, k + 1))), F.slice(r, k + 2, F.size(r))).alias("r"),
-                    )
+                    with_left, with_right = ranked(F.concat(F.get(p, k - 2), new)), ranked(F.concat(new, F.get(p, k + 1)))
+                    pieces = F.transform(p, lambda x, i: F.when(i == k - 1, new).otherwise(x))
+                    ranks = F.transform(r, lambda x, i: F.when(i == k - 2, with_left).when(i == k - 1, with_right).otherwise(x))
+                    return F.struct(F.filter(pieces, lambda x, i: i != k).alias("p"), F.filter(ranks, lambda x, i: i != k).alias("r"))
 
                 return let(F.concat(F.get(p, k - 1), F.get(p, k)), join)
 
@@ -150,19 +177,31 @@ def put_together(dictionary):
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets).astype(np.int32)), struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.ipc.open_stream(dictionary.value).read_all().combine_chunks()
+        known = pa.ipc.open_stream(pa.BufferReader(dictionary.value)).read_all()
         if not known.num_rows:
             known = pa.table({"word": pa.array([""]), "ids": pa.array([""]), "n": pa.array([0], pa.int32()), "bytes": pa.array([b""])})
+
+        def ready(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), segments(rows, known)], names=["doc_id", "segments"])
+
+        held, words = [], 0
         for batch in batches:
             ends = batch.column("words").offsets.to_numpy()
             begin = 0
-            while begin < batch.num_rows:
-                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + LOOKUP_WORDS, "right")) - 1)
-                rows = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), segments(rows, known)], names=["doc_id", "segments"])
+            while begin < batch.num_rows:  # as many rows as there is room for, or one
+                end = min(batch.num_rows, max(begin + (not held), int(np.searchsorted(ends, ends[begin] + LOOKUP_WORDS - words, "right")) - 1))
+                if end > begin:
+                    held.append(batch.slice(begin, end - begin))
+                    words += int(ends[end] - ends[begin])
+                if end < batch.num_rows:
+                    yield ready(held)
+                    held, words = [], 0
                 begin = end
+        if held:
+            yield ready(held)
 
-    return run
+    return releasing(run)
 
 
 def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> DataFrame:
@@ -171,6 +210,7 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> Data
     Null text is empty, and gives no ids.  Rows with a null or repeated doc_id are rows like others.
     """
     spark = docs.sparkSession
+    small_batches(spark, 500)
     coder = Coder(pieces, pattern)
     cut = docs.select("doc_id", coder.words(text_or_empty()).alias("words"))
     counts = materialize(cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
@@ -194,8 +234,8 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> Data
 
 
 def joined_bytes(pieces: Column) -> Column:
-    """One binary of an array of binaries."""
-    return F.unhex(F.array_join(F.transform(pieces, F.hex), ""))
+    """One binary of an array of binaries (as strings on the way, which keep any bytes as they are)."""
+    return F.concat_ws("", pieces.cast("array<string>")).cast("binary")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
