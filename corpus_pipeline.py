@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import materialize
+from halyard.llm.common import delete, materialize, written
 from halyard.llm.jaccard import Measure, near_duplicates
 from halyard.llm.packing import VOCABULARY, pack
 from halyard.llm.quality import judge, with_statistics
@@ -21,13 +21,24 @@ from halyard.llm.suffixes import deduplicate
 OWN = ("doc_id", "text", "lang", "source")
 
 
+_scratch: list[str] = []
+
+
 def guarded(stage):
-    """Run a stage with all columns but its own under neutral names, so that none can clash with what it adds."""
+    """Run a stage with all columns but its own under neutral names, so that none can clash with what it adds.
+
+    A stage's result has to be written before the next stage is called: what it left in the shared folder is then deleted.
+    """
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _scratch:
+            delete(spark, path)
+        _scratch.clear()
+        kept = set(written())
         others = {c: f"extra_column_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
         out = stage(spark, docs.withColumnsRenamed(others), sf_dir)
+        _scratch.extend(p for p in written() if p not in kept)
         return out.withColumnsRenamed({v: k for k, v in others.items()})
 
     return run_stage
@@ -81,6 +92,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mask_secrets(docs)
 
 
+@guarded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents' tokens into windows."""
     import public_tokenizers

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a vectorised step holds at a time; its temporary arrays are some 40 times this.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _own_dir: list[str] = []
 _written: list[str] = []
 
@@ -72,6 +75,28 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def release() -> None:
+    """Give memory that a finished task used back to the system; Python workers stay and would hold it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """A batch function that gives its memory back when its task ends."""
+
+    @functools.wraps(run)
+    def whole_task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole_task
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 ROUNDS_MOST = 60
 
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         small = materialize(small.where(F.col("u") != F.col("v")).distinct(), "links")
         settled = small.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).isEmpty() and small.join(small.select(F.col("u").alias("_w")), F.col("v") == F.col("_w"), "left_semi").isEmpty()
+        discard(edges, large)
         edges = small
         if settled:
             break

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize, mix, partitions, slices, table, text_or_empty, whole_groups
+from .common import buffers, discard, materialize, mix, partitions, releasing, slices, table, text_or_empty, whole_groups
 from .graph import components
 from .shingles import shingle_sets
 
@@ -36,8 +36,8 @@ FREQUENT_LEAST, FREQUENT_MOST = 64, 1 << 16
 LOCAL_SHARE = 1000
 #: A set's histogram has a power of two of buckets, about one for so many shingles, and no fewer than the second number.
 BUCKET_SHINGLES, BUCKETS_LEAST = 8, 64
-#: Members of a family that are compared in one unit; larger families are cut.
-BLOCK = 512
+#: Shingles and members of a block; a unit of work compares one block or two, and larger groups are cut.
+BLOCK_SHINGLES, BLOCK = 500_000, 4096
 #: Sets from which sub-classes are used; below, all shingles count as rare.
 SPLIT_LEAST = 24
 #: Rows up to which the list of candidates is broadcast; beyond it, it is joined by shuffle.
@@ -152,7 +152,7 @@ def describe(measure: Measure):
                 names=["kind", "doc_id", "text_hash", "node", "n", "histogram", "token"],
             )
 
-    return run
+    return releasing(run)
 
 
 def index_signatures(measure: Measure, frequent, buckets: int):
@@ -193,14 +193,15 @@ def index_signatures(measure: Measure, frequent, buckets: int):
                 nodes.append(node)
                 held.append(signatures(s, often, measure))
                 total += len(held[-1])
-            if total > 4_000_000:
+            if total > 1_500_000:
                 yield from flush()
                 seen.clear()
         yield from flush()
 
-    return run
+    return releasing(run)
 
 
+@releasing
 def star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(leader, member) of all signatures of a partition's buckets that two nodes or more have."""
     sigs, owners = [], []
@@ -285,20 +286,22 @@ def possible_links(measure: Measure):
             if rows:
                 yield pa.RecordBatch.from_arrays([members.take(pa.array(rows)).combine_chunks(), members.take(pa.array(heads)).combine_chunks()], names=["u", "v"])
 
-    return run
+    return releasing(run)
 
 
-def units_of(members: DataFrame, group: str, size: int) -> DataFrame:
-    """Cut the groups of (group, member) rows into blocks of ``size``: a row for each unit (leader, a, b) the member is in.
+def units_of(members: DataFrame, group: str) -> DataFrame:
+    """Cut the groups of (group, member, n ...) rows into blocks: a row for each unit (leader, a, b) the member is in.
 
-    A unit holds a pair of blocks, so all pairs of a group meet; groups up to the size are one unit.
+    A unit holds a pair of blocks, so all pairs of a group meet; a group of one block is one unit.
     """
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > size)
-    sizes = materialize(sizes.select(F.col(group).alias("_l"), F.ceil(F.col("size") / size).cast("int").alias("blocks")), "shingle-large-groups")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
+    sizes = members.groupBy(group).agg(blocks.alias("blocks")).where(F.col("blocks") > 1)
+    sizes = materialize(sizes.select(F.col(group).alias("_l"), "blocks"), "shingle-large-groups")
     units = members.join(sizes, F.col(group) == F.col("_l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
     units = units.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return units.select(F.col(group).alias("leader"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "member")
+    rest = [c for c in members.columns if c != group]
+    return units.select(F.col(group).alias("leader"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), *rest)
 
 
 def shingle_rows(measure: Measure):
@@ -310,7 +313,7 @@ def shingle_rows(measure: Measure):
                 names=["units", "member", "tokens"],
             )
 
-    return run
+    return releasing(run)
 
 
 def verify(measure: Measure):
@@ -353,7 +356,7 @@ def verify(measure: Measure):
                     v.append(names[b])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
-    return run
+    return releasing(run)
 
 
 def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
@@ -378,14 +381,16 @@ def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
     stars = packed.repartition(buckets, "bucket").mapInArrow(star_rows, "leader binary, member binary")
     stars = materialize(stars.distinct(), "shingle-stars")
     members = stars.unionByName(stars.select("leader", F.col("leader").alias("member")).distinct())
-    units = units_of(members, "leader", BLOCK)
+    members = members.join(nodes.select(F.col("node").alias("_n"), "n"), F.col("member") == F.col("_n")).drop("_n")
+    units = units_of(members, "leader").drop("n")
     units = units.join(nodes.select(F.col("node").alias("_n"), "n", "histogram"), F.col("member") == F.col("_n")).drop("_n")
     units = units.repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
     clusters = components(units.mapInArrow(possible_links(measure), "u binary, v binary"))
-    clusters = materialize(clusters.withColumnRenamed("node", "member"), "shingle-clusters")
+    clusters = clusters.withColumnRenamed("node", "member").join(nodes.select("node", "n", "sample"), F.col("member") == F.col("node")).drop("node")
+    clusters = materialize(clusters, "shingle-clusters")
+    discard(stars)
 
-    wanted = units_of(clusters, "root", BLOCK).groupBy("member").agg(F.collect_list(F.struct(*UNIT)).alias("units"))
-    wanted = wanted.join(nodes.select("node", "sample"), F.col("member") == F.col("node"))
+    wanted = units_of(clusters, "root").groupBy("member").agg(F.collect_list(F.struct(*UNIT)).alias("units"), F.first("sample").alias("sample"))
     wanted = materialize(wanted.select(F.col("sample.doc_id").alias("_d"), F.col("sample.text_hash").alias("_h"), "units"), "shingle-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -400,6 +405,7 @@ def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
     of_node = ids.join(named, F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node")).select("node", "root", "own_id")
     least = of_node.groupBy("root").agg(F.min("own_id").alias("component_id")).withColumnRenamed("root", "_r")
     final = materialize(of_node.join(least, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "root", "component_id"), "shingle-components")
+    discard(nodes, clusters, roots)
     out = found.where("kind = 0").select("doc_id", "text_hash", "node", "n").join(final, F.col("node") == F.col("_n"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", "root")

@@ -22,19 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches, table, take_ranges
+from .common import materialize, releasing, slices, small_batches, table, take_ranges
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Rests that are partitioned together, on average.
 BLOCK_RESTS = 1024
-SLICE = 6 << 20
+SLICE = 4 << 20
 LETTER_THEN_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)"
 #: Words that the tokenizer takes as one text; it cuts at blanks, so each is encoded as if alone.
 JOINED_WORDS = 100
 #: Distinct words whose ids a Python worker remembers.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 
 
 class WordIds:
@@ -142,8 +142,9 @@ def cut_into_pieces(path: str, window: int, with_ids: bool):
                 columns.append(pa.array([bytes(raw[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        coder.forget()
 
-    return run
+    return releasing(run)
 
 
 def difference(sizes: list[int], ways: int) -> list[list[int]]:

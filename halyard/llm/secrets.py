@@ -32,7 +32,7 @@ ASSIGN_LEAST = 8
 FALSE_DISCOVERY = 0.05
 #: A candidate is judged only if a random one of its length and alphabet has so many bits.
 LEAST_BITS = 100.0
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Encodings, narrowest first: name and the classes of its alphabet, in the order of their values.
 ENCODINGS = (
     ("hex", (b"0123456789", b"abcdef")),
