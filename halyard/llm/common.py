@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -76,8 +75,10 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def release() -> None:
-    """Give memory that a finished task used back to the system; Python workers stay and would hold it."""
-    gc.collect()
+    """Give memory that a finished task used back to the system; Python workers stay and would hold it.
+
+    No garbage is collected here: that would touch, and so copy, what workers share with the process they come from.
+    """
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
     if trim is not None:
