@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing, small_batches, table, text_or_empty
+from .common import materialize, releasing, table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 16
@@ -210,7 +210,6 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> Data
     Null text is empty, and gives no ids.  Rows with a null or repeated doc_id are rows like others.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
     coder = Coder(pieces, pattern)
     cut = docs.select("doc_id", coder.words(text_or_empty()).alias("words"))
     counts = materialize(cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")

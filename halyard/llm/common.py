@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextvars
 import ctypes
 import functools
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,47 +19,67 @@ from pyspark.sql import functions as F
 
 #: Text that a vectorised step holds at a time; its temporary arrays are some 40 times this.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch in steps that write a table.
+BATCH_ROWS = 2000
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 _own_dir: list[str] = []
-_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is configured."""
+    """The folder that driver and executors share; one of our own only where all run on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="halyard-"))
+        atexit.register(shutil.rmtree, _own_dir[0], True)
     return "file://" + _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
+def written() -> list[str]:
+    """Folders that ``materialize`` has written in this context (a thread has its own) and nobody has deleted."""
+    if (mine := _written.get()) is None:
+        _written.set(mine := [])
+    return mine
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors.
+
+    Arrow batches of Python steps hold at most ``batch_rows`` meanwhile; the session's setting is put back.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/halyard-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
+    before = spark.conf.get(BATCH_KEY)
+    if not 0 < int(before) <= batch_rows:
+        spark.conf.set(BATCH_KEY, batch_rows)
+    written().append(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_KEY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._halyard_path = path
     return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete the files behind frames from ``materialize`` that no later plan will read."""
+    """Delete the files behind frames from ``materialize`` that no later plan will read, and shuffle files of plans that are gone."""
     for df in frames:
         delete(df.sparkSession, df._halyard_path)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()  # Spark removes shuffle files when the driver's objects for them are collected
 
 
 def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    if path in _written:
-        _written.remove(path)
-
-
-def written() -> list[str]:
-    """Folders that ``materialize`` has written and nobody has discarded."""
-    return list(_written)
+    if path in written():
+        written().remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,11 +91,7 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches of the session hold no more than ``rows``: workers that hold a batch and its arrays stay small."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+_libc = ctypes.CDLL(None)
 
 
 def release() -> None:
@@ -80,8 +100,7 @@ def release() -> None:
     No garbage is collected here: that would touch, and so copy, what workers share with the process they come from.
     """
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim is not None:
+    if (trim := getattr(_libc, "malloc_trim", None)) is not None:  # of glibc
         trim(0)
 
 

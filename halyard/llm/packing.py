@@ -10,6 +10,8 @@ capacity, the block is partitioned anew with one window more.
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing, slices, small_batches, table, take_ranges
+from .common import materialize, releasing, slices, table, take_ranges
 
 WINDOW = 4096
 END_ID = 2
@@ -31,20 +33,36 @@ VOCABULARY = "word_bpe_49k.json"
 BLOCK_RESTS = 1024
 SLICE = 4 << 20
 LETTER_THEN_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)"
+#: The pre-tokenizer that never joins a letter with the punctuation after it, and drops white space.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words that the tokenizer takes as one text; it cuts at blanks, so each is encoded as if alone.
 JOINED_WORDS = 100
 #: Distinct words whose ids a Python worker remembers.
 MEMORY_WORDS = 200_000
 
 
+def parts_of(step: dict | None, many: str) -> list[dict]:
+    """The steps of a tokenizer's normalizer or pre-tokenizer, which may be a sequence."""
+    return [] if step is None else step[many] if step["type"] == "Sequence" else [step]
+
+
 class WordIds:
-    """Ids of whole texts through ids of their words, each encoded once while it is remembered."""
+    """Ids of whole texts through ids of their words, each encoded once while it is remembered.
+
+    That holds for tokenizers that cut at white space and drop it; others get whole texts.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        self.lowers = any(n["type"] == "Lowercase" for n in parts_of(config.get("normalizer"), "normalizers"))
+        first = (parts_of(config.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+        self.by_word = first.get("pattern") == {"Regex": WORD_SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
@@ -91,8 +109,14 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and offsets of the texts (one more than there are texts)."""
+        if not self.by_word:
+            coded = self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)
+            ends = np.cumsum([len(e) for e in coded], dtype=np.int64)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int32)
+            return np.insert(ids, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
         # a token never spans a letter and the punctuation after it, so words are met more often when cut there
-        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)  # as the tokenizer will
+        if self.lowers:
+            texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)  # as the tokenizer will
         lists = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, LETTER_THEN_MARK, r"\1 \2"))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
@@ -193,7 +217,7 @@ def windows(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack_block(window: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         full = rows["length"].to_numpy() == window
         rests = np.flatnonzero(~full)
@@ -213,14 +237,14 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fals
     """Pieces of all documents with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Null text is empty: a piece of the end id alone.  Rows with a null or repeated doc_id are documents of their
-    own.  Windows are near-equal within a block, and no id is dropped or repeated.
+    own.  Windows are near-equal within a block, and no id is dropped or repeated.  Pieces are dealt by their row in the
+    written table too, so equal ones spread over the blocks like others.
     """
-    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     fields = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     pieces = materialize(docs.select("doc_id", "text").mapInArrow(cut_into_pieces(path, window, with_ids), fields), "pieces")
     blocks = max(1, round(pieces.where(F.col("length") < window).count() / BLOCK_RESTS))
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("long")
+    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("long")
     return pieces.withColumn("block", block).groupBy("block").applyInPandas(pack_block(window), fields + ", sequence_id long, offset long")
 
 

@@ -1,21 +1,16 @@
 """Suffix-array deduplication: bytes covered by a string of 100 bytes that also starts earlier.
 
-Anchors.  Of the 69 grams of 32 bytes in each 100-byte window the one of least hash is an anchor, so equal
-windows have equal anchors at equal offsets.  Anchors seen once can't lie in a repeat.  Round the others
-pieces of the text are cut (68 bytes before the anchor to 100 from it), which hold all windows with that
-anchor, and pieces of one anchor meet in one shard.
-
-Copies.  Pieces that agree in anchor and hash (128 bits in all) are settled without their bytes: all but the first
-are repeats.  Only anchors with different pieces go on, with the first of each.
-
-Shards.  The pieces of a shard, led by their anchor, are two texts of eight-byte symbols: from the anchor on, and
-from it back.  A suffix array of each by Larsson-Sadakane refinement (ranks by a symbol, then doubled, only groups that
-aren't sorted yet) brings an anchor's pieces together, in order of what follows and of what precedes, and Kasai's common
-prefixes tell how far neighbours agree.  Windows are equal when they hold the anchor at the same offset and no neighbours in
-between agree for too short a way on either side: all but the first of such a class are repeats.
-
-Hot anchors are dealt over several shards.  Their shards pass on what is first in them, sorted, and
-these lists are merged by binary search, by a longer gram.
+Which windows can repeat.  Of the 69 grams of 32 bytes in each 100-byte window the one of least hash is its
+anchor, so equal windows have equal anchors.  Windows whose anchor's hash occurs once can't repeat, and are left out:
+hashes only leave out and route.
+
+Shards.  The windows that are left, in blocks of the text, are put together by the megabyte.  A suffix array of a shard's
+text (Larsson-Sadakane refinement: ranks by eight bytes, then doubled, only groups that aren't sorted yet) and Kasai's common
+prefixes tell which windows are equal: neighbours that agree in 100 bytes or more.  All but the earliest are repeats.
+
+Merging.  What is first in a shard goes on as lists in the order of its suffix array, a list for each stretch with one
+anchor.  Lists of one anchor are merged in pairs by binary search, byte by byte; where windows meet, the later one is a repeat.
+Heavy anchors (a bounded number, known to all) are first merged in parts, and then window by window.
 """
 
 from __future__ import annotations
@@ -29,20 +24,27 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, discard, materialize, mix, partitions, releasing, slices, small_batches, table, take_ranges, text_or_empty, whole_groups
+from .common import buffers, discard, materialize, mix, partitions, releasing, slices, table, take_ranges, text_or_empty
 
 SPAN = 100
 GRAM = 32
 BEFORE = SPAN - GRAM
-WIDTH = BEFORE + SPAN
-#: Occurrences of an anchor that one shard takes.
-HOT = 2048
-#: Pieces in a shard, as far as whole anchors allow.
-SHARD_PIECES = 20_000
+#: Windows of a list, at most: a column is one byte.
+LIST = 200
+#: Windows of a block, at most, and text of a shard.
+BLOCK, SHARD_BYTES = 1024, 1 << 20
+#: Windows of a document that are looked at together.
+CHUNK = 1 << 18
+#: Occurrences of an anchor beyond which it is heavy, and how many anchors can be (the commonest ones; that bounds the broadcast).
+HOT, HEAVY_MOST = 1 << 17, 1 << 16
+HEAVY = np.dtype([("anchor", "<u8"), ("count", ">u8")])
+#: Lists that are merged together; of an anchor with more, the windows of one class by a hash at a time.
+MERGE_LISTS = 2048
 #: Stands for a null doc_id: after all others.
 LAST = (1 << 63) - 1
 #: No byte of UTF-8.
 STOP = 0xFF
+NOTHING = np.uint64((1 << 64) - 1)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _A)
 _KEY = "k long, h long"
@@ -87,452 +89,547 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, h
 
 
-def piece_hashes(data: np.ndarray, at: np.ndarray, h: np.ndarray, found: np.ndarray, who: np.ndarray) -> np.ndarray:
-    """Hashes of the pieces round anchors: of six grams that cover one, or of its bytes where the text ends within."""
-    first, last = np.maximum(at[who], found - BEFORE), np.minimum(at[who + 1], found + SPAN)
-    whole = last - first == WIDTH
-    out = np.zeros(len(found), np.uint64)
-    p = found[whole]
-    x = h[p - BEFORE].copy()
-    for shift in (GRAM - BEFORE, 2 * GRAM - BEFORE, 3 * GRAM - BEFORE, 4 * GRAM - BEFORE, SPAN - GRAM):
-        x = mix(x * _A + h[p + shift])
-    out[whole] = x
-    body = data.tobytes()
-    for i in np.flatnonzero(~whole).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(body[first[i] : last[i]], digest_size=8, salt=int(found[i] - first[i]).to_bytes(2, "little")).digest(), "little")
-    return out
+def record_batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    """Rows as a batch; ``fields`` as in a DDL schema of long, int and binary columns."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of an array of symbols in order, by refinement of the groups that aren't sorted yet."""
-    n = len(text)
-    order = np.argsort(text, kind="stable")
-    ordered = text[order]
-    begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.flatnonzero(begins)[np.cumsum(begins) - 1]
-    h = 1
-    while True:
-        alone = begins & np.concatenate([begins[1:], [True]])
-        slots = np.flatnonzero(~alone)
-        if not len(slots):
-            return order
-        some = order[slots]
-        first, second = rank[some], rank[np.minimum(some + h, n)]
-        inner = np.lexsort((second, first))  # groups keep their slots; members are sorted within
-        some, first, second = some[inner], first[inner], second[inner]
-        order[slots] = some
-        fresh = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        begins[slots] = fresh
-        rank[some] = slots[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        h *= 2
+DEALT = "to int, reply int, a binary, b binary, c binary, d binary, e binary, f binary"
+NEEDED = np.dtype([("hash", "<u8"), ("place", "<u4")])
+REPLY = "to int, k binary, h binary, sizes binary, needed binary, copied binary, heavy binary"
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Kasai's common prefixes of suffixes with the preceding ones in order, for counts[r] positions from starts[r] on.
+def groups_of_documents(k: np.ndarray, h: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(k.astype(np.int64).view(np.uint64) ^ mix(h.astype(np.int64).view(np.uint64))) % np.uint64(groups)).astype(np.int64)
 
-    All runs advance together; a prefix is at most one shorter than that of the position before.
-    """
-    n = len(text)
-    before = np.full(n, -1, np.int64)
-    before[order[1:]] = order[:-1]
-    out, held = np.zeros(n, np.int64), np.zeros(len(counts), np.int64)
-    active, step = np.flatnonzero(counts > 0), 0
-    while len(active):
-        p = starts[active] + step
-        q = before[p]
-        h = np.where(q < 0, 0, np.maximum(held[active] - 1, 0))
-        going = np.flatnonzero(q >= 0)
-        while len(going):
-            a, b = p[going] + h[going], q[going] + h[going]
-            going, a, b = (x[(a < n) & (b < n)] for x in (going, a, b))
-            same = text[a] == text[b]
-            going = going[same]
-            h[going] += 1
-        out[p], held[active] = h, h
-        step += 1
-        active = active[counts[active] > step]
-    return out
 
+def replies(k: np.ndarray, h: np.ndarray, records: np.ndarray, groups: int) -> list[tuple]:
+    """Records of documents, packed by group of documents: rows of REPLY."""
+    to = groups_of_documents(k, h, groups)
+    order = np.lexsort((records["place"], h, k, to))
+    k, h, to, records = k[order], h[order], to[order], records[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(new)
+    sizes = np.diff([*at, len(k)])
+    cuts = np.searchsorted(to[at], np.arange(groups + 1))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    raw = records.tobytes()
+    out = []
+    for g in np.flatnonzero(np.diff(cuts)).tolist():
+        some = slice(cuts[g], cuts[g + 1])
+        out.append((g, k[at[some]].tobytes(), h[at[some]].tobytes(), sizes[some].astype("<u4").tobytes(), raw[NEEDED.itemsize * ends[cuts[g]] : NEEDED.itemsize * ends[cuts[g + 1]]], bytes(int(cuts[g + 1] - cuts[g])), b""))
+    return out
 
-def neighbours(anchor: np.ndarray, matrix: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of (anchor, bytes), and how many bytes each has in common with the one before: -1 across anchors.
 
-    Only the first ``lengths`` bytes of a row count.
-    """
-    m, width = matrix.shape
-    symbols = -(-width // 8)
-    body = np.full((m, symbols * 8), STOP, np.uint8)
-    body[:, :width] = matrix
-    body[np.arange(symbols * 8) >= lengths[:, None]] = STOP
-    words = body.view(">u8").astype(np.uint64)
-    text = np.empty((m, symbols + 2), np.uint64)
-    text[:, 0], text[:, 1:-1] = anchor, words
-    text[:, -1] = np.uint64(0xFFFE << 48) + np.arange(m, dtype=np.uint64)  # an end of its own: no word begins with these bytes
-    flat = text.ravel()
-    array = suffix_array(flat)
-    starts = np.arange(m) * (symbols + 2)
-    prefix = common_prefixes(flat, array, starts, np.full(m, symbols + 1))
-    order = array[array % (symbols + 2) == 0] // (symbols + 2)
-    order = order[np.argsort(anchor[order], kind="stable")]
-    agree = prefix[starts[order]] - 1  # without the anchor; rows of one anchor are neighbours in the array
-    change = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
-    agree[change] = -1
-    inner = np.flatnonzero(~change)
-    x = np.zeros(m, np.uint64)
-    at = np.minimum(agree[inner], symbols - 1)
-    x[inner] = words[order[inner], at] ^ words[order[inner - 1], at]
-    common = np.zeros(m, np.int64)
-    for k in range(1, 8):  # leading bytes in common of the first words that differ
-        common += (x >> np.uint64(64 - 8 * k)) == 0
-    common = np.where(agree >= symbols, symbols * 8, agree * 8 + common)
-    common[inner] = np.minimum(common[inner], np.minimum(lengths[order[inner]], lengths[order[inner - 1]]))
-    common[change] = -1
-    return order, common
+def copy_replies(k: np.ndarray, h: np.ndarray, groups: int) -> list[tuple]:
+    """That documents equal earlier ones, by group of documents: rows of REPLY."""
+    to = groups_of_documents(k, h, groups)
+    return [(g, k[to == g].tobytes(), h[to == g].tobytes(), bytes(4 * n), b"", b"\1" * n, b"") for g in np.unique(to).tolist() for n in [int((to == g).sum())]]
 
 
 def deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of each slice packed by bucket; texts that equal an earlier one of the slice go by as copies (bucket -1)."""
+    """Anchors of each slice packed by bucket, with document and place.
+
+    Of an anchor that repeats within the slice only its hash and count are sent there: its places are known to be needed,
+    and go to their documents.  So do texts that equal an earlier one of the slice (compared byte by byte).
+    """
     for rows in slices(batches, "text", 1 << 20):
         ks, hs = rows.column("k").to_numpy(), rows.column("h").to_numpy()
         data, at = buffers(rows.column("text"))
         lengths = np.diff(at)
-        groups: dict[tuple, int] = {}
+        first_of: dict[tuple, int] = {}
         copies, alive = [], lengths >= SPAN
-        for d in np.lexsort((hs, ks))[alive[np.lexsort((hs, ks))]].tolist():
-            own = (int(hs[d]), int(lengths[d]))
-            first = groups.setdefault(own, d)
-            if first != d and (data[at[d] : at[d + 1]] == data[at[first] : at[first + 1]]).all():
+        order = np.lexsort((hs, ks))
+        for d in order[alive[order]].tolist():
+            first = first_of.setdefault((int(hs[d]), int(lengths[d])), d)
+            if first != d and np.array_equal(data[at[d] : at[d + 1]], data[at[first] : at[first + 1]]):
                 alive[d] = False
                 if ks[d] != ks[first]:
                     copies.append(d)
         found, h = anchors(data, at)
         who = np.searchsorted(at, found, "right") - 1
         found, who = found[alive[who]], who[alive[who]]
-        hashes, pieces = h[found], piece_hashes(data, at, h, found, who)
-        bucket = (mix(hashes.copy()) % np.uint64(buckets)).astype(np.int64)
+        hashes = h[found]
+        by = np.argsort(hashes, kind="stable")
+        hashes, found, who = hashes[by], found[by], who[by]
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        first = np.flatnonzero(fresh)
+        counts = np.diff([*first, len(by)])
+        again = np.repeat(counts > 1, counts)
+        place = (found - at[who]).astype("<u4")
+        keys = np.stack([ks, hs], 1).astype("<i8")
+        out = [(r[0], 1, *r[1:]) for r in copy_replies(ks[copies], hs[copies], buckets)] if copies else []
+        if again.any():
+            record = np.empty(int(again.sum()), NEEDED)
+            record["hash"], record["place"] = hashes[again], place[again]
+            out += [(r[0], 1, *r[1:]) for r in replies(ks[who[again]], hs[who[again]], record, buckets)]
+        kinds = hashes[first]
+        bucket = (mix(kinds.copy()) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        keys = np.stack([ks, hs, lengths], 1).astype("<i8")
-        out = [(-1, b"", b"", b"", b"", keys[copies].tobytes())] if copies else []
-        for b in np.flatnonzero(np.diff(cuts)):
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
             some = order[cuts[b] : cuts[b + 1]]
-            mine, local = np.unique(who[some], return_inverse=True)
-            place = (found[some] - at[who[some]]).astype("<u4")
-            out.append((int(b), hashes[some].tobytes(), pieces[some].tobytes(), local.astype("<u4").tobytes(), place.tobytes(), keys[mine].tobytes()))
+            single = first[some[counts[some] == 1]]
+            mine, local = np.unique(who[single], return_inverse=True)
+            out.append((b, 0, kinds[some].tobytes(), counts[some].astype("<u4").tobytes(), local.astype("<u4").tobytes(), place[single].tobytes(), keys[mine].tobytes(), b""))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "hashes", "pieces", "who", "places", "docs"])
-
+            yield record_batch(out, DEALT)
 
-NEEDED = [("place", "<u4"), ("ways", "<u4"), ("hash", "<u8")]
 
+def find_repeated(groups: int):
+    """By group of documents: places of the anchors that occur more than once, and copies; and of each bucket its heavy anchors."""
 
-def by_document(k: np.ndarray, h: np.ndarray, records: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
-    """Keys of the documents and the bytes of their records, some thousands at a time."""
-    if not len(k):
-        return
-    order = np.lexsort((h, k))
-    k, h, records = k[order], h[order], records[order]
-    at = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])]))
-    raw, size = records.tobytes(), records.itemsize
-    ends = np.concatenate([at[1:], [len(k)]])
-    for i in range(0, len(at), 20_000):
-        a, b = at[i : i + 20_000], ends[i : i + 20_000]
-        yield k[a], h[a], [raw[x * size : y * size] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for to, reply, a, b, c, d, e, f in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if reply:
+                    yield record_batch([(to, a, b, c, d, e, f)], REPLY)
+                else:
+                    parts.append((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4"), np.frombuffer(d, "<u4"), np.frombuffer(e, "<i8").reshape(-1, 2)))
+        if not parts:
+            return
+        kinds, of = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(of, np.concatenate([p[1] for p in parts])).astype(np.int64)
+        top = np.flatnonzero(total > HOT)
+        if len(top):
+            pairs = np.empty(len(top), HEAVY)
+            pairs["anchor"], pairs["count"] = kinds[top], total[top]
+            yield record_batch([(0, *[b""] * 5, pairs.tobytes())], REPLY)
+        chosen = total[of] > 1
+        begin, held, size = 0, [], 0
+        for own, n, who, place, keys in parts:
+            single = n == 1
+            mine = chosen[begin : begin + len(own)][single]
+            begin += len(own)
+            if mine.any():
+                record = np.empty(int(mine.sum()), NEEDED)
+                record["hash"], record["place"] = own[single][mine], place[mine]
+                held.append((keys[who[mine]], record))
+                size += len(record)
+            if size > 200_000:
+                yield record_batch(replies(*_keys_and_records(held), groups), REPLY)
+                held, size = [], 0
+        if held:
+            yield record_batch(replies(*_keys_and_records(held), groups), REPLY)
 
-PARCEL = "to int, k binary, h binary, needed_sizes binary, needed binary, spans_sizes binary, spans binary, copied binary"
+    return releasing(run)
 
 
-def parcels(k, h, needed: list[bytes], spans: list[bytes], copied: bool, groups: int) -> Iterator[pa.RecordBatch]:
-    """What was found about documents, packed by group of documents: a row a group, whatever the number of documents."""
-    k, h = np.asarray(k, np.int64), np.asarray(h, np.int64)
-    to = (mix(k.view(np.uint64) ^ mix(h.view(np.uint64).copy())) % np.uint64(groups)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(groups + 1))
-    out = []
-    for g in np.flatnonzero(np.diff(cuts)).tolist():
-        some = order[cuts[g] : cuts[g + 1]]
-        row = [g, k[some].tobytes(), h[some].tobytes()]
-        for values in (needed, spans):
-            mine = [values[i] for i in some.tolist()]
-            row += [np.array(list(map(len, mine)), "<u4").tobytes(), b"".join(mine)]
-        out.append((*row, bytes([copied]) * len(some)))
-    if out:
-        types = (pa.int32(), *[pa.binary()] * 7)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in PARCEL.split(", ")])
+def _keys_and_records(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys = np.concatenate([x[0] for x in held])
+    return keys[:, 0], keys[:, 1], np.concatenate([x[1] for x in held])
 
 
 @releasing
-def open_parcels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document with all that the parcels tell about it."""
-    found: dict[tuple[int, int], list] = {}
+def open_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document with all that the replies tell about it."""
+    k, h, sizes, records, copied = [], [], [], [], []
     for batch in batches:
-        for k, h, ns, nd, ss, sd, copied in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-            at_n = at_s = 0
-            for *key, n, s, c in zip(np.frombuffer(k, "<i8").tolist(), np.frombuffer(h, "<i8").tolist(), np.frombuffer(ns, "<u4").tolist(), np.frombuffer(ss, "<u4").tolist(), copied, strict=True):
-                own = found.setdefault(tuple(key), [[], [], False])
-                if n:
-                    own[0].append(nd[at_n : at_n + n])
-                if s:
-                    own[1].append(sd[at_s : at_s + s])
-                own[2] |= bool(c)
-                at_n, at_s = at_n + n, at_s + s
-    keys = list(found)
-    for i in range(0, len(keys), 2000):
-        some = keys[i : i + 2000]
-        needed, spans, copied = zip(*(found[key] for key in some), strict=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0] for key in some], pa.int64()), pa.array([key[1] for key in some], pa.int64()), pa.array(needed, pa.list_(pa.binary())), pa.array(spans, pa.list_(pa.binary())), pa.array(copied)],
-            names=["_k", "_h", "needed", "early", "copied"],
-        )
-
-
-def repeated(groups: int):
-    """By document: marks on repeated pieces, the anchors whose pieces have to be compared, and the copies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from find_repeated(batches, groups)
-
-    return releasing(run)
-
-
-def find_repeated(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
-    parts = []
-    for batch in batches:
-        for b, h, c, w, p, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            docs = np.frombuffer(d, "<i8").reshape(-1, 3)
-            if b < 0:
-                yield from parcels(docs[:, 0].copy(), docs[:, 1].copy(), [b""] * len(docs), [b""] * len(docs), True, groups)
-            else:
-                parts.append((np.frombuffer(h, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(p, "<u4"), docs[np.frombuffer(w, "<u4")]))
-    if not parts:
+        for a, b, n, r, c in zip(*(batch.column(x).to_pylist() for x in ("k", "h", "sizes", "needed", "copied")), strict=True):
+            k.append(np.frombuffer(a, "<i8"))
+            h.append(np.frombuffer(b, "<i8"))
+            sizes.append(np.frombuffer(n, "<u4"))
+            records.append(np.frombuffer(r, NEEDED))
+            copied.append(np.frombuffer(c, np.uint8))
+    if not k:
         return
-    hashes, pieces = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    more = np.zeros(len(order), bool)
-    more[1:] = ordered[1:] == ordered[:-1]
-    more[:-1] |= more[1:]
-    order = order[more]
-    if not len(order):
-        return
-    hashes, pieces = hashes[order], pieces[order]
-    place, docs = np.concatenate([p[2] for p in parts])[order].astype(np.int64), np.concatenate([p[3] for p in parts])[order]
-    del parts
-    sort = np.lexsort((place, docs[:, 1], docs[:, 0], pieces, hashes))
-    hashes, pieces, place, docs = hashes[sort], pieces[sort], place[sort], docs[sort]
-    anew = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    head = anew | np.concatenate([[True], pieces[1:] != pieces[:-1]])
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    late = (docs[:, :2] != docs[lead, :2]).any(1) | (place != place[lead])
-    p, n = place[late], docs[late, 2]
-    low = np.maximum(0, p - BEFORE)
-    count = np.minimum(p, n - SPAN) - low + 1
-    stretch = np.stack([low, low + count - 1], 1).astype("<u4").view("<u8").ravel()
-    heads = np.flatnonzero(head)  # the first of each piece
-    group = np.cumsum(anew)[heads]
-    kinds = np.bincount(group)[group]
-    heads, kinds = heads[kinds > 1], kinds[kinds > 1]
-    record = np.empty(len(heads), NEEDED)
-    record["place"], record["ways"], record["hash"] = place[heads], -(-kinds // HOT), hashes[heads]
-    found: dict[tuple[int, int], list] = {}
-    for at, some, values in ((0, late, stretch), (1, heads, record)):
-        for ks, hs, packed in by_document(docs[some, 0], docs[some, 1], values):
-            for key, v in zip(zip(ks.tolist(), hs.tolist(), strict=True), packed, strict=True):
-                found.setdefault(key, [b"", b""])[at] = v
-    if found:
-        spans, needed = zip(*found.values(), strict=True)
-        yield from parcels([key[0] for key in found], [key[1] for key in found], needed, spans, False, groups)
+    k, h, sizes, records, copied = (np.concatenate(x) for x in (k, h, sizes, records, copied))
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
+    order = np.lexsort((h, k))
+    new = np.ones(len(order), bool)
+    new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
+    at = np.concatenate([np.flatnonzero(new), [len(order)]])
+    for i in range(0, len(at) - 1, 2000):
+        bounds = at[i : i + 2001]
+        some = order[bounds[0] : bounds[-1]]
+        local = bounds - bounds[0]
+        ends = np.concatenate([[0], np.cumsum(sizes[some], dtype=np.int64)])[local] * NEEDED.itemsize
+        raw = records[take_ranges(starts[some], sizes[some].astype(np.int64))].tobytes()
+        needed = pa.Array.from_buffers(pa.large_binary(), len(local) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
+        lead = some[local[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(k[lead]), pa.array(h[lead]), needed, pa.array(np.maximum.reduceat(copied[some], local[:-1]) > 0)], names=["_k", "_h", "needed", "copied"])
 
 
 @releasing
 def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts packed, with their digest, for the way through the shuffle."""
+    """Texts packed for the way through the shuffle."""
     packer = zstandard.ZstdCompressor(level=1)
     for rows in slices(batches, "text"):
         at = rows.schema.get_field_index("text")
-        texts = [(t or "").encode() for t in rows.column(at).to_pylist()]
-        columns = [c for i, c in enumerate(rows.columns) if i != at]
-        names = [n for n in rows.schema.names if n != "text"]
-        columns += [pa.array([packer.compress(t) for t in texts], pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([len(t) for t in texts], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "packed", "sha", "n_bytes"])
+        packed = pa.array([packer.compress((t or "").encode()) for t in rows.column(at).to_pylist()], pa.binary())
+        yield rows.set_column(at, "packed", packed)
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Rows, some megabytes at a time, with their texts."""
     packer = zstandard.ZstdDecompressor()
-    for rows in slices(batches, "packed", 1 << 20):
+    for rows in slices(batches, "packed", 1 << 19):
         yield rows, [packer.decompress(z) if z else b"" for z in rows.column("packed").to_pylist()]
 
 
-PIECE = "anchor long, salt int, k long, h long, place int, l int, r int, ways int, piece binary"
+def blocks_of(rows: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple]:
+    """Windows with a needed anchor, in blocks: (k, h, position of the first window, windows, text, anchors), a chunk at a time."""
+    ks, hs = rows.column("k").to_numpy(), rows.column("h").to_numpy()
+    held, size = [], 0
+    for d, (text, raw) in enumerate(zip(texts, rows.column("needed").to_pylist(), strict=True)):
+        record = np.frombuffer(raw, NEEDED) if raw else np.zeros(0, NEEDED)
+        if not len(record):
+            continue
+        record = record[np.argsort(record["place"], kind="stable")]
+        for begin in range(0, len(text) - SPAN + 1, CHUNK):
+            low, high = np.searchsorted(record["place"], [begin, begin + CHUNK + BEFORE])
+            if low < high:
+                held.append((d, begin, text[begin : begin + CHUNK + SPAN - 1], record[low:high]))
+                size += len(held[-1][2])
+        if size >= CHUNK:
+            yield cut_blocks(held, ks, hs)
+            held, size = [], 0
+    if held:
+        yield cut_blocks(held, ks, hs)
+
+
+def cut_blocks(units: list[tuple], ks: np.ndarray, hs: np.ndarray) -> tuple:
+    data = np.frombuffer(b"".join(u[2] for u in units), np.uint8)
+    lengths = np.array([len(u[2]) for u in units])
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    per = [len(u[3]) for u in units]
+    record = np.concatenate([u[3] for u in units])
+    doc, base = np.array([u[0] for u in units]), np.array([u[1] for u in units])
+    h = np.full(len(data) + BEFORE, NOTHING)
+    place = record["place"].astype(np.int64) - np.repeat(base, per) + np.repeat(at[:-1], per)
+    inside = place < np.repeat(at[1:], per)
+    h[place[inside]] = record["hash"][inside]
+    least = sliding(h, BEFORE + 1, np.minimum)
+    window = least != NOTHING
+    for e in at[1:].tolist():
+        window[max(0, e - SPAN + 1) : e] = False
+    starts = np.flatnonzero(window)
+    unit = np.searchsorted(at, starts, "right") - 1
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] != starts[:-1] + 1) | (unit[1:] != unit[:-1])
+    run = np.flatnonzero(new)
+    new[(np.arange(len(starts)) - run[np.cumsum(new) - 1]) % BLOCK == 0] = True
+    first = np.flatnonzero(new)
+    counts = np.diff([*first, len(starts)])
+    s, u = starts[first], unit[first]
+    return ks[doc[u]], hs[doc[u]], base[u] + s - at[u], counts, data[take_ranges(s, counts + SPAN - 1)], least[starts]
 
 
-@releasing
-def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces round the repeated anchors, the anchor always at byte 68; l and r bytes of text lie before and from it."""
-    for rows, texts in unpacked(batches):
-        lists = rows.column("needed")
-        bounds = lists.offsets.to_numpy().astype(np.int64)
-        raw, inner = buffers(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
-        record = raw.view(NEEDED)
-        per_row = np.diff(inner[bounds - bounds[0]]) // record.itemsize
-        doc = np.repeat(np.arange(rows.num_rows), per_row)
-        data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(SPAN, np.uint8)])
-        for i in range(0, len(record), 20_000):
-            some, d = record[i : i + 20_000], doc[i : i + 20_000]
-            place = some["place"].astype(np.int64)
-            where = at[d] + place
-            l, r = np.minimum(BEFORE, place), np.minimum(SPAN, at[d + 1] - where)
-            matrix = padded[where[:, None] + np.arange(WIDTH)]
-            columns = np.arange(WIDTH)
-            matrix[(columns < BEFORE - l[:, None]) | (columns >= BEFORE + r[:, None])] = 0
-            ks, hs = rows.column("k").to_numpy()[d], rows.column("h").to_numpy()[d]
-            salt = mix(ks.view(np.uint64) ^ mix(hs.view(np.uint64).copy())) % some["ways"].astype(np.uint64)
-            offsets = pa.py_buffer((np.arange(len(d) + 1) * WIDTH).astype(np.int32))
-            pieces = pa.Array.from_buffers(pa.binary(), len(d), [None, offsets, pa.py_buffer(matrix.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some["hash"].view("<i8")),
-                    pa.array(salt.astype(np.int32)),
-                    pa.array(ks),
-                    pa.array(hs),
-                    *(pa.array(x.astype(np.int32)) for x in (place, l, r, some["ways"])),
-                    pieces,
-                ],
-                names=[f.split()[0] for f in PIECE.split(", ")],
-            )
-
-
-def ranges(k: np.ndarray, h: np.ndarray, starts: np.ndarray) -> tuple[list, list, list]:
-    """By document, its starts as packed (first, last) u4 pairs of stretches."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes of an array of bytes in order: by eight bytes, then by refinement of the groups that aren't sorted yet."""
+    n = len(text)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = text
+    words = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
+    order = np.argsort(words, kind="quicksort").astype(np.int32)
+    ordered = words[order]
+    begins = np.ones(n, bool)
+    begins[1:] = ordered[1:] != ordered[:-1]
+    return refined(order, begins, n)
+
+
+def refined(order: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
+    """Sort the groups of suffixes that agree so far by the ranks of what follows, ever twice as far."""
+    rank = np.empty(n + 9, np.int64)
+    rank[n:] = -np.arange(1, 10)  # where a text has ended, the sooner the less
+    rank[order] = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    h = 8
+    slots = np.flatnonzero(~(begins & np.concatenate([begins[1:], [True]])))
+    while len(slots):
+        some = order[slots].astype(np.int64)
+        key = (rank[some] << 32) + rank[np.minimum(some + h, n + 8)] + 9
+        inner = np.argsort(key, kind="quicksort")  # groups keep their slots; members are sorted within
+        some, key = some[inner], key[inner]
+        order[slots] = some
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        rank[some] = slots[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+        alone = fresh.copy()
+        alone[:-1] &= fresh[1:]
+        slots = slots[~alone]
+        h *= 2
+    return order
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Kasai's common prefixes of suffixes with the preceding ones in order, for counts[r] positions from starts[r] on.
+
+    All runs advance together; a prefix is at most one shorter than that of the position before.  Eight bytes are compared at a time.
+    """
+    n = len(text)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = text
+    words = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    before = np.full(n, -1, np.int32)
+    before[order[1:]] = order[:-1]
+    out, held = np.zeros(n, np.int32), np.zeros(len(counts), np.int64)
+    by = np.argsort(-counts, kind="stable")
+    starts, ends = starts[by], np.searchsorted(-counts[by], -np.arange(1, int(counts.max(initial=0)) + 1), "right")
+    for step, m in enumerate(ends.tolist()):
+        p = starts[:m] + step
+        q = before[p].astype(np.int64)
+        h = np.maximum(held[:m] - 1, 0)
+        h[q < 0] = 0
+        going = np.flatnonzero(q >= 0)
+        while len(going):
+            a, b = p[going] + h[going], q[going] + h[going]
+            x = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
+            same = np.where(x == 0, 8, np.log2((x & (~x + np.uint64(1))).astype(np.float64) + (x == 0)).astype(np.int64) // 8)
+            same = np.minimum(same, n - np.maximum(a, b))
+            h[going] += same
+            going = going[same == 8]
+        out[p], held[:m] = h, h
+    return out
+
+
+SETTLED = "level int, to int, k long, h long, spans binary, ids binary, sizes binary, columns binary, texts binary"
+
+
+def mark_rows(k: np.ndarray, h: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """By document, the starts of its repeated windows as packed (first, last) u4 pairs of stretches."""
+    if not len(k):
+        return
     order = np.lexsort((starts, h, k))
     k, h, starts = k[order], h[order], starts[order]
-    keep = np.ones(len(k), bool)
-    keep[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (starts[1:] != starts[:-1])
-    k, h, starts = k[keep], h[keep], starts[keep]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
     cut = new.copy()
-    cut[1:] |= starts[1:] != starts[:-1] + 1
+    cut[1:] |= starts[1:] > starts[:-1] + 1
     at = np.flatnonzero(cut)
-    pairs = np.stack([starts[at], starts[np.concatenate([at[1:], [len(k)]]).astype(np.int64) - 1]], 1).astype("<u4")
+    raw = np.stack([starts[at], starts[np.append(at[1:], len(k)) - 1]], 1).astype("<u4").tobytes()
     docs = np.flatnonzero(new)
-    bounds = np.searchsorted(at, np.concatenate([docs, [len(k)]])).tolist()
-    raw = pairs.tobytes()
-    return k[docs], h[docs], [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    bounds = np.searchsorted(at, np.append(docs, len(k))).tolist()
+    rows = [(0, 0, a, b, raw[8 * x : 8 * y], *[None] * 4) for a, b, x, y in zip(k[docs].tolist(), h[docs].tolist(), bounds[:-1], bounds[1:], strict=True)]
+    for i in range(0, len(rows), 10_000):
+        yield record_batch(rows[i : i + 10_000], SETTLED)
 
 
-MARK = "mark boolean, k long, h long, spans binary, gram long, salt int, place int, pieces binary, windows binary"
-_MARK_TYPES = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+LISTS = np.dtype([("anchor", "<u8"), ("k", "<i8"), ("h", "<i8"), ("place", "<u4")])
 
 
-def mark_rows(k, h, starts) -> pa.RecordBatch:
-    ks, hs, spans = ranges(k, h, starts)
-    n = len(ks)
-    columns = [[True] * n, ks, hs, spans, *[[None] * n] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MARK_TYPES, strict=True)], names=[f.split()[0] for f in MARK.split(", ")])
+def list_rows(level: int, to: np.ndarray, ids: np.ndarray, sizes: np.ndarray, columns: np.ndarray, text: np.ndarray, starts: np.ndarray, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lists packed by where they go: sizes windows each, ``columns`` in order, text of ``spread`` bytes from starts on."""
+    if not len(to):
+        return
+    packer = zstandard.ZstdCompressor(level=1)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    column_at = np.cumsum(sizes, dtype=np.int64) - sizes
+    out, size = [], 0
+    begins = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(to)], strict=True):
+        some = order[a:b]
+        body = text[take_ranges(starts[some], spread[some])].tobytes()
+        measures = np.stack([sizes[some], spread[some]]).astype("<u2").tobytes()
+        out.append((level, int(to[a]), None, None, None, ids[some].tobytes(), measures, columns[take_ranges(column_at[some], sizes[some])].tobytes(), packer.compress(body)))
+        size += len(body)
+        if size > 4 << 20:
+            yield record_batch(out, SETTLED)
+            out, size = [], 0
+    if out:
+        yield record_batch(out, SETTLED)
 
 
-@releasing
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards, one after another; rows come sorted by anchor and salt, and a shard takes whole anchors."""
-    for whole in whole_groups(batches, ["anchor", "salt"], SHARD_PIECES):
-        yield from settle_shard(whole)
-
-
-def settle_shard(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Repeats within a shard as marks; of hot anchors also the pieces that hold a window first seen there."""
-    anchor, salt, k, h, place, l, r, ways = (whole.column(i).to_numpy() for i in range(8))
-    matrix = buffers(whole.column("piece").chunk(0))[0].reshape(-1, WIDTH)
-    n = len(k)
-    order = np.lexsort((place, h, k))  # occurrences, earliest first
-    anchor, salt, k, h, place, l, r, ways, matrix = (x[order] for x in (anchor, salt, k, h, place, l, r, ways, matrix))
-    group = anchor.view(np.uint64) ^ mix(salt.astype(np.uint64) + np.uint64(1))
-    after, follow = neighbours(group, matrix[:, BEFORE:], r)
-    back, precede = neighbours(group, matrix[:, BEFORE - 1 :: -1], l)
-    low, count = BEFORE - l, np.minimum(BEFORE, BEFORE + r - SPAN) - (BEFORE - l) + 1  # columns at which windows begin
-    column = take_ranges(low, count)
-    by = np.argsort(column, kind="stable")
-    row, column = np.repeat(np.arange(n), count)[by], column[by]
-    cuts = np.searchsorted(column, np.arange(BEFORE + 2))
-    right, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    key = np.zeros(len(row), np.uint64)
-    for c in range(BEFORE + 1):  # a window at column c needs c + 32 bytes from the anchor on, and 68 - c before it
-        right[after] = np.cumsum(follow < c + GRAM)
-        left[back] = np.cumsum(precede < BEFORE - c)
-        here = slice(cuts[c], cuts[c + 1])
-        key[here] = (right[row[here]].astype(np.uint64) << np.uint64(32)) | left[row[here]].astype(np.uint64)
-    sort = np.lexsort((key, column))  # stable: within a class the earliest stays first
-    row, column, key = row[sort], column[sort], key[sort]
-    head = np.ones(len(row), bool)
-    head[1:] = (key[1:] != key[:-1]) | (column[1:] != column[:-1])
-    lead = row[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    late = (k[row] != k[lead]) | (h[row] != h[lead]) | (place[row] != place[lead])
-    lost = row[late]
-    if len(lost):
-        yield mark_rows(k[lost], h[lost], place[lost] - BEFORE + column[late])
-    hot = head & (ways[row] > 1)
-    if not hot.any():
-        return
-    row, column = row[hot], column[hot]
-    out = []
-    mid = BEFORE // 2
-    for side in (0, 1):
-        those = (column >= mid) == bool(side)
-        rows, columns = row[those], column[those]
-        by = np.argsort(rows, kind="stable")
-        rows, columns = rows[by], columns[by].astype(np.uint8)
-        if not len(rows):
-            continue
-        begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
-            i = rows[a]
-            body = matrix[i].tobytes()
-            gram = body[BEFORE : SPAN + mid] if side else body[mid:SPAN]
-            to = int.from_bytes(hashlib.blake2b(gram + bytes([side]), digest_size=8).digest(), "little", signed=True)
-            out.append((False, int(k[i]), int(h[i]), None, to, int(salt[i]), int(place[i]), body, columns[a:b].tobytes()))
-    for i in range(0, len(out), 20_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), _MARK_TYPES, strict=True)], names=[f.split()[0] for f in MARK.split(", ")])
+def settle(heavy, buckets: int):
+    """Shard after shard: repeats within it as marks, and lists of what is first there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(heavy.value, np.uint64)
+        held, size = [], 0
+        for rows, texts in unpacked(batches):
+            copied = rows.column("copied").to_numpy(zero_copy_only=False)
+            whole = np.flatnonzero(copied).tolist()
+            if whole:
+                ks, hs = rows.column("k").to_pylist(), rows.column("h").to_pylist()
+                yield record_batch([(0, 0, ks[d], hs[d], np.array([0, len(texts[d]) - SPAN], "<u4").tobytes(), *[None] * 4) for d in whole], SETTLED)
+            for blocks in blocks_of(rows.filter(pa.array(~copied)), [t for t, c in zip(texts, copied, strict=True) if not c]):
+                held.append(blocks)
+                size += len(blocks[4])
+                if size >= SHARD_BYTES:
+                    yield from settle_shard(held, often, buckets)
+                    held, size = [], 0
+        if held:
+            yield from settle_shard(held, often, buckets)
 
-@releasing
-def merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the sorted window lists of hot anchors' shards, one after another, by binary search."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    return releasing(run)
+
+
+def settle_shard(parts: list[tuple], often: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    k, h, place, counts, body, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(k):
         return
-    whole = pa.Table.from_batches(held).combine_chunks()
-    lists: dict[int, list] = {}
-    for k, h, s, p, body, those in zip(*(whole.column(c).to_pylist() for c in ("k", "h", "salt", "place", "pieces", "windows")), strict=True):
-        lists.setdefault(s, []).extend((body[c : c + SPAN] + b"\1", k, h, p - BEFORE + c) for c in those)
-    texts, firsts = np.zeros(0, f"S{SPAN + 1}"), np.zeros((0, 3), np.int64)
+    order = np.lexsort((place, h, k))  # so that the earliest of equal windows lies first
+    twice = np.zeros(len(order), bool)
+    for x in (k, h, place):
+        twice[1:] |= x[order][1:] != x[order][:-1]
+    twice[0] = True
+    order = order[twice]  # a row that comes again is the same document
+    text_at, anchor_at = np.cumsum(counts + SPAN - 1) - (counts + SPAN - 1), np.cumsum(counts) - counts
+    anchor = anchor[take_ranges(anchor_at[order], counts[order])]
+    k, h, place, text_at, counts = k[order], h[order], place[order], text_at[order], counts[order]
+    spread = counts + SPAN - 1
+    starts = np.cumsum(spread + 4) - (spread + 4)
+    text = np.full(int((spread + 4).sum()), STOP, np.uint8)
+    text[take_ranges(starts, spread)] = body[take_ranges(text_at, spread)]
+    for byte in range(3):  # an end of its own for every block
+        text[starts + spread + 1 + byte] = np.arange(len(starts)) >> (16 - 8 * byte) & 0xFF
+    array = suffix_array(text)
+    prefix = common_prefixes(text, array, starts, counts)
+    number = np.full(len(text), -1, np.int32)  # of windows, in order of document and place
+    windows = take_ranges(starts, counts)
+    number[windows] = np.arange(len(windows))
+    array = array[number[array] >= 0]
+    head = prefix[array] < SPAN
+    head[0] = True
+    mine = number[array]
+    lead = np.minimum.reduceat(mine, np.flatnonzero(head))[np.cumsum(head) - 1]
+    block = np.repeat(np.arange(len(counts)), counts)
+    window_place = place[block] + np.arange(len(windows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    late = mine[mine != lead]
+    yield from mark_rows(k[block[late]], h[block[late]], window_place[late])
+    first = np.zeros(len(windows), bool)
+    first[lead] = True
+    keep = np.flatnonzero(first)
+    new = np.ones(len(keep), bool)
+    new[1:] = (keep[1:] != keep[:-1] + 1) | (block[keep][1:] != block[keep][:-1]) | (anchor[keep][1:] != anchor[keep][:-1])
+    run = np.flatnonzero(new)
+    new[(np.arange(len(keep)) - run[np.cumsum(new) - 1]) % LIST == 0] = True
+    begin = np.flatnonzero(new)
+    of = np.full(len(windows), -1, np.int64)
+    of[keep] = np.cumsum(new) - 1
+    ranked = mine[first[mine]]  # the windows that are first, in order of the suffix array
+    ranked = ranked[np.argsort(of[ranked], kind="stable")]
+    columns = (ranked - keep[begin][of[ranked]]).astype(np.uint8)
+    sizes = np.diff([*begin, len(keep)])
+    lead = keep[begin]
+    ids = np.empty(len(begin), LISTS)
+    ids["anchor"], ids["k"], ids["h"], ids["place"] = anchor[lead], k[block[lead]], h[block[lead]], window_place[lead]
+    hot = np.isin(ids["anchor"], often) if len(often) else np.zeros(len(ids), bool)
+    salt = mix(ids["h"].astype(np.int64).view(np.uint64) + np.uint64(1)) * hot
+    to = (mix(ids["anchor"] ^ salt) % np.uint64(buckets)).astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    for level, some in ((1, np.flatnonzero(hot)), (2, np.flatnonzero(~hot))):
+        yield from list_rows(level, to[some], ids[some], sizes[some], columns[take_ranges(at[some], sizes[some])], text, windows[lead[some]], sizes[some] + SPAN - 1)
+
+
+def merge_lists(level: int, buckets: int):
+    """Merge the lists that meet in a bucket, anchor by anchor; of heavy anchors (level 1), what is left goes on window by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdDecompressor()
+        parts = []
+        for batch in batches:
+            for raw, measures, columns, packed in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "columns", "texts")), strict=True):
+                m = np.frombuffer(measures, "<u2").reshape(2, -1)
+                parts.append((np.frombuffer(raw, LISTS), m[0].astype(np.int64), m[1].astype(np.int64), np.frombuffer(columns, np.uint8), np.frombuffer(packer.decompress(packed), np.uint8)))
+        if not parts:
+            return
+        ids, sizes, spread, columns, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        text_at, column_at = np.cumsum(spread) - spread, np.cumsum(sizes) - sizes
+        order = np.lexsort((ids["place"], ids["h"], ids["k"], ids["anchor"]))
+        anchor = ids["anchor"][order]
+        begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        per = np.diff([*begins, len(order)])
+        begins, per = begins[per > 1], per[per > 1]  # an anchor with one list has nothing to meet
+        alone = np.ones(len(order), bool)
+        alone[take_ranges(begins, per)] = False
+        if level == 1:
+            yield from windows_on(ids, sizes, columns, text, text_at, column_at, order[alone], None, buckets)
+        chunk = (np.cumsum(per) - per) // MERGE_LISTS
+        for c in np.unique(chunk).tolist():
+            some = np.flatnonzero(chunk == c)
+            lists = order[take_ranges(begins[some], per[some])]
+            group = np.repeat(np.arange(len(some)), per[some])
+            turn = take_ranges(np.zeros(len(some), np.int64), per[some])
+            n = sizes[lists]
+            owner = np.repeat(np.arange(len(lists)), n)
+            column = columns[take_ranges(column_at[lists], n)].astype(np.int64)
+            at = text_at[lists][owner] + column
+            passes = -(-len(lists) // (2 * MERGE_LISTS))
+            kind = class_of(text, at) % np.uint64(passes) if passes > 1 else None
+            for own_class in range(passes):
+                here = slice(None) if kind is None else np.flatnonzero(kind == own_class)
+                own = owner[here]
+                matrix = np.empty((len(own), 8 + SPAN), np.uint8)
+                matrix[:, 8:] = np.lib.stride_tricks.sliding_window_view(text, SPAN)[at[here]]
+                matrix[:, :4] = group[own].astype(">u4").view(np.uint8).reshape(-1, 4)
+                matrix[:, 4:8] = turn[own].astype(">u4").view(np.uint8).reshape(-1, 4)
+                left, late = merge_pairs(matrix, turn[own], np.stack([own, ids["place"][lists][own].astype(np.int64) + column[here]], 1), ids, lists)
+                who = lists[late[:, 0]]
+                yield from mark_rows(ids["k"][who], ids["h"][who], late[:, 1])
+                if level == 1:
+                    yield from windows_on(ids, sizes, columns, text, text_at, column_at, lists, left, buckets)
+
+    return releasing(run)
+
+
+def class_of(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of windows by four pieces of their text."""
+    words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    h = np.zeros(len(at), np.uint64)
+    for shift in (0, 30, 62, SPAN - 8):
+        h = mix(h * _A + words[at + shift])
+    return h
+
+
+def merge_pairs(matrix: np.ndarray, turn: np.ndarray, own: np.ndarray, ids: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge sorted lists in pairs, by binary search, until one is left of each group: (what is left, what is late), as (list, place).
+
+    Rows begin with group and turn; within a group lists come in order of document, so of equal windows of two lists the
+    one of smaller turn is the earlier, unless both are the same place of one document.
+    """
+    width = matrix.shape[1]
     late = []
-    for shard in lists.values():
-        shard.sort()
-        one, own = np.array([x[0] for x in shard], f"S{SPAN + 1}"), np.array([x[1:] for x in shard], np.int64)
-        head = np.concatenate([[True], one[1:] != one[:-1]])
-        lead = own[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        late.append(own[(own != lead).any(1)])
-        one, own = one[head], own[head]
-        at = np.searchsorted(texts, one)
-        met = np.zeros(len(one), bool)
-        inside = at < len(texts)
-        met[inside] = texts[at[inside]] == one[inside]
-        there, here = firsts[at[met]], own[met]
-        differ = (there != here).any(1)
-        earlier = np.zeros(len(here), bool)
-        for c in (2, 1, 0):
-            earlier = (here[:, c] < there[:, c]) | ((here[:, c] == there[:, c]) & earlier)
-        late.append(np.where(earlier[:, None], there, here)[differ])
-        firsts[at[met]] = np.where(earlier[:, None], here, there)
-        texts, firsts = np.insert(texts, at[~met], one[~met]), np.insert(firsts, at[~met], own[~met], axis=0)
-    found = np.concatenate(late)
-    if len(found):
-        yield mark_rows(found[:, 0], found[:, 1], found[:, 2])
+    while turn.max(initial=0) > 0:
+        odd = turn & 1 == 1
+        turn >>= 1
+        matrix[:, 4:8] = turn.astype(">u4").view(np.uint8).reshape(-1, 4)
+        keys = matrix.view(f"S{width}").ravel()
+        one, two = keys[~odd], keys[odd]
+        at = np.searchsorted(one, two)
+        met = np.zeros(len(two), bool)
+        inside = at < len(one)
+        met[inside] = one[at[inside]] == two[inside]
+        there, here = own[~odd][at[met]], own[odd][met]
+        a, b = lists[there[:, 0]], lists[here[:, 0]]
+        same = (ids["k"][a] == ids["k"][b]) & (ids["h"][a] == ids["h"][b]) & (there[:, 1] == here[:, 1])
+        sooner = ~same & (here[:, 1] < there[:, 1]) & (ids["k"][a] == ids["k"][b]) & (ids["h"][a] == ids["h"][b])
+        late.append(np.where(sooner[:, None], there, here)[~same])
+        kept = own[~odd]
+        kept[at[met]] = np.where(sooner[:, None], here, there)
+        fresh, rest = at[~met], np.flatnonzero(odd)[~met]
+        own_two = own[rest]
+        matrix = np.insert(matrix[~odd], fresh, matrix[rest], axis=0)
+        turn = np.insert(turn[~odd], fresh, turn[rest])
+        own = np.insert(kept, fresh, own_two, axis=0)
+    return own, np.concatenate(late) if late else np.zeros((0, 2), np.int64)
+
+
+def windows_on(ids, sizes, columns, text, text_at, column_at, lists, left, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows of heavy anchors as lists of their own, routed by a hash of all their bytes."""
+    if not len(lists):
+        return
+    if left is None:
+        owner = np.repeat(np.arange(len(lists)), sizes[lists])
+        place = ids["place"][lists][owner].astype(np.int64) + columns[take_ranges(column_at[lists], sizes[lists])]
+    else:
+        owner, place = left[:, 0], left[:, 1]
+    starts = text_at[lists][owner] + place - ids["place"][lists][owner]
+    own = ids[lists[owner]].copy()
+    own["place"] = place
+    rows = np.lib.stride_tricks.sliding_window_view(text, SPAN)
+    h = np.zeros(len(starts), np.uint64)
+    for c in range(0, SPAN, 4):
+        h = mix(h * _A + np.ascontiguousarray(rows[starts, c : c + 4]).view("<u4").ravel())
+    own["anchor"] = h
+    n = len(starts)
+    yield from list_rows(2, (mix(h.copy()) % np.uint64(buckets)).astype(np.int64), own, np.ones(n, np.int64), np.zeros(n, np.uint8), text, starts, np.full(n, SPAN))
 
 
 def covered(n: int, spans: list[bytes]) -> np.ndarray:
@@ -545,17 +642,19 @@ def covered(n: int, spans: list[bytes]) -> np.ndarray:
 
 
 def finish(keep: list[str], with_text: bool):
-    """The result's columns for documents with marks; with text, what is left of it, in whole characters."""
+    """The result's columns; with text, what is left of it, in whole characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in unpacked(batches):
             out = []
-            for text, copied, early, late in zip(texts, rows.column("copied").to_pylist(), rows.column("early").to_pylist(), rows.column("late").to_pylist(), strict=True):
-                body = np.frombuffer(text, np.uint8)
-                gone = np.ones(len(body), bool) if copied else covered(len(body), [*(early or []), *(late or [])])
-                left = body[~gone].tobytes()
-                first = int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(body) else 0
-                out.append((len(body), int(gone.sum()), first, left.decode("utf-8", "ignore") if with_text else hashlib.sha256(left).hexdigest()))
+            for text, spans in zip(texts, rows.column("spans").to_pylist(), strict=True):
+                n_removed = n_spans = 0
+                left = text
+                if spans:
+                    gone = covered(len(text), spans)
+                    left = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                    n_removed, n_spans = int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+                out.append((len(text), n_removed, n_spans, left.decode("utf-8", "ignore") if with_text else hashlib.sha256(left).hexdigest()))
             columns = [rows.column(c) for c in keep]
             columns += [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_bytes", "n_removed", "n_spans", "kept"])
@@ -571,44 +670,33 @@ def deduplicate(docs: DataFrame, keep: list[str], with_text: bool) -> DataFrame:
     taken for one document, and fare alike.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     buckets = partitions(spark)
     kinds = dict(docs.dtypes)
     named = [f"_{i}" for i in range(len(keep))]  # so that no name clashes
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(text_or_empty()).alias("h"), text_or_empty().alias("text"), *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, named, strict=True)])
-    dealt = base.select("k", "h", "text").mapInArrow(releasing(lambda it: deal(it, buckets)), "bucket int, hashes binary, pieces binary, who binary, places binary, docs binary")
-    lists = dealt.repartition(buckets, "bucket").mapInArrow(repeated(buckets), PARCEL)
-    by_doc = lists.repartition(buckets, "to").mapInArrow(open_parcels, "_k long, _h long, needed array<binary>, early array<binary>, copied boolean")
-    by_doc = materialize(by_doc, "suspects")
-    fields = "".join(f", {n} {kinds[c]}" for c, n in zip(keep, named, strict=True))
-    packed = base.mapInArrow(press, f"{_KEY}{fields}, packed binary, sha string, n_bytes long")
-    joined = packed.join(by_doc, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left")
-    changed = F.col("_k").isNotNull() & (F.lit(with_text) | ~F.coalesce("copied", F.lit(False)))
-    joined = joined.withColumns({"changed": changed, "packed": F.when(changed | F.lit(with_text), F.col("packed"))}).drop("_k", "_h")
-    joined = materialize(joined, "suspect-texts")
-    discard(by_doc)
-
-    suspects = joined.where("changed")
-    pieces = suspects.where(~F.coalesce("copied", F.lit(False)) & (F.size("needed") > 0)).select("k", "h", "packed", "needed").mapInArrow(cut_pieces, PIECE)
-    shards = pieces.repartition(buckets, "anchor", "salt").sortWithinPartitions("anchor", "salt")
-    settled = materialize(shards.mapInArrow(settle, MARK), "marks")
-    merged = settled.where("not mark").repartition(buckets, "gram").mapInArrow(merge_shards, MARK)
-    marks = settled.where("mark").select("k", "h", "spans").unionByName(merged.select("k", "h", "spans"))
-    marks = materialize(marks.groupBy("k", "h").agg(F.collect_list("spans").alias("late")).withColumnsRenamed({"k": "_k", "h": "_h"}), "marks-by-document")
-    discard(settled)
-    rows = joined if with_text else suspects
-    marked = rows.join(marks, (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h")), "left").select(*named, "packed", "copied", "early", "late")
-    out = marked.mapInArrow(finish(named, with_text), f"{fields[2:]}, n_bytes long, n_removed long, n_spans long, kept string")
-    if not with_text:
-        whole = F.coalesce("copied", F.lit(False))
-        others = joined.where("not changed").select(
-            *named,
-            "n_bytes",
-            F.when(whole, F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-            F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"),
-            F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept"),
-        )
-        out = out.unionByName(others)
+    dealt = base.select("k", "h", "text").mapInArrow(releasing(lambda it: deal(it, buckets)), DEALT)
+    answers = materialize(dealt.repartition(buckets, "to").mapInArrow(find_repeated(buckets), REPLY), "anchors")
+    top = answers.where(F.octet_length("heavy") > 0).select(F.explode(F.expr("transform(sequence(1, octet_length(heavy), 16), i -> substring(heavy, i, 16))")).alias("x"))
+    top = top.orderBy(F.substring("x", 9, 8).desc(), "x").limit(HEAVY_MOST).collect()
+    often = np.sort(np.frombuffer(b"".join(bytes(r["x"]) for r in top), HEAVY)["anchor"].astype(np.uint64))
+    heavy = spark.sparkContext.broadcast(often.tobytes())
+
+    by_doc = answers.where(F.octet_length("k") > 0).repartition(buckets, "to").mapInArrow(open_replies, "_k long, _h long, needed binary, copied boolean")
+    key = (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h"))
+    texts = base.where(F.octet_length("text") >= SPAN).select("k", "h", "text").mapInArrow(press, f"{_KEY}, packed binary")
+    settled = materialize(texts.join(by_doc, key).drop("_k", "_h").mapInArrow(settle(heavy, buckets), SETTLED), "lists")
+    discard(answers)
+    parts = materialize(settled.where("level = 1").repartition(buckets, "to").mapInArrow(merge_lists(1, buckets), SETTLED), "heavy-lists")
+    both = settled.unionByName(parts)
+    merged = both.where("level = 2").repartition(buckets, "to").mapInArrow(merge_lists(2, buckets), SETTLED)
+    marks = both.unionByName(merged).where("level = 0").groupBy("k", "h").agg(F.collect_list("spans").alias("spans"))
+    marks = materialize(marks.withColumnsRenamed({"k": "_k", "h": "_h"}), "marks")
+    discard(settled, parts)
+
+    fields = "".join(f"{n} {kinds[c]}, " for c, n in zip(keep, named, strict=True))
+    packed = base.mapInArrow(press, f"{_KEY}, packed binary" + "".join(f", {n} {kinds[c]}" for c, n in zip(keep, named, strict=True)))
+    marked = packed.join(marks, key, "left").select(*named, "packed", "spans")
+    out = marked.mapInArrow(finish(named, with_text), f"{fields}n_bytes long, n_removed long, n_spans long, kept string")
     return out.withColumnsRenamed(dict(zip(named, keep, strict=True)))
 
 

@@ -111,9 +111,9 @@ def test_suffixes_against_brute_force(spark, docs):
     rows = sorted(((r.doc_id if r.doc_id is not None else suffixes.LAST, r.h), r.t) for r in keyed)
     masks = removed_by_brute_force(rows)
     text = dict(rows)
-    expected = sorted((k[0], len(text[k].encode()), int(masks[k].sum()), hashlib.sha256(np.frombuffer(text[k].encode(), np.uint8)[~masks[k]].tobytes()).hexdigest()) for k, _ in rows)
+    expected = sorted((k[0], len(text[k].encode()), int(masks[k].sum()), sum(1 for x, _ in itertools.groupby(masks[k].tolist()) if x), hashlib.sha256(np.frombuffer(text[k].encode(), np.uint8)[~masks[k]].tobytes()).hexdigest()) for k, _ in rows)
     out = suffixes.deduplicate(docs, ["doc_id"], False).collect()
-    assert sorted((suffixes.LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.kept) for r in out) == expected
+    assert sorted((suffixes.LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept) for r in out) == expected
 
 
 def test_suffixes_keep_columns_and_whole_characters(docs, empty):
@@ -123,65 +123,67 @@ def test_suffixes_keep_columns_and_whole_characters(docs, empty):
     assert suffixes.deduplicate(empty, ["doc_id"], False).count() == 0
 
 
-def test_hot_anchors_are_merged_across_shards(monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", 2)
-    common, r = prose(20, 60), random.Random(3)
-    texts = [prose(100 + i, 20) + common[r.randrange(30) :] + prose(200 + i, 20) for i in range(25)]
-    k, h = np.arange(len(texts)), np.zeros(len(texts), np.int64)
-    dealt = list(suffixes.deal([pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(texts)], names=["k", "h", "text"])], 1))
-    spans, needed = {}, {}
-    for b in suffixes.open_parcels(suffixes.repeated(3)(dealt)):
-        for x in b.to_pylist():
-            spans[x["_k"]], needed[x["_k"]] = list(x["early"]), x["needed"]
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def suffixes_by_hand(texts, heavy_from, buckets=3):
+    """The steps of the deduplication in this process, so that a test can set their sizes; windows' starts by document."""
     import zstandard
 
+    k, h = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    rows = pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(texts)], names=["k", "h", "text"])
+    dealt = [x for half in (rows.slice(0, len(texts) // 2), rows.slice(len(texts) // 2)) for x in suffixes.deal([half], buckets)]
+    answers = list(suffixes.find_repeated(buckets)(dealt))
+    heavy = [np.frombuffer(x, suffixes.HEAVY) for b in answers for x in b["heavy"].to_pylist() if x]
+    often = np.sort(np.concatenate([p["anchor"] for p in heavy])) if heavy else np.zeros(0, np.uint64)
+    assert bool(len(often)) == heavy_from
+    found = {x["_k"]: x for b in suffixes.open_replies(b.filter(pa.compute.greater(pa.compute.binary_length(b["k"]), 0)) for b in answers) for x in b.to_pylist()}
+    told = [found.get(i, {"needed": b"", "copied": False}) for i in k.tolist()]
     packed = [zstandard.ZstdCompressor().compress(t.encode()) for t in texts]
-    rows = pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(packed), pa.array([needed.get(i, []) for i in k.tolist()], pa.list_(pa.binary()))], names=["k", "h", "packed", "needed"])
-    pieces = pa.Table.from_batches(suffixes.cut_pieces([rows])).sort_by([("anchor", "ascending"), ("salt", "ascending")])
-    assert max(pieces["ways"].to_pylist()) > 1
-    settled = list(suffixes.settle(pieces.to_batches()))
-    reps = [b.filter(pa.compute.invert(b["mark"])) for b in settled]
-    for b in [*[b.filter(b["mark"]) for b in settled], *suffixes.merge_shards(reps)]:
+    joined = pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(packed), pa.array([x["needed"] for x in told], pa.binary()), pa.array([x["copied"] for x in told])], names=["k", "h", "packed", "needed", "copied"])
+    settled = list(suffixes.settle(Shared(often.tobytes()), buckets)([joined]))
+    of = lambda batches, level: [b.filter(pa.compute.equal(b["level"], level)) for b in batches]
+    parts = list(suffixes.merge_lists(1, buckets)(of(settled, 1)))
+    merged = list(suffixes.merge_lists(2, buckets)(of([*settled, *parts], 2)))
+    spans = {}
+    for b in of([*settled, *parts, *merged], 0):
         for x in b.to_pylist():
             spans.setdefault(x["k"], []).append(x["spans"])
+    return spans, settled
+
+
+@pytest.mark.parametrize("hot, lists", [(1 << 17, 2048), (2, 2), (1 << 17, 1)])
+def test_windows_are_merged_across_shards(monkeypatch, hot, lists):
+    for name, value in (("HOT", hot), ("MERGE_LISTS", lists), ("SHARD_BYTES", 1500), ("BLOCK", 64), ("CHUNK", 1000)):
+        monkeypatch.setattr(suffixes, name, value)
+    common, r = prose(20, 60), random.Random(3)
+    texts = [prose(100 + i, 20) + common[r.randrange(30) : len(common) - r.randrange(30)] + prose(200 + i, 20) for i in range(25)]
+    texts += [texts[3], texts[20], "x" * 700, "y" + "x" * 300, "é" * 90 + common, common * 3, "\0" * 250, "ab\0" * 90, prose(21, 400), prose(21, 390), ""]
+    spans, settled = suffixes_by_hand(texts, hot < 100)
+    assert sum(b.num_rows for b in settled) > 30
     masks = removed_by_brute_force([((i, 0), t) for i, t in enumerate(texts)])
     for i, t in enumerate(texts):
-        assert (suffixes.covered(len(t.encode()), spans.get(i, [])) == masks[(i, 0)]).all()
+        gone = suffixes.covered(len(t.encode()), spans[i]) if i in spans else np.zeros(len(t.encode()), bool)
+        assert (gone == masks[(i, 0)]).all(), i
 
 
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(1)
-    for size, letters in ((1, 2), (50, 1), (400, 2), (700, 4)):
-        text = r.integers(97, 97 + letters, size).astype(np.uint64)
-        body = text.tolist()
+    for size, letters in ((1, 2), (7, 1), (50, 1), (400, 2), (700, 4)):
+        text = r.integers(0, letters, size).astype(np.uint8)
+        body = text.tobytes()
         order = suffixes.suffix_array(text)
         assert order.tolist() == sorted(range(size), key=lambda p: body[p:])
-        found = suffixes.common_prefixes(text, order, np.array([0]), np.array([size]))
-        for q, p in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        found = suffixes.common_prefixes(text, order, np.array([0, size // 2]), np.array([size // 2, size - size // 2]))
+        for q, p in itertools.pairwise(order.tolist()):
             n = 0
             while max(p, q) + n < size and body[p + n] == body[q + n]:
                 n += 1
             assert found[p] == n
 
 
-def test_neighbours():
-    r = np.random.default_rng(2)
-    matrix = r.integers(97, 99, (200, 20)).astype(np.uint8)
-    matrix[::3, :15] = matrix[0, :15]
-    anchor, lengths = r.integers(1, 4, 200).astype(np.uint64), r.integers(1, 21, 200)
-    order, common = suffixes.neighbours(anchor, matrix, lengths)
-    assert sorted(order.tolist()) == list(range(200))
-    for i in range(200):
-        a, b = order[i], order[i - 1]
-        if i == 0 or anchor[a] != anchor[b]:
-            assert common[i] == -1
-        else:
-            n, most = 0, min(lengths[a], lengths[b])
-            while n < most and matrix[a, n] == matrix[b, n]:
-                n += 1
-            assert common[i] == n
-
-
 # --- 3 byte-level BPE ---
 
 
