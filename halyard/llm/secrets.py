@@ -1,18 +1,20 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for strings that no pattern knows.
 
-A candidate is a run of 20 or more characters of the common encodings.  Its encoding is inferred from
-its characters, and three tests ask whether it could be uniform over that alphabet: chi-squared on the
-alphabet's classes, runs above and below the middle, and serial correlation.  The hypothesis that a
-candidate is random is rejected under false-discovery control (Benjamini-Hochberg) over all candidates
-of its document; the longer one is, the more its tests can see, so those too short for their alphabet
-are left out.  Candidates for which it stands are secrets.
+A candidate is a long run of characters of the common encodings.  Its encoding is inferred from its characters, and
+the battery asks how far it is from a uniform string over that alphabet: chi-squared of all the alphabet's letters, runs of
+values above and below the middle and of character classes, and serial correlation.  The null hypothesis is that a
+candidate is structured, as names, paths, words and numbers are.  Its p-value is the share of structured strings of its
+encoding and length that look as random: they are simulated from words and numbers, so the p-value holds for any length,
+and is large for short strings, which can't be told apart.  Over a document's candidates the false-discovery rate is
+controlled (Benjamini-Hochberg), so of what is reported as secret no more than that share is structured, in expectation.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,97 +28,181 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(rb"[0-9a-f]{32,}")
-CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: What can be a key at all; how sure one can be of a short one is for its p-value to say.
+CANDIDATE = re.compile(rb"[A-Za-z0-9+/_-]{12,}={0,2}")
 ASSIGN_LEAST = 8
-#: Rate of random strings that may be taken for structured ones.
-FALSE_DISCOVERY = 0.05
-#: A candidate is judged only if a random one of its length and alphabet has so many bits.
-LEAST_BITS = 100.0
+#: Share of structured strings among the reported ones, at most, in expectation.
+FALSE_DISCOVERY = 0.005
+#: Structured strings that are simulated for an encoding and a length.
+SIMULATED = 50_000
+#: Lengths for which they are; a candidate is held against the next shorter one, which can only make its p-value larger.
+LENGTHS = np.array([12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 26, 28, 30, 32, 36, 40, 48, 56, 64, 80, 96, 128, 192, 256])
 SLICE = 4 << 20
+_DIGIT, _LOWER, _UPPER = b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings, narrowest first: name and the classes of its alphabet, in the order of their values.
 ENCODINGS = (
-    ("hex", (b"0123456789", b"abcdef")),
-    ("HEX", (b"0123456789", b"ABCDEF")),
-    ("base32", (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"234567")),
-    ("alnum36", (b"0123456789", b"abcdefghijklmnopqrstuvwxyz")),
-    ("ALNUM36", (b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
-    ("alnum62", (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789")),
-    ("base64", (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"+/")),
-    ("base64url", (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"-_")),
+    ("decimal", (_DIGIT,)),
+    ("hex", (_DIGIT, b"abcdef")),
+    ("HEX", (_DIGIT, b"ABCDEF")),
+    ("lower", (_LOWER,)),
+    ("upper", (_UPPER,)),
+    ("base32", (_UPPER, b"234567")),
+    ("alnum36", (_DIGIT, _LOWER)),
+    ("ALNUM36", (_DIGIT, _UPPER)),
+    ("letters", (_UPPER, _LOWER)),
+    ("alnum62", (_UPPER, _LOWER, _DIGIT)),
+    ("base64", (_UPPER, _LOWER, _DIGIT, b"+/")),
+    ("base64url", (_UPPER, _LOWER, _DIGIT, b"-_")),
+    ("any", (_UPPER, _LOWER, _DIGIT, b"+/", b"-_")),
 )
 
 
-def _tables():
-    out = []
-    for name, classes in ENCODINGS:
-        value, kind = np.full(256, -1, np.int16), np.full(256, -1, np.int16)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every encoding the value and the class of every byte, -1 outside of its alphabet."""
+    value, kind = np.full((len(ENCODINGS), 256), -1, np.int16), np.full((len(ENCODINGS), 256), -1, np.int16)
+    for e, (_, classes) in enumerate(ENCODINGS):
         for k, members in enumerate(classes):
             for c in members:
-                value[c], kind[c] = (value >= 0).sum(), k
-        sizes = np.array([len(c) for c in classes])
-        out.append((name, value, kind, sizes / sizes.sum(), int(sizes.sum())))
-    return out
+                value[e, c], kind[e, c] = (value[e] >= 0).sum(), k
+    return value, kind
 
 
-TABLES = _tables()
+VALUES, CLASSES = _tables()
+_FITS = np.zeros(256, np.uint32)  # bit e: the byte is in encoding e
+for _e in range(len(ENCODINGS)):
+    _FITS |= (VALUES[_e] >= 0).astype(np.uint32) << np.uint32(_e)
 
 
-def chi_squared_p(x: float, degrees: int) -> float:
-    """Upper tail of chi-squared, in closed form by parity of the degrees."""
-    h = x / 2
-    if degrees % 2:
-        tail, term = math.erfc(math.sqrt(h)), math.exp(-h) * math.sqrt(h) * 2 / math.sqrt(math.pi)
-        for k in range(1, degrees // 2 + 1):
-            tail, term = tail + term, term * h / (k + 0.5)
-        return min(1.0, tail)
-    term = total = math.exp(-h)
-    for k in range(1, degrees // 2):
-        term *= h / k
-        total += term
-    return min(1.0, total)
+def encodings(matrix: np.ndarray) -> np.ndarray:
+    """The narrowest encoding of every row of bytes."""
+    both = np.bitwise_and.reduce(_FITS[matrix], axis=1)
+    return np.log2((both & (~both + np.uint32(1))).astype(np.float64)).astype(np.int64)
 
 
-def battery(candidate: bytes) -> tuple[str, float] | None:
-    """Inferred encoding and p-value of uniform randomness; None if it can't be judged."""
-    body = np.frombuffer(candidate.rstrip(b"="), np.uint8)
-    for name, value, kind, shares, letters in TABLES:  # noqa: B007
-        v = value[body]
-        if v.min() >= 0:
-            break
-    else:
-        return None
-    n = len(v)
-    if n * math.log2(letters) < LEAST_BITS or len(np.unique(kind[body])) < 2:
-        return None  # too short to tell, or of one class only: a word or a number
-    expected = n * shares
-    uniform = chi_squared_p(float((((np.bincount(kind[body], minlength=len(shares)) - expected) ** 2) / expected).sum()), len(shares) - 1)
-    if n >= 5 * letters:
-        counts = np.bincount(v, minlength=letters)
-        z = (((counts - n / letters) ** 2).sum() * letters / n - (letters - 1)) / math.sqrt(2 * (letters - 1))
-        uniform = min(uniform, math.erfc(max(0.0, z) / math.sqrt(2)))
+def distances(matrix: np.ndarray, encoding: int) -> np.ndarray:
+    """How far rows of bytes are from uniform ones over the encoding's alphabet: the battery's statistics, added up.
+
+    Each is in standard deviations of a uniform string of that length, so that lengths and encodings compare.
+    """
+    v, kind = VALUES[encoding][matrix].astype(np.int64), CLASSES[encoding][matrix]
+    m, n = v.shape
+    sizes = np.array([len(c) for c in ENCODINGS[encoding][1]])
+    letters = int(sizes.sum())
+    counts = np.bincount((np.arange(m)[:, None] * letters + v).ravel(), minlength=m * letters).reshape(m, letters)
+    square = (counts.astype(np.float64) ** 2).sum(1) * letters / n - n
+    out = np.maximum(0, (square - (letters - 1)) / np.sqrt(2 * (letters - 1) * (n - 1) / n))
     high = v >= letters / 2
-    a, b = int(high.sum()), int(n - high.sum())
-    runs_p = 0.0
-    if a and b:
-        mean = 1 + 2 * a * b / n
-        deviation = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        runs_p = math.erfc(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / deviation / math.sqrt(2))
-    d = v - v.mean()
-    spread = float((d * d).sum())
-    serial = math.erfc(abs(float((d[1:] * d[:-1]).sum()) / spread) * math.sqrt(n) / math.sqrt(2)) if spread else 0.0
-    return name, min(1.0, 3 * min(uniform, runs_p, serial))
+    for of, stay in ((high, ((letters // 2) ** 2 + (letters - letters // 2) ** 2) / letters**2), (kind, float((sizes**2).sum()) / letters**2)):
+        if stay < 1:
+            turns = (of[:, 1:] != of[:, :-1]).sum(1)
+            out += np.abs(turns - (n - 1) * (1 - stay)) / np.sqrt((n - 1) * stay * (1 - stay))
+    d = v - (letters - 1) / 2
+    return out + np.abs((d[:, 1:] * d[:, :-1]).sum(1)) / ((letters**2 - 1) / 12 * np.sqrt(n - 1))
+
+
+@functools.cache
+def vocabulary() -> tuple[str, ...]:
+    """Common words: those in the names of Unicode's symbols and pictographs."""
+    found = set()
+    for block in (range(0x2000, 0x2C00), range(0x1F300, 0x1F700), range(0x1F900, 0x1FA00)):
+        for c in block:
+            found.update(w for w in re.findall(r"[A-Z]{2,}", unicodedata.name(chr(c), "")) if len(w) < 13)
+    return tuple(sorted(w.lower() for w in found))
+
+
+def structured(encoding: int, length: int, most: int) -> np.ndarray:
+    """Simulated structured strings of one encoding and length, as rows of bytes: words and numbers, joined as names are."""
+    r = np.random.default_rng([encoding, length])
+    fits = {c for members in ENCODINGS[encoding][1] for c in members.decode()}
+    lower = [w for w in vocabulary() if set(w) <= fits]
+    upper = [w.upper() for w in vocabulary() if set(w.upper()) <= fits]
+    title = [w.title() for w in vocabulary() if set(w.title()) <= fits]
+    styles = [s for s in (lower, upper, title) if s]
+    joints = ["", *[c for c in "_-/+" if c in fits]]
+    digits = [c for c in "0123456789" if c in fits]
+    runs = [c for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c in fits]
+
+    def number() -> str:
+        form = r.integers(4)
+        if form == 0:
+            return "".join(x for x in f"{r.integers(1990, 2031)}{r.integers(1, 13):02d}{r.integers(1, 29):02d}" if x in fits)
+        if form == 1:
+            return digits[r.integers(len(digits))] * int(r.integers(1, 9))
+        if form == 2:
+            at = int(r.integers(len(digits)))
+            return "".join((digits * 3)[at : at + int(r.integers(2, 10))])
+        return "".join(digits[i] for i in r.integers(len(digits), size=int(r.integers(1, 5))))
+
+    def one() -> str:
+        style = styles[r.integers(len(styles))] if styles else []
+        joint = joints[0] if r.random() < 0.3 else joints[r.integers(len(joints))]
+        busy = r.random() * 0.5  # how readily a number comes in
+        parts, size, whole = [], 0, int(r.integers(0, 8))
+        while size < length + whole:
+            if digits and (not style or r.random() < busy):
+                parts.append(number())
+            elif style and r.random() < 0.97:
+                own = style if r.random() < 0.8 else styles[r.integers(len(styles))]
+                parts.append(own[r.integers(len(own))])
+            else:
+                parts.append(runs[r.integers(len(runs))] * int(r.integers(2, 6)))
+            size += len(parts[-1]) + len(joint)
+        return joint.join(parts)[whole : whole + length].ljust(length, "0" if digits else runs[0])
+
+    out = np.zeros((0, length), np.uint8)
+    for _ in range(6):  # strings that a narrower alphabet covers are of another encoding
+        rows = np.frombuffer("".join(one() for _ in range(most // 3)).encode(), np.uint8).reshape(-1, length)
+        out = np.concatenate([out, rows[encodings(rows) == encoding]])
+        if len(out) >= most:
+            break
+    return out[:most]
+
+
+@functools.cache
+def null_distances(encoding: int, length: int) -> np.ndarray:
+    """Distances from uniformity of simulated structured strings, sorted."""
+    few = structured(encoding, length, SIMULATED // 10)
+    if not len(few):
+        return np.zeros(0)
+    # segments of simulated strings are put together anew, which is cheap and keeps what a string is made of
+    r = np.random.default_rng([length, encoding])
+    left, right = few[r.integers(len(few), size=SIMULATED)], few[r.integers(len(few), size=SIMULATED)]
+    cut = np.arange(length) < r.integers(0, length + 1, size=SIMULATED)[:, None]
+    rows = np.where(cut, left, right)
+    return np.sort(distances(rows[encodings(rows) == encoding], encoding))
+
+
+def p_values(candidates: list[bytes]) -> np.ndarray:
+    """The share of structured strings, of a candidate's encoding and length, that are as near to uniform."""
+    out = np.ones(len(candidates))
+    bodies = [c.rstrip(b"=") for c in candidates]
+    lengths = np.array([len(b) for b in bodies])
+    for n in np.unique(lengths).tolist():
+        if n < LENGTHS[0]:
+            continue
+        of = np.flatnonzero(lengths == n)
+        matrix = np.frombuffer(b"".join(bodies[k] for k in of.tolist()), np.uint8).reshape(-1, n)
+        kinds = encodings(matrix)
+        for e in np.unique(kinds).tolist():
+            mine = np.flatnonzero(kinds == e)
+            null = null_distances(e, int(LENGTHS[np.searchsorted(LENGTHS, n, "right") - 1]))
+            if len(null):
+                for i in range(0, len(mine), 4096):
+                    some = mine[i : i + 4096]
+                    out[of[some]] = (1 + np.searchsorted(null, distances(matrix[some], e), "right")) / (1 + len(null))
+    return out
+
+
+def discoveries(ps: np.ndarray, rate: float = FALSE_DISCOVERY) -> np.ndarray:
+    """Which hypotheses Benjamini and Hochberg's procedure rejects."""
+    ordered = np.sort(ps)
+    under = np.flatnonzero(ordered <= rate * np.arange(1, len(ps) + 1) / len(ps))
+    return ps <= (ordered[under[-1]] if len(under) else -1.0)
 
 
 def random_ones(candidates: list[bytes]) -> list[bool]:
-    """Which candidates of a document stand as random when the others' rejections are controlled together."""
-    judged = [battery(c) for c in candidates]
-    ps = sorted((j[1], k) for k, j in enumerate(judged) if j)
-    rejected = 0
-    for k, (p, _) in enumerate(ps, 1):
-        if p <= FALSE_DISCOVERY * k / len(ps):
-            rejected = k
-    stands = {k for _, k in ps[rejected:]}
-    return [k in stands for k in range(len(candidates))]
+    """Which candidates of one document are reported as secrets."""
+    return discoveries(p_values(candidates)).tolist() if candidates else []
 
 
 def scan(data: bytes) -> list[tuple[int, int, int]]:
@@ -127,15 +213,8 @@ def scan(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def spans_of(text: bytes, base: list[tuple[int, int, int]], candidates: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """All spans of one text, in bytes: the base ones and random candidates that touch none of them."""
-    free = [(s, e) for s, e in candidates if all(e <= b or s >= c for b, _, c in base)]
-    found = [(s, 3, e) for (s, e), r in zip(free, random_ones([text[s:e] for s, e in free]), strict=True) if r] if free else []
-    return sorted(base + found)
-
-
-def by_text(rows: pa.RecordBatch) -> list[tuple[bytes, list[tuple[int, int, int]]]]:
-    """For each row with a span (by its index): the text's bytes and spans in bytes."""
+def by_text(rows: pa.RecordBatch) -> dict[int, tuple[bytes, list[tuple[int, int, int]]]]:
+    """For each row with a span (by its index): the text's bytes and spans in bytes: base ones, and random ones that touch none of them."""
     data, at = buffers(rows.column(rows.schema.get_field_index("text")))
     n = rows.num_rows
     joined = np.zeros(len(data) + n, np.uint8)
@@ -147,14 +226,28 @@ def by_text(rows: pa.RecordBatch) -> list[tuple[bytes, list[tuple[int, int, int]
     for s, k, e in scan(blob):
         d = int(np.searchsorted(starts, s, "right")) - 1
         found.setdefault(d, ([], []))[0].append((s - int(starts[d]), k, e - int(starts[d])))
+    free = []  # (row, start, end) of candidates
     for m in CANDIDATE.finditer(blob):
         d = int(np.searchsorted(starts, m.start(), "right")) - 1
-        found.setdefault(d, ([], []))[1].append((m.start() - int(starts[d]), m.end() - int(starts[d])))
+        s, e = m.start() - int(starts[d]), m.end() - int(starts[d])
+        base = found.setdefault(d, ([], []))[0]
+        if not base or all(e <= b or s >= c for b, _, c in base):
+            free.append((d, s, e))
+    if free:
+        kinds: dict[bytes, int] = {}
+        texts = [blob[starts[d] + s : starts[d] + e] for d, s, e in free]
+        index = [kinds.setdefault(t, len(kinds)) for t in texts]
+        ps = p_values(list(kinds))[index]
+        row = np.array([f[0] for f in free])  # in order
+        bounds = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            for k in np.flatnonzero(discoveries(ps[a:b])).tolist():
+                d, s, e = free[a + k]
+                found[d][1].append((s, 3, e))
     out = {}
-    for d, (base, candidates) in found.items():
-        text = blob[starts[d] : starts[d] + at[d + 1] - at[d]]
-        if spans := spans_of(text, base, candidates):
-            out[d] = (text, spans)
+    for d, (base, more) in found.items():
+        if base or more:
+            out[d] = (blob[starts[d] : starts[d] + at[d + 1] - at[d]], sorted(base + more))
     return out
 
 
@@ -191,7 +284,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of every row's whole text.
 
-    Null text is empty: no spans, and the digest of the empty string.  Spans of a kind don't overlap;
+    Null text is empty: no spans, and the digest of the empty string.  Equal candidates of a document fare alike.  Spans of a kind don't overlap;
     those of different kinds may, except that ``random`` ones touch no other.  Rows with a null or
     repeated doc_id are rows like others.
     """

@@ -482,9 +482,61 @@ def test_secrets_are_masked(spark):
     assert [(r.text, r.extra) for r in secrets.mask_secrets(df).orderBy("doc_id").collect()] == [("a [secret] b", "x"), (None, "y"), ("clean", "z")]
 
 
-def test_battery_rates():
+def random_string(r, alphabet, n):
+    return "".join(r.choice(alphabet) for _ in range(n)).encode()
+
+
+ALPHANUMERIC = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("alphabet, shares", [("0123456789abcdef", {20: 0.7, 24: 0.9, 32: 0.97}), ("abcdefghijklmnopqrstuvwxyz0123456789", {24: 0.5, 40: 0.9}), (ALPHANUMERIC, {20: 0.5, 24: 0.7, 40: 0.95}), (ALPHANUMERIC + "-_", {24: 0.7, 40: 0.95}), ("abcdefghijklmnopqrstuvwxyz", {100: 0.85})])
+def test_random_strings_are_found_by_length(alphabet, shares):
     r = random.Random(9)
-    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(48)) for _ in range(300)]
-    assert sum(secrets.random_ones([h])[0] for h in hexes) > 250
-    words = ["_".join(r.choice(WORDS) for _ in range(5)) + "2024" for _ in range(300)]
-    assert sum(secrets.random_ones([w])[0] for w in words) < 15
+    for n, least in shares.items():
+        assert np.mean([secrets.random_ones([random_string(r, alphabet, n)])[0] for _ in range(200)]) >= least
+
+
+@pytest.mark.parametrize("form", ["camel", "snake", "kebab", "path", "upper", "prose"])
+def test_structured_strings_are_left_alone(form):
+    r = random.Random(10)
+    own = "user config data index value name list item count total first last token page cache session manager handler factory service client server request response error status code time".split()
+
+    def one():
+        w = [r.choice(own) for _ in range(4)]
+        return {"camel": "".join(x.title() for x in w) + str(r.randrange(100)), "snake": "_".join(w), "kebab": "-".join(w) + f"-{r.randrange(3000)}", "path": "/".join(w), "upper": "_".join(w).upper(), "prose": "".join(r.choice(WORDS) for _ in range(5))}[form].encode()
+
+    strings = [s for s in (one() for _ in range(400)) if len(s) >= 16]
+    assert np.mean([secrets.random_ones([s])[0] for s in strings]) <= 0.05
+    keys = [random_string(r, ALPHANUMERIC, 40) for _ in range(200)]
+    assert np.mean([secrets.random_ones([s, *keys])[0] for s in strings[:100]]) <= 0.05
+    mixed = secrets.random_ones([*strings[:100], *keys[:100]])
+    assert sum(mixed[:100]) <= 0.05 * sum(mixed) and sum(mixed[100:]) > 80
+
+
+def test_discoveries():
+    assert secrets.discoveries(np.array([0.001, 0.5, 0.009, 0.02]), 0.02).tolist() == [True, False, True, False]
+    assert not secrets.discoveries(np.array([0.5, 0.6])).any()
+
+
+def test_base_patterns_on_a_whole_table(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    out = {r.doc_id: r for r in secrets.op10_secret_scans(spark, DATA).collect()}
+    letter = lambda c: f"[{c}{c.upper()}]" if c.isascii() and c.isalpha() else c
+    names = "|".join("".join(map(letter, w)) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [(0, rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), (1, r"AKIA[A-Z0-9]+"), (2, r"[0-9a-f]+")]
+    assert len(out) == len(rows)
+    for d, text in rows:
+        base = []
+        for k, pattern in kinds:
+            for m in re.finditer(pattern, text or ""):
+                if (len(m[2]) >= 8) if k == 0 else len(m[0]) >= (16 if k == 1 else 32):
+                    base.append((m.start(), k, m.end()))
+        told = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(base))
+        assert (out[d].n_assign, out[d].n_access, out[d].n_hex) == tuple(sum(b[1] == k for b in base) for k in range(3))
+        assert out[d].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert set(filter(None, told.split(","))) <= set(filter(None, out[d].spans.split(",")))
+        base.sort()
+        for x in out[d].spans.split(","):
+            if x.startswith("random"):
+                s, e = map(int, x.split(":")[1:])
+                assert re.fullmatch(r"[A-Za-z0-9+/_-]{12,}={0,2}", text[s:e]) and all(e <= b or s >= c for b, _, c in base)
