@@ -356,46 +356,53 @@ def refined(order: np.ndarray, begins: np.ndarray, n: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Kasai's common prefixes of suffixes with the preceding ones in order, for counts[r] positions from starts[r] on.
+def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Kasai's common prefixes, by position, of suffixes with the preceding ones in order.
 
-    All runs advance together; a prefix is at most one shorter than that of the position before.  Eight bytes are compared at a time.
+    A prefix is never more than one shorter than that of the position before, and exactly one shorter where the bytes before
+    both suffixes agree; so only the other positions are compared, all of them together and eight bytes at a time.
     """
     n = len(text)
-    padded = np.zeros(n + 8, np.uint8)
+    padded = np.zeros(n + 16, np.uint8)
     padded[:n] = text
-    words = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    words = np.ndarray((n + 9,), "<u8", padded, strides=(1,))
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    out, held = np.zeros(n, np.int32), np.zeros(len(counts), np.int64)
-    by = np.argsort(-counts, kind="stable")
-    starts, ends = starts[by], np.searchsorted(-counts[by], -np.arange(1, int(counts.max(initial=0)) + 1), "right")
-    for step, m in enumerate(ends.tolist()):
-        p = starts[:m] + step
-        q = before[p].astype(np.int64)
-        h = np.maximum(held[:m] - 1, 0)
-        h[q < 0] = 0
-        going = np.flatnonzero(q >= 0)
-        while len(going):
-            a, b = p[going] + h[going], q[going] + h[going]
-            x = words[np.minimum(a, n)] ^ words[np.minimum(b, n)]
-            same = np.where(x == 0, 8, np.log2((x & (~x + np.uint64(1))).astype(np.float64) + (x == 0)).astype(np.int64) // 8)
-            same = np.minimum(same, n - np.maximum(a, b))
-            h[going] += same
-            going = going[same == 8]
-        out[p], held[:m] = h, h
+    p = np.arange(1, n)
+    q = before[1:]
+    compared = np.ones(n, bool)
+    compared[1:] = (q <= 0) | (before[:-1] < 0) | (text[p - 1] != text[np.maximum(q, 1) - 1])
+    at = np.flatnonzero(compared)
+    held = np.zeros(len(at), np.int32)
+    going = np.flatnonzero(before[at] >= 0)
+    a, b = at[going], before[at[going]].astype(np.int64)
+    while len(going):
+        x = words[a] ^ words[b]
+        same = np.flatnonzero(x == 0)
+        ended = np.flatnonzero(x)
+        low = x[ended] & (~x[ended] + np.uint64(1))
+        held[going[ended]] += (np.log2(low.astype(np.float64)) / 8).astype(np.int32)
+        going = going[same]
+        held[going] += 8
+        a, b = a[same] + 8, b[same] + 8
+        inside = np.maximum(a, b) <= n
+        going, a, b = going[inside], a[inside], b[inside]
+    held = np.minimum(held, n - np.maximum(at, before[at]))
+    out = np.repeat(held, np.diff([*at, n]))
+    out -= (np.arange(n) - np.repeat(at, np.diff([*at, n]))).astype(np.int32)
     return out
 
 
 SETTLED = "level int, to int, k long, h long, spans binary, ids binary, sizes binary, columns binary, texts binary"
 
 
-def mark_rows(k: np.ndarray, h: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def mark_rows(k: np.ndarray, h: np.ndarray, starts: np.ndarray, in_order: bool = False) -> Iterator[pa.RecordBatch]:
     """By document, the starts of its repeated windows as packed (first, last) u4 pairs of stretches."""
     if not len(k):
         return
-    order = np.lexsort((starts, h, k))
-    k, h, starts = k[order], h[order], starts[order]
+    if not in_order:
+        order = np.lexsort((starts, h, k))
+        k, h, starts = k[order], h[order], starts[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
     cut = new.copy()
@@ -404,7 +411,8 @@ def mark_rows(k: np.ndarray, h: np.ndarray, starts: np.ndarray) -> Iterator[pa.R
     raw = np.stack([starts[at], starts[np.append(at[1:], len(k)) - 1]], 1).astype("<u4").tobytes()
     docs = np.flatnonzero(new)
     bounds = np.searchsorted(at, np.append(docs, len(k))).tolist()
-    rows = [(0, 0, a, b, raw[8 * x : 8 * y], *[None] * 4) for a, b, x, y in zip(k[docs].tolist(), h[docs].tolist(), bounds[:-1], bounds[1:], strict=True)]
+    to = (mix(h[docs].view(np.uint64) + np.uint64(1)) % np.uint64(1 << 20)).tolist()  # any even deal will do
+    rows = [(0, t, a, b, raw[8 * x : 8 * y], *[None] * 4) for t, a, b, x, y in zip(to, k[docs].tolist(), h[docs].tolist(), bounds[:-1], bounds[1:], strict=True)]
     for i in range(0, len(rows), 10_000):
         yield record_batch(rows[i : i + 10_000], SETTLED)
 
@@ -446,7 +454,7 @@ def settle(heavy, buckets: int):
             whole = np.flatnonzero(copied).tolist()
             if whole:
                 ks, hs = rows.column("k").to_pylist(), rows.column("h").to_pylist()
-                yield record_batch([(0, 0, ks[d], hs[d], np.array([0, len(texts[d]) - SPAN], "<u4").tobytes(), *[None] * 4) for d in whole], SETTLED)
+                yield record_batch([(0, d, ks[d], hs[d], np.array([0, len(texts[d]) - SPAN], "<u4").tobytes(), *[None] * 4) for d in whole], SETTLED)
             for blocks in blocks_of(rows.filter(pa.array(~copied)), [t for t, c in zip(texts, copied, strict=True) if not c]):
                 held.append(blocks)
                 size += len(blocks[4])
@@ -479,7 +487,7 @@ def settle_shard(parts: list[tuple], often: np.ndarray, buckets: int) -> Iterato
     for byte in range(3):  # an end of its own for every block
         text[starts + spread + 1 + byte] = np.arange(len(starts)) >> (16 - 8 * byte) & 0xFF
     array = suffix_array(text)
-    prefix = common_prefixes(text, array, starts, counts)
+    prefix = common_prefixes(text, array)
     number = np.full(len(text), -1, np.int32)  # of windows, in order of document and place
     windows = take_ranges(starts, counts)
     number[windows] = np.arange(len(windows))
@@ -490,8 +498,8 @@ def settle_shard(parts: list[tuple], often: np.ndarray, buckets: int) -> Iterato
     lead = np.minimum.reduceat(mine, np.flatnonzero(head))[np.cumsum(head) - 1]
     block = np.repeat(np.arange(len(counts)), counts)
     window_place = place[block] + np.arange(len(windows)) - np.repeat(np.cumsum(counts) - counts, counts)
-    late = mine[mine != lead]
-    yield from mark_rows(k[block[late]], h[block[late]], window_place[late])
+    late = np.sort(mine[mine != lead])
+    yield from mark_rows(k[block[late]], h[block[late]], window_place[late], True)
     first = np.zeros(len(windows), bool)
     first[lead] = True
     keep = np.flatnonzero(first)
@@ -517,58 +525,84 @@ def settle_shard(parts: list[tuple], often: np.ndarray, buckets: int) -> Iterato
         yield from list_rows(level, to[some], ids[some], sizes[some], columns[take_ranges(at[some], sizes[some])], text, windows[lead[some]], sizes[some] + SPAN - 1)
 
 
-def merge_lists(level: int, buckets: int):
-    """Merge the lists that meet in a bucket, anchor by anchor; of heavy anchors (level 1), what is left goes on window by window."""
+def merge_lists(buckets: int):
+    """Merge the lists that meet in a bucket, anchor by anchor; of heavy anchors (level 1), what is left goes on window by window.
+
+    Marks pass through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdDecompressor()
-        parts = []
+        parts: dict[int, list] = {1: [], 2: []}
         for batch in batches:
-            for raw, measures, columns, packed in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "columns", "texts")), strict=True):
+            levels = batch.column("level").to_numpy()
+            if (levels == 0).any():
+                yield batch.filter(pa.array(levels == 0))
+            for level, raw, measures, columns, packed in zip(*(batch.filter(pa.array(levels > 0)).column(c).to_pylist() for c in ("level", "ids", "sizes", "columns", "texts")), strict=True):
                 m = np.frombuffer(measures, "<u2").reshape(2, -1)
-                parts.append((np.frombuffer(raw, LISTS), m[0].astype(np.int64), m[1].astype(np.int64), np.frombuffer(columns, np.uint8), np.frombuffer(packer.decompress(packed), np.uint8)))
-        if not parts:
-            return
-        ids, sizes, spread, columns, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        text_at, column_at = np.cumsum(spread) - spread, np.cumsum(sizes) - sizes
-        order = np.lexsort((ids["place"], ids["h"], ids["k"], ids["anchor"]))
-        anchor = ids["anchor"][order]
-        begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        per = np.diff([*begins, len(order)])
-        begins, per = begins[per > 1], per[per > 1]  # an anchor with one list has nothing to meet
-        alone = np.ones(len(order), bool)
-        alone[take_ranges(begins, per)] = False
-        if level == 1:
-            yield from windows_on(ids, sizes, columns, text, text_at, column_at, order[alone], None, buckets)
-        chunk = (np.cumsum(per) - per) // MERGE_LISTS
-        for c in np.unique(chunk).tolist():
-            some = np.flatnonzero(chunk == c)
-            lists = order[take_ranges(begins[some], per[some])]
-            group = np.repeat(np.arange(len(some)), per[some])
-            turn = take_ranges(np.zeros(len(some), np.int64), per[some])
-            n = sizes[lists]
-            owner = np.repeat(np.arange(len(lists)), n)
-            column = columns[take_ranges(column_at[lists], n)].astype(np.int64)
-            at = text_at[lists][owner] + column
-            passes = -(-len(lists) // (2 * MERGE_LISTS))
-            kind = class_of(text, at) % np.uint64(passes) if passes > 1 else None
-            for own_class in range(passes):
-                here = slice(None) if kind is None else np.flatnonzero(kind == own_class)
-                own = owner[here]
-                matrix = np.empty((len(own), 8 + SPAN), np.uint8)
-                matrix[:, 8:] = np.lib.stride_tricks.sliding_window_view(text, SPAN)[at[here]]
-                matrix[:, :4] = group[own].astype(">u4").view(np.uint8).reshape(-1, 4)
-                matrix[:, 4:8] = turn[own].astype(">u4").view(np.uint8).reshape(-1, 4)
-                left, late = merge_pairs(matrix, turn[own], np.stack([own, ids["place"][lists][own].astype(np.int64) + column[here]], 1), ids, lists)
-                who = lists[late[:, 0]]
-                yield from mark_rows(ids["k"][who], ids["h"][who], late[:, 1])
-                if level == 1:
-                    yield from windows_on(ids, sizes, columns, text, text_at, column_at, lists, left, buckets)
+                parts[level].append((np.frombuffer(raw, LISTS), m[0].astype(np.int64), m[1].astype(np.int64), np.frombuffer(columns, np.uint8), np.frombuffer(packer.decompress(packed), np.uint8)))
+        for level in (1, 2):
+            if parts[level]:
+                whole = tuple(np.concatenate(x) for x in zip(*parts.pop(level), strict=True))
+                yield from merge_level(level, *whole, buckets)
 
     return releasing(run)
 
 
+def merge_level(level: int, ids: np.ndarray, sizes: np.ndarray, spread: np.ndarray, columns: np.ndarray, text: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    text_at, column_at = np.cumsum(spread) - spread, np.cumsum(sizes) - sizes
+    order = np.lexsort((ids["place"], ids["h"], ids["k"], ids["anchor"]))
+    anchor = ids["anchor"][order]
+    begins = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+    per = np.diff([*begins, len(order)])
+    if level == 1:
+        yield from windows_on(ids, sizes, columns, text, text_at, column_at, order[begins[per == 1]], None, buckets)
+    begins, per = begins[per > 1], per[per > 1]  # an anchor with one list has nothing to meet
+    chunk = (np.cumsum(per) - per) // MERGE_LISTS
+    body, tails = text.tobytes(), columns.tobytes()
+    for c in np.unique(chunk).tolist():
+        some = np.flatnonzero(chunk == c)
+        lists = order[take_ranges(begins[some], per[some])]
+        group = np.repeat(np.arange(len(some)), per[some])
+        # lists that are alike in every byte meet at once: the later ones are late
+        first_of: dict[tuple, int] = {}
+        lead = [first_of.setdefault((g, body[a : a + m], tails[b : b + n]), i) for i, (g, a, m, b, n) in enumerate(zip(group.tolist(), text_at[lists].tolist(), spread[lists].tolist(), column_at[lists].tolist(), sizes[lists].tolist(), strict=True))]
+        lead = np.array(lead)
+        own = np.flatnonzero(lead == np.arange(len(lists)))
+        again = np.flatnonzero(lead != np.arange(len(lists)))
+        mine, first = ids[lists[again]], ids[lists[lead[again]]]
+        again = lists[again[(mine["k"] != first["k"]) | (mine["h"] != first["h"]) | (mine["place"] != first["place"])]]
+        if len(again):
+            who = np.repeat(again, sizes[again])
+            yield from mark_rows(ids["k"][who], ids["h"][who], ids["place"][who].astype(np.int64) + columns[take_ranges(column_at[again], sizes[again])])
+        lists, group = lists[own], group[own]
+        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        count = np.diff([*begin, len(group)])
+        if level == 2:  # what has met all others
+            more = np.repeat(count > 1, count)
+            lists, group, count = lists[more], group[more], count[count > 1]
+        turn = take_ranges(np.zeros(len(count), np.int64), count)
+        if not len(lists):
+            continue
+        n = sizes[lists]
+        owner = np.repeat(np.arange(len(lists)), n)
+        column = columns[take_ranges(column_at[lists], n)].astype(np.int64)
+        at = text_at[lists][owner] + column
+        passes = -(-len(lists) // (2 * MERGE_LISTS))
+        kind = class_of(text, at) % np.uint64(passes) if passes > 1 else None
+        for own_class in range(passes):
+            here = slice(None) if kind is None else np.flatnonzero(kind == own_class)
+            own = owner[here]
+            matrix = np.empty((len(own), 8 + SPAN), np.uint8)
+            matrix[:, 8:] = np.lib.stride_tricks.sliding_window_view(text, SPAN)[at[here]]
+            matrix[:, :4] = group[own].astype(">u4").view(np.uint8).reshape(-1, 4)
+            left, late = merge_pairs(matrix, turn[own], np.stack([own, ids["place"][lists][own].astype(np.int64) + column[here]], 1), ids, lists)
+            who = lists[late[:, 0]]
+            yield from mark_rows(ids["k"][who], ids["h"][who], late[:, 1])
+            if level == 1:
+                yield from windows_on(ids, sizes, columns, text, text_at, column_at, lists, left, buckets)
+
+
 def class_of(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A hash of windows by four pieces of their text."""
     words = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
@@ -584,13 +618,14 @@ def merge_pairs(matrix: np.ndarray, turn: np.ndarray, own: np.ndarray, ids: np.n
     Rows begin with group and turn; within a group lists come in order of document, so of equal windows of two lists the
     one of smaller turn is the earlier, unless both are the same place of one document.
     """
-    width = matrix.shape[1]
     late = []
+    matrix = matrix.view(f"V{matrix.shape[1]}").ravel()
     while turn.max(initial=0) > 0:
         odd = turn & 1 == 1
-        turn >>= 1
-        matrix[:, 4:8] = turn.astype(">u4").view(np.uint8).reshape(-1, 4)
-        keys = matrix.view(f"S{width}").ravel()
+        turn = turn >> 1
+        head = np.ndarray((len(matrix),), [("group", ">u4"), ("turn", ">u4"), ("window", f"V{SPAN}")], matrix)
+        head["turn"] = turn
+        keys = matrix.view(f"S{matrix.itemsize}")
         one, two = keys[~odd], keys[odd]
         at = np.searchsorted(one, two)
         met = np.zeros(len(two), bool)
@@ -603,11 +638,14 @@ def merge_pairs(matrix: np.ndarray, turn: np.ndarray, own: np.ndarray, ids: np.n
         late.append(np.where(sooner[:, None], there, here)[~same])
         kept = own[~odd]
         kept[at[met]] = np.where(sooner[:, None], here, there)
-        fresh, rest = at[~met], np.flatnonzero(odd)[~met]
-        own_two = own[rest]
-        matrix = np.insert(matrix[~odd], fresh, matrix[rest], axis=0)
-        turn = np.insert(turn[~odd], fresh, turn[rest])
-        own = np.insert(kept, fresh, own_two, axis=0)
+        rest = np.flatnonzero(odd)[~met]
+        to = at[~met] + np.arange(len(rest))  # where the new ones come to lie
+        old = np.ones(len(one) + len(rest), bool)
+        old[to] = False
+        merged, turns, owns = np.empty(len(old), matrix.dtype), np.empty(len(old), turn.dtype), np.empty((len(old), 2), np.int64)
+        merged.view(keys.dtype)[old], turns[old], owns[old] = one, turn[~odd], kept
+        merged.view(keys.dtype)[to], turns[to], owns[to] = two[~met], turn[rest], own[rest]
+        matrix, turn, own = merged, turns, owns
     return own, np.concatenate(late) if late else np.zeros((0, 2), np.int64)
 
 
@@ -684,14 +722,12 @@ def deduplicate(docs: DataFrame, keep: list[str], with_text: bool) -> DataFrame:
     by_doc = answers.where(F.octet_length("k") > 0).repartition(buckets, "to").mapInArrow(open_replies, "_k long, _h long, needed binary, copied boolean")
     key = (F.col("k") == F.col("_k")) & (F.col("h") == F.col("_h"))
     texts = base.where(F.octet_length("text") >= SPAN).select("k", "h", "text").mapInArrow(press, f"{_KEY}, packed binary")
-    settled = materialize(texts.join(by_doc, key).drop("_k", "_h").mapInArrow(settle(heavy, buckets), SETTLED), "lists")
-    discard(answers)
-    parts = materialize(settled.where("level = 1").repartition(buckets, "to").mapInArrow(merge_lists(1, buckets), SETTLED), "heavy-lists")
-    both = settled.unionByName(parts)
-    merged = both.where("level = 2").repartition(buckets, "to").mapInArrow(merge_lists(2, buckets), SETTLED)
-    marks = both.unionByName(merged).where("level = 0").groupBy("k", "h").agg(F.collect_list("spans").alias("spans"))
-    marks = materialize(marks.withColumnsRenamed({"k": "_k", "h": "_h"}), "marks")
-    discard(settled, parts)
+    settled = texts.join(by_doc, key).drop("_k", "_h").mapInArrow(settle(heavy, buckets), SETTLED)
+    merged = materialize(settled.repartition(buckets, "to").mapInArrow(merge_lists(buckets), SETTLED), "marks")
+    last = merged.where("level = 2").repartition(buckets, "to").mapInArrow(merge_lists(buckets), SETTLED)
+    marks = merged.where("level = 0").unionByName(last).groupBy("k", "h").agg(F.collect_list("spans").alias("spans"))
+    marks = materialize(marks.withColumnsRenamed({"k": "_k", "h": "_h"}), "document-marks")
+    discard(answers, merged)
 
     fields = "".join(f"{n} {kinds[c]}, " for c, n in zip(keep, named, strict=True))
     packed = base.mapInArrow(press, f"{_KEY}, packed binary" + "".join(f", {n} {kinds[c]}" for c, n in zip(keep, named, strict=True)))
