@@ -9,8 +9,9 @@ sub-class with c shingles in the prefix counts c-1, since a partner that shares
 The prefix ends when the counts reach m; two linked sets then have a signature in common.
 
 Nodes that share a signature are joined to the least of them (a star), never to each other: so rows
-grow with the signatures.  A star's family holds all its candidate pairs; large families are cut into blocks,
-each pair of blocks a unit of work.  Upper bounds on the overlap from hash histograms take out pairs that
+grow with the signatures.  A star's family holds all its candidate pairs.  Large families are cut into blocks that each
+get the leader too; only members that don't come to the leader's side there are compared across blocks, since the
+others are in one component already.  Upper bounds on the overlap from hash histograms take out pairs that
 can't link.  The components of what is left are clusters: a node's set is sent to its cluster alone, where the
 exact overlaps are counted, and linked nodes become components.
 """
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ BUCKET_SHINGLES, BUCKETS_LEAST = 8, 64
 BLOCK_SHINGLES, BLOCK = 500_000, 4096
 #: Sets from which sub-classes are used; below, all shingles count as rare.
 SPLIT_LEAST = 24
-#: Rows up to which the list of candidates is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_ROWS = 250_000
+#: Bytes up to which the list of candidates is broadcast; beyond it, it is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 _PAIR, _MODE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -239,6 +241,12 @@ def find(parent: list[int], k: int) -> int:
     return k
 
 
+def lead(parent: list[int], k: int) -> None:
+    """Make k the root of its tree."""
+    parent[find(parent, k)] = k
+    parent[k] = k
+
+
 def groups_of(whole: pa.Table, key: list[str]) -> Iterator[tuple[int, int]]:
     """Row ranges of the groups of a table sorted by ``key``."""
     n = whole.num_rows
@@ -261,6 +269,7 @@ def possible_links(measure: Measure):
         for whole in whole_groups(batches, UNIT, 20_000):
             sizes, members = whole.column("n").to_numpy(), whole.column("member")
             rows, heads = [], []
+            leads = pc.equal(members, whole.column("leader")).to_numpy()
             data, at = buffers(whole.column("histogram").chunk(0))
             for low, high in groups_of(whole, UNIT):
                 if high - low < 2:
@@ -279,6 +288,8 @@ def possible_links(measure: Measure):
                         most = np.minimum(level[i - begin], level[i + 1 - begin : ends[i] - begin]).sum(1, dtype=np.int64)
                         for j in np.flatnonzero(measure.links(most, n[i], n[i + 1 : ends[i]])):
                             parent[find(parent, i + 1 + int(j))] = find(parent, i)
+                for k in np.flatnonzero(leads[order])[:1].tolist():
+                    lead(parent, k)
                 for k in range(len(order)):
                     if (r := find(parent, k)) != k:
                         rows.append(int(order[k]))
@@ -289,19 +300,46 @@ def possible_links(measure: Measure):
     return releasing(run)
 
 
-def units_of(members: DataFrame, group: str) -> DataFrame:
-    """Cut the groups of (group, member, n ...) rows into blocks: a row for each unit (leader, a, b) the member is in.
+def blocks_for(n: str = "n"):
+    return F.greatest(F.ceil(F.sum(n) / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
+
+
+def block_of(blocks: str):
+    return F.pmod(F.xxhash64("member"), F.col(blocks)).cast("int")
 
-    A unit holds a pair of blocks, so all pairs of a group meet; a group of one block is one unit.
+
+def linked(members: DataFrame, run) -> DataFrame:
+    """Links (u, v) that connect within every group of (leader, member, n) what is to be connected; leaders are members.
+
+    ``run`` compares all pairs of each unit (leader, a, b) and gives stars, whose centre is the leader where it takes part.
+    A group beyond a block is cut by hash, with the leader in every block; then what isn't connected with the leader meets
+    all others, block by block.  Two members that are both connected with the leader needn't meet.
     """
-    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int")
-    sizes = members.groupBy(group).agg(blocks.alias("blocks")).where(F.col("blocks") > 1)
-    sizes = materialize(sizes.select(F.col(group).alias("_l"), "blocks"), "shingle-large-groups")
-    units = members.join(sizes, F.col(group) == F.col("_l"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    units = units.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = [c for c in members.columns if c != group]
-    return units.select(F.col(group).alias("leader"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), *rest)
+    sizes = members.groupBy("leader").agg(blocks_for().alias("blocks")).where(F.col("blocks") > 1)
+    sizes = materialize(sizes.select(F.col("leader").alias("_l"), "blocks"), "shingle-large-groups")
+    columns = members.columns
+    dealt = members.join(sizes, F.col("leader") == F.col("_l"), "left")
+    own = F.when(F.col("_l").isNull(), F.array(F.lit(0))).when(F.col("leader") == F.col("member"), F.expr("sequence(0, blocks - 1)")).otherwise(F.array(block_of("blocks")))
+    units = dealt.withColumn("a", F.explode(own)).withColumn("b", F.col("a")).select(*columns, "a", "b")
+    links = materialize(run(units), "shingle-links")
+    if sizes.isEmpty():
+        return links
+    done = links.select(F.col("v").alias("_l2"), F.col("u").alias("_m"))
+    many = members.join(sizes, F.col("leader") == F.col("_l"))
+    apart = (F.col("leader") != F.col("member")) & F.col("_m").isNull()
+    many = many.join(done.distinct(), (F.col("leader") == F.col("_l2")) & (F.col("member") == F.col("_m")), "left").withColumn("apart", apart)
+    many = materialize(many.select(*columns, "blocks", "apart"), "shingle-many")
+    few = many.where("apart").groupBy("leader").agg(blocks_for().alias("parts"))
+    few = materialize(few.select(F.col("leader").alias("_l"), "parts"), "shingle-apart")
+    if not few.isEmpty():
+        rest = many.join(few, F.col("leader") == F.col("_l"))
+        alone = rest.where("apart").withColumns({"mine": block_of("parts"), "other": F.explode(F.expr("sequence(0, parts - 1)"))})
+        alone = alone.select(*columns, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+        guests = rest.where("apart").select(*columns, block_of("parts").alias("a"), F.explode(F.expr("sequence(-blocks, -1)")).alias("b"))
+        hosts = rest.where("not apart").select(*columns, F.explode(F.expr("sequence(0, parts - 1)")).alias("a"), (-1 - block_of("blocks")).alias("b"))
+        links = materialize(links.unionByName(run(alone.unionByName(guests).unionByName(hosts))), "shingle-links")
+    discard(sizes, many, few)
+    return links
 
 
 def shingle_rows(measure: Measure):
@@ -319,7 +357,7 @@ def shingle_rows(measure: Measure):
 def verify(measure: Measure):
     """Links of each unit, as stars of its components; every pair of sizes that fit is counted exactly."""
 
-    def links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def links(sets: list[np.ndarray], leader: int | None) -> list[tuple[int, int]]:
         n = np.array([len(s) for s in sets])
         order = np.argsort(n, kind="stable")
         n = n[order]
@@ -340,6 +378,8 @@ def verify(measure: Measure):
             overlap = np.bincount(owners[where], minlength=len(order))[i + 1 : ends[i]]
             for j in np.flatnonzero(measure.links(overlap, n[i], n[i + 1 : ends[i]])):
                 parent[find(parent, i + 1 + int(j))] = find(parent, i)
+        if leader is not None:
+            lead(parent, int(np.flatnonzero(order == leader)[0]))
         return [(int(order[k]), int(order[r])) for k in range(len(order)) if (r := find(parent, k)) != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +391,8 @@ def verify(measure: Measure):
                 if len(distinct) < 2:
                     continue
                 names = list(distinct)
-                for a, b in links([np.frombuffer(tokens[k].as_py(), np.uint64) for k in distinct.values()]):
+                leader = whole.column("leader")[low].as_py()
+                for a, b in links([np.frombuffer(tokens[k].as_py(), np.uint64) for k in distinct.values()], names.index(leader) if leader in distinct else None):
                     u.append(names[a])
                     v.append(names[b])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
@@ -382,23 +423,28 @@ def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
     stars = materialize(stars.distinct(), "shingle-stars")
     members = stars.unionByName(stars.select("leader", F.col("leader").alias("member")).distinct())
     members = members.join(nodes.select(F.col("node").alias("_n"), "n"), F.col("member") == F.col("_n")).drop("_n")
-    units = units_of(members, "leader").drop("n")
-    units = units.join(nodes.select(F.col("node").alias("_n"), "n", "histogram"), F.col("member") == F.col("_n")).drop("_n")
-    units = units.repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
-    clusters = components(units.mapInArrow(possible_links(measure), "u binary, v binary"))
+
+    def bounded(units: DataFrame) -> DataFrame:
+        units = units.drop("n").join(nodes.select(F.col("node").alias("_n"), "n", "histogram"), F.col("member") == F.col("_n")).drop("_n")
+        units = units.select(*UNIT, "member", "n", "histogram").repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
+        return units.mapInArrow(possible_links(measure), "u binary, v binary")
+
+    clusters = components(linked(members, bounded))
     clusters = clusters.withColumnRenamed("node", "member").join(nodes.select("node", "n", "sample"), F.col("member") == F.col("node")).drop("node")
-    clusters = materialize(clusters, "shingle-clusters")
+    clusters = materialize(clusters.withColumnRenamed("root", "leader"), "shingle-clusters")
     discard(stars)
 
-    wanted = units_of(clusters, "root").groupBy("member").agg(F.collect_list(F.struct(*UNIT)).alias("units"), F.first("sample").alias("sample"))
-    wanted = materialize(wanted.select(F.col("sample.doc_id").alias("_d"), F.col("sample.text_hash").alias("_h"), "units"), "shingle-wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    of_wanted = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
-    tokens = of_wanted.select("text", "units").mapInArrow(shingle_rows(measure), "units array<struct<leader:binary, a:int, b:int>>, member binary, tokens binary")
-    exact = tokens.select(F.explode("units").alias("u"), "member", "tokens").select("u.*", "member", "tokens")
-    exact = exact.repartition(buckets, *UNIT).sortWithinPartitions(*UNIT)
-    roots = materialize(components(exact.mapInArrow(verify(measure), "u binary, v binary")), "shingle-roots")
+    def exact(units: DataFrame) -> DataFrame:
+        wanted = units.groupBy("member").agg(F.collect_list(F.struct(*UNIT)).alias("units"), F.first("sample").alias("sample"))
+        wanted = materialize(wanted.select(F.col("sample.doc_id").alias("_d"), F.col("sample.text_hash").alias("_h"), "units"), "shingle-wanted")
+        size = wanted.agg(F.sum(F.size("units") * 40 + 60)).collect()[0][0] or 0
+        some = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
+        of_wanted = text.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
+        tokens = of_wanted.select("text", "units").mapInArrow(shingle_rows(measure), "units array<struct<leader:binary, a:int, b:int>>, member binary, tokens binary")
+        tokens = tokens.select(F.explode("units").alias("u"), "member", "tokens").select("u.*", "member", "tokens")
+        return tokens.repartition(buckets, *UNIT).sortWithinPartitions(*UNIT).mapInArrow(verify(measure), "u binary, v binary")
+
+    roots = materialize(components(linked(clusters, exact)), "shingle-roots")
 
     ids = nodes.select("node", F.col("doc_id").alias("own_id"))
     named = roots.withColumnRenamed("node", "_n")

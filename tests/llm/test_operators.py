@@ -363,13 +363,47 @@ def test_near_duplicates_against_brute_force(docs, k, num, den):
 def test_frequent_shingles_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
     base, small = prose(30, 90), prose(31, 30)
+    chain = [base]  # each links with its neighbours, few with the leader
+    for i in range(40):
+        chain.append(edited(chain[-1], 700 + i, 2))
     rows = [(i, edited(base, i, i % 9)) for i in range(60)] + [(100 + i, edited(small, i, i % 4)) for i in range(25)] + [(200 + i, base + " " + prose(300 + i, 12)) for i in range(9)]
+    rows += [(400 + i, t) for i, t in enumerate(chain)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = jaccard.near_duplicates(df, jaccard.Measure(4, 85, 100)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, out)) == sorted(components_by_brute_force(rows, 4, 85, 100))
 
 
+def test_large_groups_meet_the_leader_first(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    r = random.Random(12)
+    near = {(g, i) for g in (1, 2) for i in range(60) if r.random() < 0.6}  # connected with the leader, member 0
+    links = {(g, i, i + 1) for g in (1, 2) for i in range(59) if (g, i) not in near and r.random() < 0.7}
+    sent = []
+
+    def run(units):
+        rows = [tuple(x) for x in units.select("leader", "member", "a", "b").collect()]
+        sent.append(len(rows))
+        out = []
+        for _, group in itertools.groupby(sorted(rows, key=lambda x: (x[0], x[2], x[3], x[1])), key=lambda x: (x[0], x[2], x[3])):
+            mine = [(x[0], x[1] - 1000 * x[0]) for x in group]
+            for g, i in mine:
+                if (g, 0) in mine and i and (g, i) in near:
+                    out.append((1000 * g + i, 1000 * g))
+                if (g, i + 1) in mine and (g, i, i + 1) in links:
+                    out.append((1000 * g + i + 1, 1000 * g + i))
+        return spark.createDataFrame(out, "u long, v long")
+
+    members = spark.createDataFrame([(g, 1000 * g + i, 1) for g in (1, 2) for i in range(60)] + [(3, 3000, 1), (3, 3001, 1)], "leader long, member long, n long").withColumn("leader", F.col("leader") * 1000)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 10**9)
+    found = {tuple(x) for x in jaccard.linked(members.withColumn("leader", F.when(F.col("leader") == 0, 0).otherwise(F.col("leader"))), lambda units: run(units.withColumn("leader", (F.col("leader") / 1000).cast("long")))).collect()}
+    expected = {(1000 * g + i, 1000 * g) for g, i in near if i} | {(1000 * g + b, 1000 * g + a) for g, a, b in links}
+    assert found == expected and len(sent) == 2
+    few = max(60 - len({i for h, i in near if h == g}) for g in (1, 2))
+    assert sent[1] <= 2 * (few * (12 + -(-few // 5)) + 60 * -(-few // 5))
+
+
 def test_linked_sets_share_a_signature():
     r = np.random.default_rng(3)
     for num in (80, 85):
