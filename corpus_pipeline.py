@@ -6,12 +6,13 @@ columns they came with.
 
 from __future__ import annotations
 
+import contextvars
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import delete, materialize, written
+from halyard.llm.common import delete, discard, materialize, written
 from halyard.llm.jaccard import Measure, near_duplicates
 from halyard.llm.packing import VOCABULARY, pack
 from halyard.llm.quality import judge, with_statistics
@@ -19,31 +20,36 @@ from halyard.llm.secrets import mask_secrets
 from halyard.llm.suffixes import deduplicate
 
 OWN = ("doc_id", "text", "lang", "source")
-
-
-_scratch: list[str] = []
+#: What earlier stages that were called in this thread have left in the shared folder.
+_left: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("left", default=())
 
 
 def guarded(stage):
     """Run a stage with all columns but its own under neutral names, so that none can clash with what it adds.
 
-    A stage's result has to be written before the next stage is called: what it left in the shared folder is then deleted.
+    What earlier stages left in the shared folder is deleted first, unless ``docs`` still reads from it: a stage is given
+    documents that were written and read again, so nobody else needs it.
     """
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _scratch:
-            delete(spark, path)
-        _scratch.clear()
-        kept = set(written())
+        if _left.get() and not any(path in file for file in docs.inputFiles() for path in map(name_of, _left.get())):
+            for path in _left.get():
+                delete(spark, path)
+            _left.set(())
+        before = set(written())
         others = {c: f"extra_column_{i}" for i, c in enumerate(docs.columns) if c not in OWN}
         out = stage(spark, docs.withColumnsRenamed(others), sf_dir)
-        _scratch.extend(p for p in written() if p not in kept)
+        _left.set((*_left.get(), *(p for p in written() if p not in before)))
         return out.withColumnsRenamed({v: k for k, v in others.items()})
 
     return run_stage
 
 
+def name_of(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
 #: Near duplicates: shingles of five words, Jaccard similarity of 0.8 or more.
 NEAR = Measure(5, 80, 100)
 
@@ -113,8 +119,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each result is written and read again as the next one's input."""
+    """Apply all stages to ``documents``; each result is written and read again as the next one's input, and then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if hasattr(before, "_halyard_path"):
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
