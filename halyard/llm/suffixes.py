@@ -32,7 +32,7 @@ BEFORE = SPAN - GRAM
 #: Windows of a list, at most: a column is one byte.
 LIST = 200
 #: Windows of a block, at most, and text of a shard.
-BLOCK, SHARD_BYTES = 1024, 1 << 20
+BLOCK, SHARD_BYTES = 1024, 1 << 19
 #: Windows of a document that are looked at together.
 CHUNK = 1 << 18
 #: Occurrences of an anchor beyond which it is heavy, and how many anchors can be (the commonest ones; that bounds the broadcast).
