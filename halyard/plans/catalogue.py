@@ -6,11 +6,12 @@ replaced by ones that do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.operators.joins import or_key_join
 from halyard.operators.ordering import top
+from halyard.operators.windows import row_number, running_sum
 from halyard.sources.star import LINEORDER, Star, duck_views
 
 C = F.col
@@ -43,13 +44,14 @@ for _name, _of in zip(["health_01_count_lineorder", "health_02_count_customer",
     _count(_name, _of)
 
 
-def _filter(name: str, columns: list[str], condition: str) -> None:
-    _QUERIES[name] = (lambda s: s.lineorder(*columns).where(condition).agg(n()), f"SELECT count(*) AS n FROM x_lineorder WHERE {condition}")
+def _filter(name: str, columns: list[str], condition: str, within: dict[str, tuple[int, int]] | None = None) -> None:
+    """A count; ``within`` gives the condition as ranges of columns, which reach the scan."""
+    _QUERIES[name] = (lambda s: (s.lineorder(*columns, within=within) if within else s.lineorder(*columns).where(condition)).agg(n()), f"SELECT count(*) AS n FROM x_lineorder WHERE {condition}")
 
 
-_filter("filter_01_eq", ["lo_quantity"], "lo_quantity = 25")
-_filter("filter_02_range", ["lo_quantity"], "lo_quantity BETWEEN 25 AND 35")
-_filter("filter_03_or", ["lo_discount"], "lo_discount = 1 OR lo_discount = 2")
+_filter("filter_01_eq", ["lo_quantity"], "lo_quantity = 25", {"lo_quantity": (25, 25)})
+_filter("filter_02_range", ["lo_quantity"], "lo_quantity BETWEEN 25 AND 35", {"lo_quantity": (25, 35)})
+_filter("filter_03_or", ["lo_discount"], "lo_discount = 1 OR lo_discount = 2", {"lo_discount": (1, 2)})
 _filter("filter_04_arithmetic", ["lo_quantity", "lo_discount"], "lo_quantity * 2 < lo_discount * 10")
 _filter("filter_05_not_is_null", ["lo_revenue"], "NOT (lo_revenue IS NULL)")
 _filter("filter_06_complex_boolean", ["lo_quantity", "lo_discount"], "(lo_quantity BETWEEN 10 AND 20) OR (lo_discount BETWEEN 2 AND 4)")
@@ -117,25 +119,26 @@ def agg_06_aggregate_expression(s: Star) -> DataFrame:
 _LINKS = {"ddate": ("lo_orderdate", "d_datekey"), "customer": ("lo_custkey", "c_custkey"), "supplier": ("lo_suppkey", "s_suppkey"), "part": ("lo_partkey", "p_partkey")}
 
 
-def star_join(s: Star, measures: list[str], where: dict[str, str | None]) -> DataFrame:
+def star_join(s: Star, measures: list[str], where: dict[str, str | None], within: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Lineorder's ``measures`` joined with the dimensions in ``where``, each filtered before the join."""
-    rows = s.lineorder(*dict.fromkeys([*measures, *[_LINKS[d][0] for d in where]]))
+    rows = s.lineorder(*dict.fromkeys([*measures, *[_LINKS[d][0] for d in where]]), within=within)
     for name, condition in where.items():
         dimension = getattr(s, name)()
         rows = rows.join(dimension.where(condition) if condition else dimension, C(_LINKS[name][0]) == C(_LINKS[name][1]))
     return rows
 
 
-def _star(name: str, keys: list[str], measure: str, columns: list[str], where: dict[str, str | None], over: str | None = None, alias: str = "revenue") -> None:
-    """A star query: ``measure`` grouped by ``keys``; ``over`` is a condition above the joins."""
+def _star(name: str, keys: list[str], measure: str, columns: list[str], where: dict[str, str | None], over: str | None = None, alias: str = "revenue", within: dict[str, tuple[int, int]] | None = None) -> None:
+    """A star query: ``measure`` grouped by ``keys``; ``over`` is a condition above the joins, ``within`` one of ranges of the fact table's columns."""
 
     def build(s: Star) -> DataFrame:
-        rows = star_join(s, columns, where)
+        rows = star_join(s, columns, where, within)
         rows = rows.where(over) if over else rows
         rows = rows.groupBy(*keys) if keys else rows
         return rows.agg(F.expr(measure).alias(alias))
 
-    conditions = [f"{_LINKS[d][0]} = {_LINKS[d][1]}" for d in where] + [f"({c})" for c in where.values() if c] + ([f"({over})"] if over else [])
+    conditions = [f"{c} BETWEEN {low} AND {high}" for c, (low, high) in (within or {}).items()]
+    conditions += [f"{_LINKS[d][0]} = {_LINKS[d][1]}" for d in where] + [f"({c})" for c in where.values() if c] + ([f"({over})"] if over else [])
     select = ", ".join([*keys, f"CAST({measure} AS BIGINT) AS {alias}"])
     sql = f"SELECT {select} FROM {', '.join(['x_lineorder', *[f'x_{d}' for d in where]])}"
     sql += f" WHERE {' AND '.join(conditions)}" if conditions else ""
@@ -153,9 +156,9 @@ _star("join_02_supplier_filter", [], "count(1)", _R, {"supplier": "s_region = 1"
 _star("join_03_part_filter", [], "count(1)", _R, {"part": "p_category = 1"})
 _star("join_04_date_filter", [], "count(1)", _R, {"ddate": "d_year = 2000"})
 _star("join_05_four_table_count", [], "count(1)", _R, {"part": "p_category = 1", "supplier": "s_region = 1", "ddate": None})
-_star("q11", [], "sum(lo_extendedprice * lo_discount)", _FLAT, {}, "lo_orderdate BETWEEN 19960101 AND 19970101 AND lo_discount BETWEEN 1 AND 3 AND lo_quantity < 25")
-_star("q12", [], "sum(lo_extendedprice * lo_discount)", _FLAT, {}, "lo_orderdate BETWEEN 19970101 AND 19970131 AND lo_discount BETWEEN 4 AND 6 AND lo_quantity BETWEEN 26 AND 35")
-_star("q13", [], "sum(lo_extendedprice * lo_discount)", _FLAT, {}, "lo_orderdate BETWEEN 19970204 AND 19970210 AND lo_discount BETWEEN 5 AND 7 AND lo_quantity BETWEEN 26 AND 35")
+_star("q11", [], "sum(lo_extendedprice * lo_discount)", _FLAT, {}, within={"lo_orderdate": (19960101, 19970101), "lo_discount": (1, 3), "lo_quantity": (0, 24)})
+_star("q12", [], "sum(lo_extendedprice * lo_discount)", _FLAT, {}, within={"lo_orderdate": (19970101, 19970131), "lo_discount": (4, 6), "lo_quantity": (26, 35)})
+_star("q13", [], "sum(lo_extendedprice * lo_discount)", _FLAT, {}, within={"lo_orderdate": (19970204, 19970210), "lo_discount": (5, 7), "lo_quantity": (26, 35)})
 _star("q21", ["d_year", "p_brand1"], _SUM, _R, {"part": "p_category = 1", "supplier": "s_region = 1", "ddate": None})
 _star("q22", ["d_year", "p_brand1"], _SUM, _R, {"part": "p_brand1 BETWEEN 260 AND 267", "supplier": "s_region = 2", "ddate": None})
 _star("q23", ["d_year", "p_brand1"], _SUM, _R, {"part": "p_brand1 = 260", "supplier": "s_region = 3", "ddate": None})
@@ -307,14 +310,14 @@ _TIES = ["lo_orderkey", "lo_linenumber", "lo_partkey", "lo_suppkey", "lo_quantit
 
 @query(f"SELECT d_year, lo_revenue, CAST(row_number() OVER (PARTITION BY d_year ORDER BY lo_revenue DESC NULLS LAST, {', '.join(_TIES)}) AS INT) AS place FROM x_lineorder, x_ddate WHERE lo_orderdate = d_datekey")
 def window_01_row_number(s: Star) -> DataFrame:
-    window = Window.partitionBy("d_year").orderBy(C("lo_revenue").desc_nulls_last(), *_TIES)
-    return star_join(s, [*_R, *_TIES], {"ddate": None}).select("d_year", "lo_revenue", F.row_number().over(window).alias("place"))
+    rows = star_join(s, [*_R, *_TIES], {"ddate": None}).select("d_year", "lo_revenue", *_TIES)
+    return row_number(rows, "d_year", "lo_revenue", True, _TIES, "place").select("d_year", "lo_revenue", "place")
 
 
 @query("SELECT d_year, lo_orderkey, CAST(sum(lo_revenue) OVER (PARTITION BY d_year ORDER BY lo_orderkey) AS BIGINT) AS running FROM x_lineorder, x_ddate WHERE lo_orderdate = d_datekey")
 def window_02_running_sum(s: Star) -> DataFrame:
-    window = Window.partitionBy("d_year").orderBy("lo_orderkey")
-    return star_join(s, ["lo_revenue", "lo_orderkey"], {"ddate": None}).select("d_year", "lo_orderkey", F.sum("lo_revenue").over(window).alias("running"))
+    rows = star_join(s, ["lo_revenue", "lo_orderkey"], {"ddate": None}).select("d_year", "lo_orderkey", "lo_revenue")
+    return running_sum(rows, "d_year", "lo_orderkey", "lo_revenue", "running").select("d_year", "lo_orderkey", "running")
 
 
 _BUCKET = "CASE WHEN lo_quantity < 10 THEN 0 WHEN lo_quantity < 25 THEN 1 ELSE 2 END"
@@ -412,7 +415,7 @@ def order_null_last(s: Star) -> DataFrame:
 
 @query("SELECT CASE WHEN lo_quantity < 25 THEN 1 ELSE 0 END AS low, count(*) AS n FROM x_lineorder GROUP BY 1")
 def case_when_function(s: Star) -> DataFrame:
-    return s.lineorder("lo_quantity").groupBy(F.expr("if(lo_quantity < 25, 1, 0)").alias("low")).agg(n())
+    return s.lineorder("lo_quantity").groupBy(F.when(C("lo_quantity") < 25, 1).otherwise(0).alias("low")).agg(n())
 
 
 @query("SELECT CAST(sum((lo_supplycost - lo_revenue) // 7) AS BIGINT) AS total, CAST(sum(lo_revenue // nullif(lo_discount, 0)) AS BIGINT) AS guarded FROM x_lineorder")
@@ -490,6 +493,11 @@ def nullable_fixture_q5(s: Star) -> DataFrame:
     return numbers(s).groupBy("grp").agg(total(F.when(C("val").isNull(), 1).otherwise(0), "missing")).orderBy("grp")
 
 
+def build(name: str, star: Star) -> DataFrame:
+    """The query over star tables, derived or stored."""
+    return _QUERIES[name][0](star)
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, build=build: build(Star(spark, sf_dir))) for name, (build, _) in _QUERIES.items()}
 

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import re
+import signal
 import sys
 import time
 from dataclasses import dataclass, fields
+from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.functions import dialect
+from halyard.functions.dialect import QueryError
+from halyard.operators.joins import split_or_joins
 from halyard.sources.star import Star
 
 _UNITS = {"": 1, "b": 1, "kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30}
 
 
-class QueryError(ValueError):
-    """A statement that the facade refuses."""
-
-
 @dataclass
 class Config:
     """Settings from a ``key=value`` file; ``#`` and ``;`` begin comments, unknown keys are errors."""
@@ -42,6 +45,26 @@ class Config:
             raise QueryError("reserve_fraction must be from 0 to 0.9")
         return out
 
+    @classmethod
+    def load(cls) -> Config:
+        """The first file there is: $HALYARD_CONFIG, halyard.conf, ~/.config/halyard/config.conf; without one, the defaults."""
+        named = [os.environ["HALYARD_CONFIG"]] if os.environ.get("HALYARD_CONFIG") else []
+        for path in map(Path, [*named, "halyard.conf", Path.home() / ".config/halyard/config.conf"]):
+            if path.is_file():
+                return cls.parse(path.read_text())
+        return cls()
+
+    def settings(self, cores: int) -> dict[str, str]:
+        """Session settings: with a memory limit, its unreserved part is shared by the cores, each with room for a few partitions."""
+        out = {"spark.sql.shuffle.partitions": str(self.shuffle_partitions)} if self.shuffle_partitions else {}
+        if self.memory_limit:
+            usable = self.memory_limit * (1 - self.reserve_fraction)
+            share = max(1 << 20, int(usable / cores / 8))
+            out["spark.sql.files.maxPartitionBytes"] = str(min(share, 128 << 20))
+            out["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(min(share, 64 << 20))
+            out["spark.sql.autoBroadcastJoinThreshold"] = str(min(int(usable / 64), 10 << 20))
+        return out
+
 
 def parse_size(text: str) -> int:
     """A whole number with an optional unit from B to GiB."""
@@ -66,12 +89,15 @@ def statements(text: str) -> list[str]:
 
 
 class Engine:
-    """``sql`` gives DataFrames over the star views; ``explain`` the plan; ``tail`` the last rows."""
+    """``sql`` gives DataFrames over the star views; ``explain`` the plan; ``tail`` the last rows.
+
+    With ``store``, the views read star tables written there by ``Star.store``, else they are derived from the inputs.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, config: Config | None = None):
-        self.spark, self.config, self.star = spark, config or Config(), Star(spark, sf_dir)
-        if self.config.shuffle_partitions:
-            spark.conf.set("spark.sql.shuffle.partitions", self.config.shuffle_partitions)
+    def __init__(self, spark: SparkSession, sf_dir: str, config: Config | None = None, store: str | None = None):
+        self.spark, self.config, self.star = spark, config or Config(), Star(spark, sf_dir, store)
+        for key, value in self.config.settings(spark.sparkContext.defaultParallelism).items():
+            spark.conf.set(key, value)
         self.star.register()
 
     def cache(self) -> None:
@@ -87,7 +113,10 @@ class Engine:
         for s in found:
             if not re.match(r"\(*\s*(select|with|values|from)\b", s, re.I):
                 raise QueryError("only queries are allowed")
-        df = self.spark.sql(found[-1])
+            dialect.check_aggregates(s)
+        text = dialect.nulls_last(dialect.case_when(found[-1]))
+        text = dialect.whole_division(text, lambda t: self.spark.sql(t)._jdf.queryExecution().analyzed())
+        df = split_or_joins(self.spark.sql(text))
         names = [c.lower() for c in df.columns]
         if twice := {c for c in names if names.count(c) > 1}:
             raise QueryError(f"duplicate SELECT alias: {', '.join(sorted(twice))}")
@@ -99,10 +128,13 @@ class Engine:
         return df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
     def tail(self, text: str, rows: int | None = None) -> tuple[list, int, list[str]]:
-        """The last rows, the number of all rows, and the column names."""
-        df = self.sql(text)
-        rows = self.config.display_rows if rows is None else rows
-        return df.tail(rows), df.count(), df.columns
+        """The last rows, the number of all rows, and the column names; the query runs once, its result is kept meanwhile."""
+        df = self.sql(text).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = df.count()
+            return df.tail(self.config.display_rows if rows is None else rows), n, df.columns
+        finally:
+            df.unpersist()
 
 
 class Shell:
@@ -152,18 +184,22 @@ class Shell:
                         self.say(plan)
             if self.limit is None:
                 df = self.engine.sql(text)
-                rows, names = df.collect(), df.columns
-                n = len(rows)
+                n, first, rows, names = 0, 0, df.toLocalIterator(), df.columns  # a partition at a time
             else:
                 rows, n, names = self.engine.tail(text, self.limit)
+                first = n - len(rows)
             self.say("Columns: " + ", ".join(names))
-            for i, row in enumerate(rows, n - len(rows)):
+            for i, row in enumerate(rows, first):
                 self.say(f"Row {i}: " + " | ".join("NULL" if v is None else str(v) for v in row))
+                n = max(n, i + 1)
             self.say(f"Rows returned: {n}")
             if self.flags["timing"]:
                 self.say(f"Time: {time.time() - begun:.3f} s")
+        except KeyboardInterrupt:
+            self.engine.spark.sparkContext.cancelAllJobs()
+            self.say("Query cancelled.")
         except Exception as e:  # a failed statement doesn't end the shell
-            self.say(f"[ERROR] {str(e).splitlines()[0]}")
+            self.say(f"[ERROR] {(str(e).splitlines() or [type(e).__name__])[0]}")
 
     def loop(self, lines) -> None:
         held = ""
@@ -176,3 +212,28 @@ class Shell:
             if held.rstrip().endswith(";"):
                 self.run(held)
                 held = ""
+        if held.strip():
+            self.say("Query cancelled.")
+
+
+def lines_from(stream):
+    """Lines of a terminal, with prompts; an interrupt at the prompt drops the line."""
+    while True:
+        try:
+            yield input("halyard> ") + "\n" if stream.isatty() else next(stream)
+        except KeyboardInterrupt:
+            print()
+        except (EOFError, StopIteration):
+            return
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """``python -m halyard FOLDER``: the shell over the tables of a folder."""
+    arguments = sys.argv[1:] if arguments is None else arguments
+    if len(arguments) != 1:
+        raise SystemExit("usage: python -m halyard FOLDER")
+    spark = SparkSession.builder.appName("halyard").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    signal.signal(signal.SIGINT, signal.default_int_handler)
+    Shell(Engine(spark, arguments[0], Config.load())).loop(lines_from(sys.stdin))
+    spark.stop()

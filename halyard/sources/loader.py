@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import struct
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +20,7 @@ def read_table(spark: SparkSession, path: str, schema: str, delimiter: str = "|"
 def load_table(spark: SparkSession, path: str, schema: str, target: str, delimiter: str = "|", sort_by: list[str] | None = None) -> None:
     """Delimited text to Parquet, whose dictionary and run-length coding take the place of tools for them."""
     rows = read_table(spark, path, schema, delimiter)
-    (rows.sortWithinPartitions(*sort_by) if sort_by else rows).write.mode("overwrite").parquet(target)
+    (rows.orderBy(*sort_by) if sort_by else rows).write.mode("overwrite").parquet(target)  # files are in order, and rows in them
 
 
 def code_strings(rows: DataFrame, column: str, values: list[str], name: str) -> DataFrame:
@@ -31,21 +36,38 @@ def brand_code(brand: Column) -> Column:
 
 
 def column_statistics(rows: DataFrame) -> DataFrame:
-    """column_name, least, most (as strings), n_distinct, n_null and is_unique for every column, in one pass."""
-    aggregates = []
-    for k, c in enumerate(rows.columns):
-        column = F.col(f"`{c}`")
-        aggregates.append(
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.min(column).cast("string").alias("least"),
-                F.max(column).cast("string").alias("most"),
-                F.countDistinct(column).alias("n_distinct"),
-                F.count(F.when(column.isNull(), 1)).alias("n_null"),
-                (F.countDistinct(column) == F.count(column)).alias("is_unique"),
-            ).alias(f"s{k}")
+    """column_name, least, most (as strings), n_distinct, n_null and is_unique for every column.
+
+    Each column is aggregated from its distinct values and their counts, so that no pass multiplies rows.
+    """
+
+    def of(c: str) -> DataFrame:
+        counts = rows.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        value = F.col("v")
+        return counts.agg(
+            F.lit(c).alias("column_name"),
+            F.min(value).cast("string").alias("least"),
+            F.max(value).cast("string").alias("most"),
+            F.count(value).alias("n_distinct"),
+            F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+            F.coalesce(F.max(F.when(value.isNotNull(), F.col("n"))) == 1, F.lit(True)).alias("is_unique"),
         )
-    return rows.agg(*aggregates).select(F.explode(F.array(*[f"s{k}" for k in range(len(rows.columns))])).alias("s")).select("s.*")
+
+    return reduce(DataFrame.unionByName, [of(c) for c in rows.columns])
+
+
+def cached_statistics(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """Statistics of a Parquet table, kept at ``cache`` under the sizes and times of the table's files, and made anew when these change."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = lambda p: hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration())
+    files, listing = [], fs(path).listFiles(hadoop(path), True)
+    while listing.hasNext():
+        f = listing.next()
+        files.append(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}")
+    kept = f"{cache}/{hashlib.sha256(chr(10).join([path, *sorted(files)]).encode()).hexdigest()}"
+    if not fs(kept).exists(hadoop(f"{kept}/_SUCCESS")):
+        column_statistics(spark.read.parquet(path)).coalesce(1).write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept)
 
 
 def decode_validity(raw: bytes, rows: int, kind: str) -> np.ndarray:
@@ -67,3 +89,41 @@ def raw_column(raw: bytes, validity: bytes | None = None, kind: str = "valid64")
     if validity is None:
         return values.tolist()
     return [v if ok else None for v, ok in zip(values.tolist(), decode_validity(validity, len(values), kind).tolist(), strict=True)]
+
+
+
+def _numbered(spark: SparkSession, path: str, code: str, fields: str) -> DataFrame:
+    """Fixed-length records of a headerless file with their numbers; splits of the file are read by different tasks."""
+    records = spark.sparkContext.binaryRecords(path, struct.calcsize(code))
+    counts = records.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()  # one number a split
+    starts = [0, *itertools.accumulate(counts)]
+    numbered = records.mapPartitionsWithIndex(lambda k, it: ((starts[k] + i, *struct.unpack(code, x)) for i, x in enumerate(it)))
+    return spark.createDataFrame(numbered, fields)
+
+
+def read_raw_columns(spark: SparkSession, files: dict[str, str], validity: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Headerless files of 32-bit ints, one a column, with optional validity sidecars (path, kind), as a table with its row_number.
+
+    Rows of the columns are brought together by their numbers; files of unequal length are an error.
+    """
+    out = None
+    for name, path in files.items():
+        column = _numbered(spark, path, "<i", f"row_number long, `{name}` int")
+        if name in (validity or {}):
+            side, kind = validity[name]
+            if kind.endswith("64"):
+                words = _numbered(spark, side, "<q", "_word long, _bits long")
+                bit = F.col("row_number").bitwiseAND(F.lit(63)).cast("int")
+                column = column.join(words, F.shiftright("row_number", 6) == F.col("_word"), "left").withColumn("_set", F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)))
+            else:
+                column = column.join(_numbered(spark, side, "<b", "_byte long, _set byte"), F.col("row_number") == F.col("_byte"), "left")
+            wrong = F.raise_error(F.lit(f"{side} doesn't fit the rows of {path}"))
+            is_null = (F.col("_set") == 0) if kind.startswith("valid") else (F.col("_set") != 0)
+            column = column.select("row_number", F.when(F.col("_set").isNull(), wrong).when(is_null, None).otherwise(F.col(f"`{name}`")).cast("int").alias(name))
+        if out is None:
+            out = column.withColumn("_there", F.lit(True))
+        else:
+            out = out.join(column.withColumnRenamed("row_number", "_row").withColumn("_here", F.lit(True)), F.col("row_number") == F.col("_row"), "full")
+            fits = F.col("_there").isNotNull() & F.col("_here").isNotNull()
+            out = out.withColumn("row_number", F.when(fits, F.col("row_number")).otherwise(F.raise_error(F.lit(f"{path} has another number of rows")).cast("long"))).drop("_row", "_here")
+    return out.drop("_there")

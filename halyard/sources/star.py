@@ -38,6 +38,17 @@ LINEORDER = {
     "lo_commitdate": (f"CAST({_DAY.format('l_shipdate')} AS INT)", ""),
     "lo_shipmode": ("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END", ""),
 }
+#: Dimensions and the fact table.
+TABLES = ("lineorder", "ddate", "customer", "supplier", "part")
+#: coded column -> (raw column, its side table, SQL of the least and of the first too large raw value for codes {low} to {high}): what a range of
+#: codes implies for the raw column, so that the scan can skip row groups.  Rounded columns are given some room.
+RAW = {
+    "lo_quantity": ("l_quantity", "", "CAST({low} AS DOUBLE)", "CAST({high} + 1 AS DOUBLE)"),
+    "lo_discount": ("l_discount", "", "CAST({low} / 100D - 0.0051D AS DOUBLE)", "CAST({high} / 100D + 0.0051D AS DOUBLE)"),
+    "lo_tax": ("l_tax", "", "CAST({low} / 100D - 0.0051D AS DOUBLE)", "CAST({high} / 100D + 0.0051D AS DOUBLE)"),
+    "lo_orderdate": ("o_orderdate", "o", "to_date('{low}', 'yyyyMMdd')", "date_add(to_date('{high}', 'yyyyMMdd'), 1)"),
+    "lo_commitdate": ("l_shipdate", "", "to_date('{low}', 'yyyyMMdd')", "date_add(to_date('{high}', 'yyyyMMdd'), 1)"),
+}
 _BRAND = "CAST(substr(p_brand, 7) AS INT)"
 _DIMENSIONS = {
     "customer": (
@@ -58,25 +69,45 @@ def _spark(sql: str) -> str:
 
 
 class Star:
-    """The star tables over one data folder; every method gives a lazy DataFrame."""
+    """The star tables over one data folder; every method gives a lazy DataFrame.
+
+    With ``store``, they are read from there, where ``store_tables`` has written them.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, store: str | None = None):
+        self.spark, self.sf_dir, self.store = spark, sf_dir, store
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def lineorder(self, *columns: str) -> DataFrame:
-        columns = columns or tuple(LINEORDER)
-        needs = {LINEORDER[c][1] for c in columns}
-        rows = self.table("lineitem")
+    def lineorder(self, *columns: str, within: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+        """The fact table's columns; ``within`` keeps rows whose coded columns lie in ranges (both ends included)."""
+        columns, within = columns or tuple(LINEORDER), within or {}
+        ranges = [F.col(c).between(low, high) for c, (low, high) in within.items()]
+        if self.store:
+            rows = self.spark.read.parquet(f"{self.store}/lineorder")
+            for r in ranges:
+                rows = rows.where(r)
+            return rows.select(*columns)
+        wanted = dict.fromkeys([*columns, *within])
+        needs = {LINEORDER[c][1] for c in wanted}
+        sources = {"": self.table("lineitem"), "o": self.table("orders"), "p": self.table("part")}
+        for c, (low, high) in within.items():
+            raw, side, least, beyond = RAW[c]
+            sources[side] = sources[side].where(f"{raw} >= {least.format(low=low)} AND {raw} < {beyond.format(high=high)}")
+        rows = sources[""]
         if "o" in needs:
-            rows = rows.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            rows = rows.join(sources["o"], F.col("l_orderkey") == F.col("o_orderkey"))
         if "p" in needs:
-            rows = rows.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return rows.selectExpr(*[f"{LINEORDER[c][0]} AS {c}" for c in columns])
+            rows = rows.join(sources["p"], F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.selectExpr(*[f"{LINEORDER[c][0]} AS {c}" for c in wanted])
+        for r in ranges:
+            rows = rows.where(r)
+        return rows.select(*columns)
 
     def _dimension(self, name: str) -> DataFrame:
+        if self.store:
+            return self.spark.read.parquet(f"{self.store}/{name}")
         rows = self.table(name)
         if name != "part":
             key = f"{name[0]}_nationkey"
@@ -93,14 +124,29 @@ class Star:
         return self._dimension("part")
 
     def ddate(self) -> DataFrame:
+        if self.store:
+            return self.spark.read.parquet(f"{self.store}/ddate")
         days = self.spark.range(1).selectExpr(f"explode(sequence(DATE'{FIRST_DAY}', DATE'{LAST_DAY}', INTERVAL 1 DAY)) AS d")
         return days.selectExpr(*_split(_DDATE))
 
     def register(self) -> None:
         """Temporary views lineorder, ddate, customer, supplier and part, for SQL texts."""
-        for name in ("lineorder", "ddate", "customer", "supplier", "part"):
+        for name in TABLES:
             getattr(self, name)().createOrReplaceTempView(name)
 
+    def store_tables(self, target: str) -> Star:
+        """Write the star tables as Parquet, the fact table in ranges of its order date, and give the star that reads them."""
+        rows = self.lineorder()
+        rows.repartitionByRange("lo_orderdate", "lo_orderkey", "lo_linenumber").sortWithinPartitions("lo_orderdate").write.mode("overwrite").parquet(f"{target}/lineorder")
+        for name in TABLES[1:]:
+            getattr(self, name)().coalesce(1).write.mode("overwrite").parquet(f"{target}/{name}")
+        return Star(self.spark, self.sf_dir, target)
+
+    def preload(self) -> None:
+        """Hold the stored tables in memory (on disk, where memory ends); lineorder's batches keep their ranges, so filters skip some."""
+        for name in TABLES:
+            self.spark.read.parquet(f"{self.store}/{name}").cache().count()
+
 
 def _split(items: str) -> list[str]:
     """Cut a SELECT list at its outer commas."""

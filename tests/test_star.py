@@ -2,13 +2,17 @@ import io
 
 import pytest
 from conftest import DATA, same_rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from halyard.functions import dialect
 from halyard.operators.joins import or_key_join
 from halyard.operators.ordering import top
-from halyard.plans import catalogue
+from halyard.operators.windows import row_number, running_sum
+from halyard.plans import catalogue, texts
 from halyard.plans.engine import Config, Engine, QueryError, Shell, parse_size, statements
 from halyard.sources import loader
+from halyard.sources.star import Star
 
 
 @pytest.mark.parametrize("name", list(catalogue.queries()))
@@ -16,6 +20,11 @@ def test_query_equals_sql(spark, duck, name):
     same_rows(catalogue.queries()[name](spark, DATA), duck, catalogue.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", list(texts.queries()))
+def test_text_equals_sql(spark, duck, name):
+    same_rows(texts.queries()[name](spark, DATA), duck, texts.oracle_sql()[name])
+
+
 def test_queries_and_sql_have_the_same_names():
     assert catalogue.queries().keys() == catalogue.oracle_sql().keys()
 
@@ -44,9 +53,62 @@ def test_three_valued_logic(spark, sql, expected):
     assert spark.sql(f"SELECT {sql.replace('null', 'CAST(null AS BOOLEAN)')} AS v").collect()[0].v is expected
 
 
-def test_filter_and_columns_reach_the_scan(spark):
-    plan = catalogue.queries()["filter_01_eq"](spark, DATA)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<l_quantity:double>" in plan
+def plan_of(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")  # which cuts nothing short
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_columns_and_ranges_reach_the_scan(spark):
+    plan = plan_of(catalogue.queries()["filter_01_eq"](spark, DATA))
+    assert "ReadSchema: struct<l_quantity:double>" in plan and "GreaterThanOrEqual(l_quantity,25.0)" in plan and "LessThan(l_quantity,26.0)" in plan
+    plan = plan_of(catalogue.queries()["q11"](spark, DATA))
+    assert all(x in plan for x in ("GreaterThanOrEqual(o_orderdate,1996-01-01", "LessThan(o_orderdate,1997-01-02", "LessThan(l_discount,0.0351)", "LessThan(l_quantity,25.0)"))
+
+
+def test_ranges_lose_no_row(spark):
+    s = Star(spark, DATA)
+    for c, low, high in (("lo_discount", 0, 3), ("lo_tax", 2, 2), ("lo_quantity", 50, 50), ("lo_orderdate", 19960229, 19960301), ("lo_commitdate", 19951231, 19960101)):
+        assert s.lineorder(c, within={c: (low, high)}).count() == s.lineorder(c).where(f"{c} BETWEEN {low} AND {high}").count() > 0
+
+
+def test_stored_star(spark, duck, tmp_path):
+    star = Star(spark, DATA).store_tables(str(tmp_path))
+    for name in ("q11", "q21", "q43", "custom1", "mht_02_or_join_dedup"):
+        same_rows(catalogue._QUERIES[name][0](star), duck, catalogue.oracle_sql()[name])
+    plan = plan_of(catalogue._QUERIES["q11"][0](star))
+    assert "GreaterThanOrEqual(lo_orderdate,19960101)" in plan and "LessThanOrEqual(lo_discount,3)" in plan
+    engine = Engine(spark, DATA, store=str(tmp_path))
+    assert "GreaterThanOrEqual(lo_quantity,25)" in plan_of(engine.sql("select count(*) as n from lineorder where lo_quantity between 25 and 35"))
+
+
+@pytest.mark.parametrize("name", ["sql_custom1", "sql_mht_02_or_join_dedup", "sql_join_or_keys", "sql_join_or_three_keys"])
+def test_or_joins_of_texts_are_no_nested_loops(spark, name):
+    plan = plan_of(texts.queries()[name](spark, DATA))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Union" in plan
+
+
+def test_dialect(spark):
+    e = Engine(spark, DATA)
+    value = lambda text: e.sql(text).collect()[0][0]
+    assert (value("select 7/2 as a"), value("select -7/2 as a"), value("select 7.0/2 as a"), value("select 100/(7/2)/2 as a")) == (3, -3, 3.5, 16)
+    assert value("select CASE_WHEN(null, 1, 2) as a") == 2 and value("select '1/2' as a -- x/y\n") == "1/2"
+    assert value("select case when 9/2 = 4 then 7/3 else 0 end / 2 as a") == 1
+    assert [r.v for r in e.sql("select v from values (1), (null), (2) as t(v) order by v").collect()] == [1, 2, None]
+    assert [r.v for r in e.sql("select v from (select v from values (1), (null), (2) as t(v) order by v desc limit 3) limit 3").collect()] == [2, 1, None]
+    assert dialect.nulls_last("select a from t order by f(a, b), b desc nulls first, c limit 2") == "select a from t order by f(a, b) NULLS LAST, b desc nulls first, c NULLS LAST limit 2"
+    for bad in ("select sum(*) as a from part", "select sum(1, 2) as a", "select CASE_WHEN(true, 1) as a", "select nofunction(1) as a", "select sum() as a"):
+        with pytest.raises(Exception):  # noqa: B017
+            e.sql(bad)
+
+
+def test_split_windows_with_nulls_and_ties(spark):
+    rows = [(g, None if v == 5 else v % 4, i) for g in (None, 1, 2) for i, v in enumerate(range(40))]
+    df = spark.createDataFrame(rows, "g int, v int, i int")
+    plain = Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last(), "i")
+    expected = df.withColumn("n", F.row_number().over(plain))
+    assert sorted(row_number(df, "g", "v", True, ["i"], "n").collect(), key=repr) == sorted(expected.collect(), key=repr)
+    summed = df.withColumn("s", F.sum("i").over(Window.partitionBy("g").orderBy(F.col("v").asc_nulls_last())))
+    assert sorted(running_sum(df, "g", "v", "i", "s").collect(), key=repr) == sorted(summed.collect(), key=repr)
 
 
 def test_engine(spark):
@@ -89,6 +151,56 @@ def test_loader(spark, tmp_path):
     assert [r.n for r in coded.orderBy("id").collect()] == [1, None]
 
 
+def test_statistics_are_kept_until_files_change(spark, tmp_path):
+    path, cache = str(tmp_path / "t"), str(tmp_path / "cache")
+    spark.range(5).write.parquet(path)
+    first = loader.cached_statistics(spark, path, cache).collect()
+    assert first == loader.cached_statistics(spark, path, cache).collect() and first[0].n_distinct == 5 and len(list((tmp_path / "cache").iterdir())) == 1
+    spark.range(7).write.mode("overwrite").parquet(path)
+    assert loader.cached_statistics(spark, path, cache).collect()[0].most == "6" and len(list((tmp_path / "cache").iterdir())) == 2
+
+
+def test_raw_columns(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"".join(i.to_bytes(4, "little", signed=True) for i in range(-50, 50)))
+    (tmp_path / "b").write_bytes(b"".join((2 * i).to_bytes(4, "little") for i in range(100)))
+    bits = sum(1 << i for i in range(100) if i % 3)
+    (tmp_path / "b.valid64").write_bytes(bits.to_bytes(16, "little"))
+    (tmp_path / "b.null8").write_bytes(bytes(i % 5 == 0 for i in range(100)))
+    files = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
+    rows = loader.read_raw_columns(spark, files, {"b": (str(tmp_path / "b.valid64"), "valid64")}).orderBy("row_number").collect()
+    assert [tuple(r) for r in rows] == [(i, i - 50, 2 * i if i % 3 else None) for i in range(100)]
+    rows = loader.read_raw_columns(spark, files, {"b": (str(tmp_path / "b.null8"), "null8")}).orderBy("row_number").collect()
+    assert [r.b for r in rows] == [None if i % 5 == 0 else 2 * i for i in range(100)]
+    (tmp_path / "c").write_bytes(bytes(8))
+    with pytest.raises(Exception, match="another number of rows"):
+        loader.read_raw_columns(spark, {"a": files["a"], "c": str(tmp_path / "c")}).collect()
+
+
+def test_config_order_and_settings(tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.delenv("HALYARD_CONFIG", raising=False)
+    monkeypatch.setenv("HOME", str(tmp_path))
+    assert Config.load().display_rows == 1000
+    (tmp_path / ".config/halyard").mkdir(parents=True)
+    (tmp_path / ".config/halyard/config.conf").write_text("display_rows=3")
+    assert Config.load().display_rows == 3
+    (tmp_path / "halyard.conf").write_text("display_rows=4")
+    (tmp_path / "own").write_text("display_rows=5")
+    assert Config.load().display_rows == 4
+    monkeypatch.setenv("HALYARD_CONFIG", str(tmp_path / "own"))
+    assert Config.load().display_rows == 5
+    few, many = (Config(memory_limit=x).settings(8) for x in (64 << 20, 64 << 30))
+    assert int(few["spark.sql.files.maxPartitionBytes"]) < int(many["spark.sql.files.maxPartitionBytes"]) == 128 << 20
+    assert int(Config(memory_limit=64 << 20, reserve_fraction=0.9).settings(8)["spark.sql.autoBroadcastJoinThreshold"]) < int(few["spark.sql.autoBroadcastJoinThreshold"])
+
+
+def test_limit_all_streams(spark):
+    out = io.StringIO()
+    Shell(Engine(spark, DATA), out).loop(["\\limit all\n", "\\timing off\n", "select s_suppkey from supplier order by s_suppkey;\n", "select 1"])
+    said = out.getvalue().splitlines()
+    assert said[0] == "Columns: s_suppkey" and said[-2] == f"Rows returned: {len(said) - 3}" and said[-1] == "Query cancelled."
+
+
 def test_validity():
     assert loader.decode_validity(bytes([1, 0, 1, 0, 1]), 5, "valid8").tolist() == [True, False, True, False, True]
     assert loader.decode_validity(bytes([0, 1, 0, 1, 0]), 5, "null8").tolist() == [True, False, True, False, True]
