@@ -43,7 +43,7 @@ BLOCK_SHINGLES, BLOCK = 500_000, 4096
 #: Sets from which sub-classes are used; below, all shingles count as rare.
 SPLIT_LEAST = 24
 #: Bytes up to which the list of candidates is broadcast; beyond it, it is joined by shuffle.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 32 << 20
 _PAIR, _MODE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -437,7 +437,7 @@ def near_duplicates(docs: DataFrame, measure: Measure) -> DataFrame:
     def exact(units: DataFrame) -> DataFrame:
         wanted = units.groupBy("member").agg(F.collect_list(F.struct(*UNIT)).alias("units"), F.first("sample").alias("sample"))
         wanted = materialize(wanted.select(F.col("sample.doc_id").alias("_d"), F.col("sample.text_hash").alias("_h"), "units"), "shingle-wanted")
-        size = wanted.agg(F.sum(F.size("units") * 40 + 60)).collect()[0][0] or 0
+        size = wanted.agg(F.sum(F.size("units") * 44 + 40)).collect()[0][0] or 0
         some = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
         of_wanted = text.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
         tokens = of_wanted.select("text", "units").mapInArrow(shingle_rows(measure), "units array<struct<leader:binary, a:int, b:int>>, member binary, tokens binary")

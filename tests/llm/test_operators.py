@@ -246,12 +246,83 @@ def test_patterns_cut_alike(spark):
         ("<table><td colspan=2>wide one<tr><td>a<td>b</table>", "wide one\na  b"),
         ("un<closed", "un<closed"),
         ("<!-- never closed", ""),
+        ("a<!-->b<!--->c<!x>d<?y>e</3>f", "abcdef"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>1<td rowspan=0>two<td>3<tr><td>44<td>5<tr><td colspan=3>six</table>", "1   two  3\n44       5\nsix"),
+        ("<table><tr><td colspan=900>a<td colspan=900>b<tr><td colspan=1800>cc dd</table>", "a  b\ncc dd"),
+        ("<svg><title>t</title><text>drawn</text><defs>no</defs></svg><math><mi>x</mi><mo>+</mo><annotation>no</annotation></math>", "drawn\nx+"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<ul><li>no</ul></div>", "yes"),
+        ("<p title='a>b' class=it's data-x=\"<p>\">q</p>r", "q\n\nr"),
+        ("<a href='x>y>z", "<a href='x>y>z"),
     ],
 )
 def test_rendering(page, text):
     assert html.render(page) == text
 
 
+@pytest.mark.parametrize("piece", ["x<y ", "x<y \"", "<y a='", "<y a='>", "<y a=\"'>", "</b x", "<!", "<!-- ", "<script ", "</script", "<b><table><i>", "</b>", "<td>", "<li><b>", "&amp", "<table><tr><td colspan=1000>"])
+def test_long_pages_take_little_time(piece):
+    import time
+
+    for page in (piece * (1_000_000 // len(piece)), "<b><table>" + "<i>" * 5000 + piece * 100_000, piece * 100_000 + ">", "<script>" + piece * 100_000):
+        began = time.process_time()
+        html.parse(page)
+        assert time.process_time() - began < 8
+    html.render(piece * 20_000)
+
+
+def plain_words(page):
+    """Visible words by Python's own parser, in order; elements are well formed."""
+    from html.parser import HTMLParser
+
+    found, state = [], [(True, True)]
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            shown, seen = state[-1]
+            style = dict(attrs).get("style") or ""
+            shown = shown and tag not in ("script", "style", "head", "template") and "hidden" not in dict(attrs) and "none" not in style
+            state.append((shown, "visible" in style if "visibility" in style else seen))
+
+        def handle_endtag(self, tag):
+            state.pop()
+
+        def handle_data(self, data):
+            if state[-1] == (True, True):
+                found.extend(data.split())
+
+    Reader().feed(page)
+    return found
+
+
+def test_rendering_against_a_plain_reader():
+    r = random.Random(31)
+    tags = ["p", "div", "b", "span", "ul><li", "ol><li", "h2", "blockquote", "pre", "table><tr><td", "section", "i", "template", "dl><dd"]
+    styles = ["", "", "", "", " hidden", " style='visibility:hidden'", " style='visibility:visible'", " style='display:none'", ' class="a>b"', " id=x"]
+
+    def page(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.random()
+            if kind < 0.4 or depth > 5:
+                out.append(f" w{r.randrange(10**6)} ")
+            elif kind < 0.5:
+                out.append("<!-- w1 --><script>'</p>' w2 < w3</script>")
+            else:
+                names = r.choice(tags).split("><")
+                if names[0] in ("p", "h2", "b", "i", "span", "pre"):
+                    inner = "".join(f" w{r.randrange(10**6)} " + r.choice(["", "<b>x1</b>"]) for _ in range(2))
+                else:
+                    inner = page(depth + 1)
+                out.append("".join(f"<{n}{r.choice(styles)}>" for n in names) + inner + "".join(f"</{n}>" for n in reversed(names)))
+        return "".join(out)
+
+    for _ in range(400):
+        one = page(0)
+        words = [w for w in re.sub(r"(?m)^\s*(- |\d+\. )+", " ", html.render(one)).split() if w != "-"]
+        assert words == plain_words(one), one
+
+
 def test_deep_nesting_and_all_words():
     assert html.render("<div><b><table><tr><td>" * 3000 + "x") == "x"
     words = [f"w{i}" for i in range(500)]
