@@ -71,12 +71,19 @@ def node_of(tokens: np.ndarray) -> bytes:
 
 
 def histogram(tokens: np.ndarray) -> bytes:
-    """Shingles by the low bits of their hash."""
+    """Shingles by the low bits of their hash: the width of a count, and the counts."""
     size = max(BUCKETS_LEAST, 1 << (len(tokens) // BUCKET_SHINGLES).bit_length())
     counts = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    if counts.max(initial=0) > 65_535:
+    if counts.max(initial=0) < 256:
+        return b"\1" + counts.astype("u1").tobytes()
+    if counts.max() > 65_535:
         counts[:] = 65_535  # too large a set to bound: it passes every time
-    return counts.astype("<u2").tobytes()
+    return b"\2" + counts.astype("<u2").tobytes()
+
+
+def counts_of(packed: np.ndarray) -> np.ndarray:
+    """The counts of a packed histogram."""
+    return packed[1:] if packed[0] == 1 else packed[1:].view("<u2")
 
 
 def folded(counts: np.ndarray, size: int) -> np.ndarray:
@@ -276,7 +283,7 @@ def possible_links(measure: Measure):
                     continue
                 order = low + np.argsort(sizes[low:high], kind="stable")
                 n = sizes[order]
-                h = [data[at[k] : at[k + 1]].view("<u2") for k in order]
+                h = [counts_of(data[at[k] : at[k + 1]]) for k in order]
                 ends = np.searchsorted(n, measure.den * n // measure.num, "right")
                 parent = list(range(len(order)))
                 size = 0

@@ -496,9 +496,11 @@ def test_histograms_bound_the_overlap():
     for n in (1, 30, 900, 5000):
         a = np.unique(r.integers(1, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate([a[: n // 2], r.integers(1, 2**63, n).astype(np.uint64)]))
-        x, y = (np.frombuffer(jaccard.histogram(s), "<u2") for s in (a, b))
+        x, y = (jaccard.counts_of(np.frombuffer(jaccard.histogram(s), np.uint8)) for s in (a, b))
         size = min(len(x), len(y))
         assert np.minimum(jaccard.folded(x, size), jaccard.folded(y, size)).sum() >= len(np.intersect1d(a, b))
+    same = np.arange(1, 3000, dtype=np.uint64) << np.uint64(20)  # all in one bucket
+    assert jaccard.counts_of(np.frombuffer(jaccard.histogram(same), np.uint8)).max() == 2999
 
 
 def test_shingles_of_odd_texts():
