@@ -5,13 +5,16 @@ neighbouring pieces of lowest rank, leftmost first, until no neighbours have a r
 a literal in the plan: an array of small maps, entered by a hash of the piece, so a look-up costs the
 same for any vocabulary.  Bytes are written as the characters U+0000 to U+00FF, so pieces are strings.
 
-Only distinct words are folded.  The most frequent ones (a bounded number) become a dictionary, with
-which documents are put together in Arrow batches; the words outside it are folded where they stand.
+Only distinct words are folded.  Those that come more than once (the most frequent ones, a bounded number) become a
+dictionary, with which documents are put together in Arrow batches; the words outside it, which come once while the others
+fit, are folded where they stand.  A fold rebuilds its arrays at every merge, so its time grows with the square of a word's length;
+the rare words of more than ``LONG`` bytes have their merges ordered by a heap over linked pieces instead.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -21,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, releasing, table, text_or_empty
+from .common import discard, materialize, releasing, table, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 16
@@ -29,6 +32,8 @@ BUCKETS = 1 << 16
 DICTIONARY_WORDS = 1_000_000
 DICTIONARY_BYTES = 64
 NO_RANK = (1 << 31) - 1
+#: Bytes beyond which a word is merged by a heap.
+LONG = 256
 #: Words that are looked up together.
 LOOKUP_WORDS = 2_000_000
 SEGMENT = "ids:string, n:int, bytes:binary, word:string"
@@ -137,6 +142,32 @@ class Coder:
         return let(let(ranks, coded), finish)
 
 
+def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: of all neighbours the pair of lowest rank is merged, leftmost first, in time n log n."""
+    n = len(word)
+    ends, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that begins at a place
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n + 1)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if gone[i] or j >= n or ranks.get(word[i : ends[j]]) != rank:
+            continue  # one of the two has changed since
+        ends[i], after[i], gone[j] = ends[j], after[j], 1
+        if after[i] < n:
+            before[after[i]] = i
+            if (r := ranks.get(word[i : ends[after[i]]])) is not None:
+                heapq.heappush(heap, (r, i))
+        if (k := before[i]) >= 0 and (r := ranks.get(word[k : ends[i]])) is not None:
+            heapq.heappush(heap, (r, k))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : ends[i]]])
+        i = after[i]
+    return out
+
+
 def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
     """Words of (word, n) as frequent as can be without exceeding ``most`` words."""
     fit = counts.where(F.octet_length("word") <= longest)
@@ -149,8 +180,8 @@ def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
     return fit.where(F.col("n") >= least)
 
 
-def put_together(dictionary):
-    """Cut each document's words into segments: runs of dictionary words, and single other words."""
+def put_together(dictionary, vocabulary):
+    """Cut each document's words into segments: runs of dictionary words, and single other words (long ones already merged)."""
     kind = pa.struct([("ids", pa.string()), ("n", pa.int32()), ("bytes", pa.binary()), ("word", pa.string())])
 
     def segments(rows: pa.RecordBatch, known: pa.Table) -> pa.ListArray:
@@ -173,7 +204,18 @@ def put_together(dictionary):
         ids = pc.if_else(gone, pa.scalar(None, pa.string()), join("ids", ","))
         data = pc.if_else(gone, pa.scalar(None, pa.binary()), join("bytes", b""))
         others = pc.if_else(gone, words.take(pa.array(starts)), pa.scalar(None, pa.string()))
-        struct = pa.StructArray.from_arrays([ids, pa.array(n.astype(np.int32), mask=alone), data, others], fields=list(kind))
+        n = n.astype(np.int32)
+        long = np.flatnonzero(pc.greater(pc.fill_null(pc.binary_length(others), 0), LONG).to_numpy(zero_copy_only=False))
+        if len(long):
+            pieces = vocabulary.value
+            ranks = {p: i for i, p in enumerate(pieces)}
+            found = {w: merged_by_heap(w.encode(), ranks) for w in set(others.take(pa.array(long)).to_pylist())}
+            ids, data, others, alone = ids.to_pylist(), data.to_pylist(), others.to_pylist(), alone.copy()
+            for k in long.tolist():
+                own = found[others[k]]
+                ids[k], data[k], n[k], others[k], alone[k] = ",".join(map(str, own)), b"".join(pieces[i] for i in own), len(own), None, False
+            ids, data, others = pa.array(ids, pa.string()), pa.array(data, pa.binary()), pa.array(others, pa.string())
+        struct = pa.StructArray.from_arrays([ids, pa.array(n, mask=alone), data, others], fields=list(kind))
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets).astype(np.int32)), struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +246,16 @@ def put_together(dictionary):
     return releasing(run)
 
 
+def packed_dictionary(words: DataFrame, coder: Coder) -> bytes:
+    """The words, which are bounded in number and size, with their codes, as one Arrow stream."""
+    known = words.select(coder.encode(F.col("word")).alias("c")).select("c.word", "c.ids", "c.n", "c.bytes").toArrow()
+    known = known.cast(pa.schema([("word", pa.string()), ("ids", pa.string()), ("n", pa.int32()), ("bytes", pa.binary())])).combine_chunks()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as writer:
+        writer.write_table(known)
+    return sink.getvalue().to_pybytes()
+
+
 def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> DataFrame:
     """doc_id, ids (decimal, joined by commas), n_tokens and decoded bytes of every row's whole text.
 
@@ -214,14 +266,11 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> Data
     cut = docs.select("doc_id", coder.words(text_or_empty()).alias("words"))
     counts = materialize(cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
     frequent = frequent_words(counts, DICTIONARY_WORDS, DICTIONARY_BYTES)
-    known = frequent.select(coder.encode(F.col("word")).alias("c")).select("c.word", "c.ids", "c.n", "c.bytes").toArrow()  # bounded
-    known = known.cast(pa.schema([("word", pa.string()), ("ids", pa.string()), ("n", pa.int32()), ("bytes", pa.binary())])).combine_chunks()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, known.schema) as writer:
-        writer.write_table(known)
-    dictionary = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    dictionary = spark.sparkContext.broadcast(packed_dictionary(frequent, coder))
+    discard(counts)
+    vocabulary = spark.sparkContext.broadcast(pieces)
     kind = dict(docs.dtypes)["doc_id"]
-    parts = cut.mapInArrow(put_together(dictionary), f"doc_id {kind}, segments array<struct<{SEGMENT}>>")
+    parts = cut.mapInArrow(put_together(dictionary, vocabulary), f"doc_id {kind}, segments array<struct<{SEGMENT}>>")
     whole = F.transform("segments", lambda s: F.when(s["word"].isNull(), s).otherwise(coder.encode(s["word"])))
     parts = parts.withColumn("segments", whole)
     return parts.select(

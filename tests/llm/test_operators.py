@@ -194,7 +194,7 @@ def test_suffix_array_and_prefixes():
 def test_bpe_against_tiktoken(spark, docs, empty):
     pieces = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
-    odd = [(30, "don't WE'LL 'tis  it's\u00a0nbsp\u2003em\x1cfs \u0085 12345 ٣ 漢字かな 🙂🙂 e\u0301 \r\n\t x "), (31, "q" * 700), (32, "<|endoftext|> ''' re've"), (33, "\x00\x01 \ufeff")]
+    odd = [(30, "don't WE'LL 'tis  it's\u00a0nbsp\u2003em\x1cfs \u0085 12345 ٣ 漢字かな 🙂🙂 e\u0301 \r\n\t x "), (31, "q" * 700), (34, "".join(random.Random(5).choice("abcdefghijklmnop") for _ in range(66_000)) + " tail"), (35, "é" * 200 + "x" * 300), (32, "<|endoftext|> ''' re've"), (33, "\x00\x01 \ufeff")]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     out = bpe.encode_documents(rows, pieces, public_tokenizers.PATTERN)
     out = out.select("ids", "n_tokens", bpe.joined_bytes(F.col("pieces")).alias("b")).collect()
@@ -206,6 +206,22 @@ def test_bpe_against_tiktoken(spark, docs, empty):
     assert bpe.encode_documents(empty, pieces, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_words_are_merged_in_little_time():
+    import time
+
+    pieces = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    ranks = {p: i for i, p in enumerate(pieces)}
+    encoding = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(6)
+    for n, letters in ((1, "a"), (2, "a"), (300, "ab"), (3000, "etaoinshrdlu"), (65_536, "abcdefghijklmnopqrstuvwxyz"), (65_536, "a")):
+        word = "".join(r.choice(letters) for _ in range(n))
+        began = time.process_time()
+        found = bpe.merged_by_heap(word.encode(), ranks)
+        assert time.process_time() - began < 5
+        if n < 5000:
+            assert found == encoding.encode_ordinary(word)
+
+
 def test_bpe_without_a_dictionary(spark, docs, monkeypatch):
     pieces = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
     few = docs.where("doc_id < 9").select("doc_id", "text")
