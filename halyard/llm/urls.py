@@ -8,25 +8,26 @@ refuses it is an even one, or when it passes all of an odd number of levels.
 
 The size is bounded by the list: level 1 is given so many bits a key that about as many keys of the
 universe pass it as there are listed keys, and later levels shrink.  Filters are literals in the
-plan, probed by array access inside generated code.
+plan.  A long list is cut by a hash of its keys into several cascades, and a key asks its own.  Only building
+takes a join, which tells level 1's false positives from the listed keys: few rows on either side.
 """
 
 from __future__ import annotations
 
-import functools
+import json
 import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the op5 query: (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Most listed keys that a literal cascade takes; beyond it the list is cut into several cascades.
-LIST_MOST = 1 << 20
+#: Listed keys of one cascade, on average; a longer list is cut into several.
+CASCADE_KEYS = 1 << 18
 HASHES = 3
 
 
@@ -46,10 +47,10 @@ class Level:
     words: list[int]
 
     def holds(self, key: Column, seed: int) -> Column:
-        """True where the level lets the key through."""
-        words = F.array(*[F.lit(w).cast("long") for w in self.words])
-        fits = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1 for p in positions(key, self.bits, seed)]
-        return functools.reduce(lambda a, b: a & b, fits)
+        """True where the level lets the key through; the filter is a constant, which Spark reads once."""
+        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
+        bit = lambda p: F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.forall(F.array(*positions(key, self.bits, seed)), bit)
 
 
 def positions(key: Column, bits: int, seed: int) -> list[Column]:
@@ -71,23 +72,10 @@ class Cascade:
     levels: list[Level] = field(default_factory=list)
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
-        """From ``key`` columns: listed keys, and the distinct keys of the corpus (listed ones may be among them).
-
-        Null keys are in neither.  An empty list gives a cascade without levels, which holds nothing.
-        """
-        listed = listed.where(F.col("key").isNotNull()).select("key").distinct()
-        n_listed = listed.count()
-        if n_listed > LIST_MOST:
-            raise ValueError(f"{n_listed} listed keys; cut the list into cascades of {LIST_MOST}")
-        out = cls()
-        if not n_listed:
-            return out
-        keys = [r["key"] for r in listed.collect()]  # at most LIST_MOST
-        spark = universe.sparkSession
-        inside = spark.createDataFrame([(k,) for k in keys], "key string")
-        outside = universe.where(F.col("key").isNotNull())
-        n_outside = outside.count()
+    def build(cls, inside: DataFrame, universe: DataFrame, n_listed: int, n_outside: int) -> Cascade:
+        """From distinct, non-null ``key`` columns: listed keys, and keys of the corpus (listed ones may be among them)."""
+        out, passing = cls(), []
+        outside = universe
         while n_listed:
             level = len(out.levels)
             within, other, n = (inside, outside, n_listed) if level % 2 == 0 else (outside, inside, n_outside)
@@ -96,10 +84,11 @@ class Cascade:
             ratio = max(2.0, (n_outside / max(1, n_listed)) * math.sqrt(2)) if level == 0 else 4.0
             bits = 64 * max(1, math.ceil(n * 1.44 * math.log2(ratio) * 1.2 / 64))
             out.levels.append(build_level(within, bits, level))
-            if level == 0:  # the universe loses the listed keys, once, by the literal list's own filter
-                outside = outside.join(F.broadcast(inside), "key", "left_anti")
-                other = outside
             passed = other.where(out.levels[-1].holds(F.col("key"), level))
+            if level == 0:
+                passed = passed.join(inside.withColumnRenamed("key", "_listed"), F.col("key") == F.col("_listed"), "left_anti")
+            passed = materialize(passed, "url-passed")  # at most about as many as there are listed keys
+            passing.append(passed)
             n_passed = passed.count()
             if level % 2 == 0:
                 outside, n_outside = passed, n_passed
@@ -107,6 +96,7 @@ class Cascade:
                 inside, n_listed = passed, n_passed
             if not n_passed:
                 break
+        discard(*passing)
         return out
 
     def holds(self, key: Column) -> Column:
@@ -117,10 +107,46 @@ class Cascade:
         return F.coalesce(out, F.lit(False)) if self.levels else F.lit(False)
 
 
+@dataclass
+class Cascades:
+    """As many cascades as the list's length asks for; a key's hash tells which is its own."""
+
+    parts: list[Cascade]
+
+    @classmethod
+    def build(cls, listed: DataFrame, universe: DataFrame) -> Cascades:
+        """From ``key`` columns: listed keys, and the distinct keys of the corpus (listed ones may be among them).
+
+        Null keys are in neither.  An empty list gives cascades without levels, which hold nothing.
+        """
+        keys = materialize(listed.where(F.col("key").isNotNull()).select("key").distinct(), "url-listed")
+        universe = universe.where(F.col("key").isNotNull()).select("key")
+        n = keys.count()
+        many = max(1, -(-n // CASCADE_KEYS))
+        if many == 1:
+            out = cls([Cascade.build(keys, universe, n, universe.count() if n else 0)])
+        else:
+            own = cls.own(F.col("key"), many)
+            sizes = {r["p"]: r["n"] for r in keys.groupBy(own.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a cascade
+            others = {r["p"]: r["n"] for r in universe.groupBy(own.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            out = cls([Cascade.build(keys.where(own == p), universe.where(own == p), sizes.get(p, 0), others.get(p, 0)) for p in range(many)])
+        discard(keys)
+        return out
+
+    @staticmethod
+    def own(key: Column, many: int) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(many)).cast("int")
+
+    def holds(self, key: Column) -> Column:
+        out = self.parts[0].holds(key)
+        for p, cascade in enumerate(self.parts[1:], 1):
+            out = F.when(self.own(key, len(self.parts)) == p, cascade.holds(key)).otherwise(out)
+        return out
+
+
 def shapes(rules: list[tuple[str, str]]) -> list[tuple[int, int]]:
-    """(labels of the host, characters of the path) that rules have, longest rules first."""
-    found = {(r.split("/", 1)[0].count(".") + 1, len("/" + r.split("/", 1)[1])) for r, _ in rules}
-    return sorted(found, reverse=True)
+    """(labels of the host, characters of the path) that rules have; a rule without a path has none."""
+    return sorted({(host.count(".") + 1, len(slash + path)) for host, slash, path in (r.partition("/") for r, _ in rules)}, reverse=True)
 
 
 def candidate(host: Column, path: Column, labels: int, chars: int) -> Column:
@@ -133,25 +159,29 @@ def candidate(host: Column, path: Column, labels: int, chars: int) -> Column:
 def judge(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Add host, path, rule and verdict.
 
-    The rules are the listed keys, in one cascade for each verdict; the universe is every key that
-    some url of the corpus can fit.  Longest fitting rule wins; where no key is listed, ``allow``.
-    Columns of ``pages`` with these names are replaced.
+    The rules are the listed keys; the universe is every key that some url of the corpus can fit.  Further cascades tell the
+    blocking rules among the listed.  Longest fitting rule wins; where no key is listed, ``allow``.  A null or odd url has no
+    host, so none fits.  Of a rule given twice the first verdict holds.  Columns of ``pages`` with these names are replaced.
     """
     spark = pages.sparkSession
+    first: dict[str, str] = {}
+    for rule, verdict in rules:
+        first.setdefault(rule, verdict)
     host, path = host_and_path(F.col("url"))
     urls = pages.withColumns({"host": host, "path": path})
-    forms = shapes(rules)
-    keys = F.array(*[candidate(F.col("host"), F.col("path"), *s) for s in forms])
-    universe = urls.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull()).distinct()
-    universe = materialize(universe, "url-keys")
-    cascades = {v: Cascade.build(spark.createDataFrame([(r,) for r, w in rules if w == v], "key string"), universe) for v in ("block", "allow")}
-    best = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
-    for s in forms:
-        key = candidate(F.col("host"), F.col("path"), *s)
-        for verdict, cascade in cascades.items():
-            hit = F.when(cascade.holds(key), F.struct(F.length(key).alias("n"), key.alias("rule"), F.lit(verdict).alias("verdict")))
-            best = F.greatest(best, hit)
-    return urls.withColumn("_best", best).withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit("allow"))}).drop("_best")
+    keys = F.array_compact(F.array(*[candidate(F.col("host"), F.col("path"), *s) for s in shapes(rules)])) if rules else F.array().cast("array<string>")
+    universe = materialize(urls.select(F.explode(keys).alias("key")).distinct(), "url-keys")
+    of = lambda some: spark.createDataFrame([(r,) for r in some], "key string")
+    listed = Cascades.build(of(first), universe)
+    blocking = Cascades.build(of([r for r, v in first.items() if v == "block"]), of(first))
+    discard(universe)
+    hits = F.transform(F.filter(keys, listed.holds), lambda key: F.struct(F.length(key).alias("n"), key.alias("rule"), blocking.holds(key).alias("blocks")))
+    best = "best"
+    while best in urls.columns:
+        best += "_"
+    urls = urls.withColumn(best, F.array_max(hits))
+    verdict = F.when(F.coalesce(F.col(best)["blocks"], F.lit(False)), "block").otherwise("allow")
+    return urls.withColumns({"rule": F.col(best)["rule"], "verdict": verdict}).drop(best)
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

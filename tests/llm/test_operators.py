@@ -366,14 +366,44 @@ def test_urls_by_hand(spark):
     assert urls.judge(spark.createDataFrame([], "url string"), urls.RULES).count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("most", [1 << 18, 600])
+def test_cascades_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "CASCADE_KEYS", most)
     universe = spark.range(20_000).select(F.concat(F.lit("host"), "id").alias("key"))
     listed = universe.where("key like '%7'").unionByName(spark.createDataFrame([("only listed",), (None,)], "key string"))
-    cascade = urls.Cascade.build(listed, universe)
-    assert len(cascade.levels) > 2
-    wrong = universe.unionByName(listed).where(F.col("key").isNotNull()).where(cascade.holds(F.col("key")) != ((F.col("key").like("%7")) | (F.col("key") == "only listed")))
+    found = urls.Cascades.build(listed, universe)
+    assert len(found.parts) == (1 if most > 3000 else 4) and all(len(c.levels) > 2 for c in found.parts)
+    wrong = universe.unionByName(listed).where(F.col("key").isNotNull()).where(found.holds(F.col("key")) != ((F.col("key").like("%7")) | (F.col("key") == "only listed")))
     assert wrong.count() == 0
-    assert not urls.Cascade.build(listed.where("false"), universe).levels
+    assert not urls.Cascades.build(listed.where("false"), universe).parts[0].levels
+
+
+def test_many_rules_against_brute_force(spark):
+    r = random.Random(13)
+    hosts = [f"h{i}.d{i % 50}.{t}" for i in range(300) for t in ("com", "org")]
+    rules = [(f"d{i}.com/", "block") for i in range(0, 50, 3)] + [(f"h{i}.d{i % 50}.{r.choice(['com', 'org'])}/{r.choice(['', 'a/', 'b/c'])}", r.choice(["block", "allow"])) for i in range(0, 300, 2)] + [("org", "allow"), ("d7.org", "block"), ("d7.org", "allow")]
+    pages = [f"http://{h}/{r.choice(['', 'a/', 'a/x', 'b/c', 'b/cd', 'z'])}" for h in hosts] + [None, "", "://", "x://org", "x://d7.org?q"]
+    first = {}
+    for rule, verdict in rules:
+        first.setdefault(rule, verdict)
+
+    def plain(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        fits = []
+        for rule in first:
+            h, slash, p = rule.partition("/")
+            if (host == h or host.endswith("." + h)) and path.startswith(slash + p):
+                fits.append((len(rule), rule))
+        rule = max(fits)[1] if fits else None
+        return url, rule, first[rule] if rule else "allow"
+
+    df = spark.createDataFrame([(u, "x", "y") for u in pages], "url string, best string, key string")
+    out = urls.judge(df, rules)
+    assert {"best", "key"} <= set(out.columns)
+    assert sorted(map(repr, map(tuple, out.select("url", "rule", "verdict").collect()))) == sorted(map(repr, map(plain, pages)))
+    assert urls.judge(df, []).where("verdict = 'allow' AND rule IS NULL").count() == len(pages)
 
 
 # --- 6 sharding ---
