@@ -2,7 +2,8 @@
 
 Everything is DataFrame functions.  A sketch is a histogram of integers that keeps the six leading
 bits of a value, so it is exact below 64 and within 1/32 above; sketches merge by adding counts, in
-any order.  A group with too few documents borrows the sketch of its language, then that of all.
+any order.  A group's thresholds are blended with those of its language, and these with those of all, by counts: the
+fewer documents a group has, the more it leans on the larger one.
 """
 
 from __future__ import annotations
@@ -17,40 +18,50 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
-#: Documents a group needs for a sketch of its own.
-GROUP_LEAST = 200
+#: The larger group counts as so many documents in a blend.
+PRIOR = 50
 #: A value is out of line beyond the upper (or lower) quartile by this many spreads.
 SPREADS = 3
 #: metric -> (smallest spread, judged below too)
 METRICS = {"symbols": (100, False), "word_length": (40, True), "dup_lines": (200, False), "repeats": (100, False)}
 
 
+def unused(columns: list[str]) -> str:
+    """A prefix that no column begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def with_statistics(docs: DataFrame) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed.
 
     Null text counts as no text: no words, and so base_failed.  Columns of the input with these
-    names are replaced.
+    names are replaced; all others stay.
     """
     t = text_or_empty()
+    own = unused(docs.columns)
+    w, h, ls, p, q, f, g = (f"{own}{x}" for x in "whlpqfg")
     trimmed = F.expr(f"trim(BOTH '{GAP_CHARS}' FROM coalesce(text, ''))")
-    out = docs.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)))
-    hashed = F.expr("if(size(_w) < 3, cast(array() as array<bigint>), transform(sequence(0, size(_w) - 3), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2))))")
+    out = docs.withColumn(w, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)))
+    hashed = F.expr(f"if(size({w}) < 3, cast(array() as array<bigint>), transform(sequence(0, size({w}) - 3), i -> xxhash64(get({w}, i), get({w}, i + 1), get({w}, i + 2))))")
     lines = F.filter(F.split(t, "\n"), lambda x: F.expr("true") & (F.trim(x, F.lit(GAP_CHARS)) != ""))
-    out = out.withColumns({"_h": hashed, "_l": lines})
-    out = out.withColumn("_p", F.expr("if(size(array_distinct(_h)) < size(_h), transform(_h, (x, i) -> struct(x as h, i as i)), null)"))
-    out = out.withColumn("_q", F.sort_array("_p"))
-    out = out.withColumn("_f", F.expr("filter(transform(_q, (x, i) -> if(x.h <=> get(_q, i - 1).h or x.h <=> get(_q, i + 1).h, x.i, -1)), p -> p >= 0)"))
-    out = out.withColumn("_g", F.sort_array("_f"))
+    out = out.withColumns({h: hashed, ls: lines})
+    out = out.withColumn(p, F.expr(f"if(size(array_distinct({h})) < size({h}), transform({h}, (x, i) -> struct(x as h, i as i)), null)"))
+    out = out.withColumn(q, F.sort_array(p))
+    out = out.withColumn(f, F.expr(f"filter(transform({q}, (x, i) -> if(x.h <=> get({q}, i - 1).h or x.h <=> get({q}, i + 1).h, x.i, -1)), p -> p >= 0)"))
+    out = out.withColumn(g, F.sort_array(f))
     out = out.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(F.array_join(w, "")).cast("long"),
             "n_symbols": (F.size(F.split(t, SYMBOLS, -1)) - 1).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.expr("coalesce(aggregate(transform(_g, (x, i) -> coalesce(least(3, get(_g, i + 1) - x), 3)), 0L, (a, x) -> a + x), 0L)"),
-            "n_lines": F.size("_l").cast("long"),
+            "n_dup_lines": (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"),
+            "n_repeat_words": F.expr(f"coalesce(aggregate(transform({g}, (x, i) -> coalesce(least(3, get({g}, i + 1) - x), 3)), 0L, (a, x) -> a + x), 0L)"),
+            "n_lines": F.size(ls).cast("long"),
         }
-    ).drop("_w", "_h", "_l", "_p", "_q", "_f", "_g")
+    ).drop(w, h, ls, p, q, f, g)
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -95,8 +106,12 @@ def thresholds(stats: DataFrame) -> DataFrame:
         .join(tongue.select(F.col("l").alias("l1"), F.col("total").alias("t1"), F.col("fence").alias("f1")), F.col("lang").eqNullSafe(F.col("l1")), "left")
         .join(F.broadcast(everywhere.select(F.col("fence").alias("f2"))), F.lit(True), "left")
     )
-    fence = F.when(F.col("t0") >= GROUP_LEAST, F.col("f0")).when(F.col("t1") >= GROUP_LEAST, F.col("f1")).otherwise(F.col("f2"))
-    return found.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), fence.alias("_fence"))
+    blend = lambda n, own, larger: F.expr(f"({n} * {own} + {PRIOR} * {larger}) div ({n} + {PRIOR})")
+    for name in METRICS:
+        for end in ("low", "high"):
+            found = found.withColumn(f"l_{name}_{end}", blend("t1", f"f1['{name}'].{end}", f"f2['{name}'].{end}"))
+            found = found.withColumn(f"{name}_{end}", blend("t0", f"f0['{name}'].{end}", f"l_{name}_{end}"))
+    return found.select("lang", "source", *[f"{name}_{end}" for name in METRICS for end in ("low", "high")])
 
 
 def judge(stats: DataFrame) -> DataFrame:
@@ -105,15 +120,16 @@ def judge(stats: DataFrame) -> DataFrame:
     A null language or source is a group of its own.  A group without a document that passes the
     base rules has no thresholds, and nothing left to judge.
     """
-    limits = materialize(thresholds(stats), "quality-thresholds")
+    own = unused(stats.columns)
+    limits = thresholds(stats)
+    limits = materialize(limits.withColumnsRenamed({c: own + c for c in limits.columns}), "quality-thresholds")
     fine = F.lit(True)
     for name, value in metric_values().items():
-        fence = F.col("_fence")[name]
-        fine = fine & (value <= fence["high"])
+        fine = fine & (value <= F.col(f"{own}{name}_high"))
         if METRICS[name][1]:
-            fine = fine & (value >= fence["low"])
-    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).drop("_lang", "_source", "_fence")
+            fine = fine & (value >= F.col(f"{own}{name}_low"))
+    joined = stats.join(limits, F.col("lang").eqNullSafe(F.col(f"{own}lang")) & F.col("source").eqNullSafe(F.col(f"{own}source")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).drop(*limits.columns)
 
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -151,8 +167,8 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b
 q AS (SELECT level, lang, source, metric, max(total) AS total, min(CASE WHEN below * 4 >= total THEN bucket END) AS q1, min(CASE WHEN below * 4 >= total * 3 THEN bucket END) AS q3 FROM c GROUP BY ALL),
 f AS (SELECT level, lang, source, metric, total, q1 - {SPREADS} * greatest(q3 - q1, m) AS low, q3 + {SPREADS} * greatest(q3 - q1, m) AS high
   FROM q JOIN (VALUES {", ".join(f"('{k}', {v[0]})" for k, v in METRICS.items())}) AS z(metric, m) USING (metric)),
-g AS (SELECT s.*, a.metric, CASE WHEN o.total >= {GROUP_LEAST} THEN o.low WHEN l.total >= {GROUP_LEAST} THEN l.low ELSE a.low END AS low,
-  CASE WHEN o.total >= {GROUP_LEAST} THEN o.high WHEN l.total >= {GROUP_LEAST} THEN l.high ELSE a.high END AS high
+g AS (SELECT s.*, a.metric, (o.total * o.low + {PRIOR} * ((l.total * l.low + {PRIOR} * a.low) // (l.total + {PRIOR}))) // (o.total + {PRIOR}) AS low,
+  (o.total * o.high + {PRIOR} * ((l.total * l.high + {PRIOR} * a.high) // (l.total + {PRIOR}))) // (o.total + {PRIOR}) AS high
   FROM (SELECT *, row_number() OVER () AS rid FROM s) AS s LEFT JOIN f AS a ON a.level = 2
   LEFT JOIN f AS l ON l.level = 1 AND l.metric = a.metric AND l.lang IS NOT DISTINCT FROM s.lang
   LEFT JOIN f AS o ON o.level = 0 AND o.metric = a.metric AND o.lang IS NOT DISTINCT FROM s.lang AND o.source IS NOT DISTINCT FROM s.source)

@@ -573,12 +573,35 @@ def test_quality_edges(docs, empty):
     assert many.n_dup_lines == 5 and many.n_repeat_words == many.n_words and many.base_failed
     for r in rows.values():
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
-        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        hit = {p for i, x in enumerate(windows) if windows.count(x) > 1 for p in (i, i + 1, i + 2)} if len(w) < 500 else None
-        assert r.n_words == len(w) and r.word_chars == sum(map(len, w)) and hit in (None,) or r.n_repeat_words == len(hit or ())
+        seen, hit = {}, set()
+        for i in range(len(w) - 2):
+            seen.setdefault(tuple(w[i : i + 3]), []).append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                hit |= {i + k for i in places for k in range(3)}
+        lines = [x for x in (r.text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(hit), len(lines) - len(set(lines)))
     assert quality.judge(quality.with_statistics(empty)).count() == 0
 
 
+def test_groups_have_thresholds_of_their_own(spark):
+    r = random.Random(14)
+
+    def text(symbols):
+        return " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(80)) + "#" * symbols
+
+    rows = [(i, text(r.randrange(3)), "en", "plain") for i in range(400)] + [(1000 + i, text(100 + r.randrange(20)), "en", "code") for i in range(400)]
+    rows += [(5000, text(90), "en", "plain"), (5001, text(105), "en", "code"), (5002, text(60), "fr", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("own") for c in ("_w", "_lang", "__h", "n_lines")})
+    stats = quality.with_statistics(df)
+    kept = {x.doc_id: x.kept for x in quality.judge(stats).collect()}
+    assert not kept[5000] and kept[5001] and kept[5002]  # one French text leans on all others
+    assert sum(kept.values()) >= 0.97 * len(rows)
+    assert {(x["_w"], x["_lang"], x["__h"]) for x in quality.judge(stats).select("_w", "_lang", "__h").collect()} == {("own",) * 3}
+    limits = {(x.lang, x.source): x.symbols_high for x in quality.thresholds(stats).collect()}
+    assert limits["en", "plain"] < limits["fr", None] and limits["en", "plain"] < limits["en", "code"]
+
+
 # --- 9 packing ---
 
 
