@@ -24,8 +24,8 @@ SHARDS = 40
 OVERHEAD = 16
 #: A class keeps so many leading bits of a group's size, rounded up: at most 2**CLASS_BITS classes an octave.
 CLASS_BITS = 11
-#: Ranks within a class are worked out in so many parts, dealt by hash.
-SALTS = 8
+#: Groups of a class whose ranks are worked out in one task, on average, and parts of all classes beyond one each, at most.
+RANK_GROUPS, RANK_PARTS = 50_000, 1 << 16
 #: Rows of a shard that are numbered in one task, on average.
 SLOT_ROWS = 20_000
 
@@ -156,9 +156,14 @@ def assign(items: DataFrame, shards: int) -> DataFrame:
     """
     spark = items.sparkSession
     groups = items.groupBy("group").agg(F.sum("size").alias("size"))
-    groups = groups.withColumns({"cls": size_class(F.col("size")), "salt": F.pmod(F.xxhash64("group"), F.lit(SALTS)).cast("int")})
-    groups = materialize(groups.select("group", "cls", "salt"), "shard-groups")
-    cells = groups.groupBy("cls", "salt").count().toPandas().sort_values(["cls", "salt"], ascending=[False, True])  # bounded: classes x salts
+    groups = materialize(groups.select("group", size_class(F.col("size")).alias("cls")), "shard-sizes")
+    classes = [(int(r["cls"]), int(r["n"])) for r in groups.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()]  # bounded: classes
+    per = max(RANK_GROUPS, sum(n for _, n in classes) // RANK_PARTS)
+    many = spark.createDataFrame([(c, -(-n // per)) for c, n in classes if n > per], "_c long, parts long")
+    salted = groups.join(many, F.col("cls") == F.col("_c"), "left")
+    salt = F.pmod(F.xxhash64("group"), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")
+    groups = materialize(salted.select("group", "cls", salt), "shard-groups")
+    cells = groups.groupBy("cls", "salt").count().toPandas().sort_values(["cls", "salt"], ascending=[False, True])  # bounded: classes and RANK_PARTS
     plan = into_shards([(int(c), int(n)) for c, n in zip(cells["cls"], cells["count"], strict=True)], shards)
     rows = []
     for c, s, runs in zip(cells["cls"], cells["salt"], plan, strict=True):
@@ -176,9 +181,12 @@ def assign(items: DataFrame, shards: int) -> DataFrame:
 
 
 def number(rows: DataFrame, n_rows: int, order: list[str]) -> DataFrame:
-    """Add ``slot``, gapless from 0 within each shard: counts by (shard, part) first, then ranks within parts."""
+    """Add ``slot``, gapless from 0 within each shard: counts by (shard, part) first, then ranks within parts.
+
+    A row's part comes from its ``spread``, which is dropped: a written number, so that equal rows lie in many parts.
+    """
     parts = max(1, -(-n_rows // SLOT_ROWS))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("_part", F.pmod("spread", F.lit(parts)).cast("int")).drop("spread")
     counts = rows.groupBy("shard", "_part").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("shard").alias("_s"), F.col("_part").alias("_p"), before.alias("_before"))
@@ -199,6 +207,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("group"),
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("spread"),
     )
     rows = materialize(rows, "shard-rows")
     sharded = materialize(assign(rows, shards).drop("group"), "shard-of")

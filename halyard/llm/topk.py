@@ -1,9 +1,10 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Candidates are dealt into blocks of bounded size.  A block is turned into postings, one list of
-(row, weight) a dimension; every query scatters its weighted postings into a dense array of scores, and
-a partition selection keeps the block's k best.  The k best of all blocks are then merged by query.
-Candidates move once; queries go to every block, and are read as a stream there.
+Candidates and queries are dealt into blocks of bounded size, and every pair of blocks is a cell of a grid, with a
+partition of its own.  There the candidates are turned into postings, one list of (row, weight) a dimension; every
+query scatters its weighted postings into a dense array of scores, and a partition selection keeps the cell's k best.
+The k best of all cells are then merged by query.  Blocks of equal size on both sides move the fewest vectors for
+a cell's work; what there is of queries below a block moves candidates once.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from .common import materialize, table, take_ranges
 
 K = 10
 SCALE = 1024
-#: Candidates in a block: its postings and scores must fit one Python worker.
-BLOCK_ROWS = 16_384
+#: Candidates, and queries, in a block, at most: its postings and scores must fit one Python worker.  Candidates' blocks are
+#: smaller where that gives every core a few, down to the second number.
+BLOCK_ROWS, BLOCK_LEAST = 65_536, 1024
+#: Partitions of the grid; beyond it, one takes several cells, one after another.
+PARTITIONS = 16_384
 #: Queries scored together.
 QUERY_ROWS = 64
 
@@ -80,7 +84,7 @@ def search_blocks(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block; in it the candidates (kind 0) first, then the queries (kind 1)."""
+        """Rows come by cell (block); in it the candidates (kind 0) first, then the queries (kind 1)."""
         block, parts, index = None, [], None
         for batch in batches:
             blocks = batch.column("block").to_numpy()
@@ -126,12 +130,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     candidate.  Fewer than k candidates: all are returned.  Either table empty: no rows.
     """
     usable = F.col("id").isNotNull() & F.col("v").isNotNull()
-    vectors = materialize(vectors.where(usable), "vectors")
-    queries = queries.where(usable).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
-    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
-    dealt = rows.unionByName(asked).repartition(max(blocks, 1), "block").sortWithinPartitions("block", "kind", "id")
+    spark = vectors.sparkSession
+    spread = F.xxhash64("id", F.monotonically_increasing_id()).alias("spread")  # rows of one id lie in many blocks
+    vectors = materialize(vectors.where(usable).select("id", "v", spread), "vectors")
+    queries = materialize(queries.where(usable).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    n, asked = vectors.count(), queries.count()
+    size = min(BLOCK_ROWS, max(BLOCK_LEAST, -(-n // (3 * spark.sparkContext.defaultParallelism))))
+    across, down = max(1, -(-n // size)), max(1, -(-asked // BLOCK_ROWS))
+    cell = lambda c, q: (c.cast("long") * down + q).alias("block")
+    rows = vectors.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).select(cell(F.pmod("spread", F.lit(across)), F.col("q")), F.lit(0).alias("kind"), "id", "v")
+    ask = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).select(cell(F.col("c"), F.pmod(F.xxhash64("id"), F.lit(down))), F.lit(1).alias("kind"), "id", "v")
+    parts = min(across * down, PARTITIONS)
+    dealt = rows.unionByName(ask).repartitionById(parts, F.pmod("block", F.lit(parts)).cast("int")).sortWithinPartitions("block", "kind", "id")
     found = dealt.mapInArrow(search_blocks(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -70,7 +70,11 @@ def test_every_operator_is_registered_once():
 # --- 1 top-k ---
 
 
-def test_topk_against_brute_force(spark):
+@pytest.mark.parametrize("rows, least, parts", [(65_536, 1024, 16_384), (2, 37, 3)])
+def test_topk_against_brute_force(spark, monkeypatch, rows, least, parts):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", max(rows, 2))
+    monkeypatch.setattr(topk, "BLOCK_LEAST", least)
+    monkeypatch.setattr(topk, "PARTITIONS", parts)
     r = random.Random(1)
     vectors = [(i, [float(r.randrange(-3, 4)) / 8 if r.random() < 0.6 else 0.0 for _ in range(6)]) for i in range(300)]
     vectors += [(400, None), (500, [None, 1.0]), (600, [float("nan")]), (700, [float("inf")]), (None, [1.0] * 6), (800, []), (900, [0.5, -0.5]), (7, [1.0] * 6)]
@@ -421,6 +425,31 @@ def test_sharding_laws(spark, docs, empty):
     assert sharding.shard_documents(empty, 5).count() == 0
 
 
+@pytest.mark.parametrize("groups, parts, slots", [(50_000, 1 << 16, 20_000), (3, 2, 5)])
+def test_sharding_columns_against_brute_force(spark, docs, monkeypatch, groups, parts, slots):
+    monkeypatch.setattr(sharding, "RANK_GROUPS", groups)
+    monkeypatch.setattr(sharding, "RANK_PARTS", parts)
+    monkeypatch.setattr(sharding, "SLOT_ROWS", slots)
+    again = docs.unionByName(spark.createDataFrame([(None, "same text", None, None, None)] * 60 + [(500 + i, f"text {i:03}", None, None, None) for i in range(80)], DOCS))
+    rows = again.collect()
+    out = sharding.shard_documents(again, 7).collect()
+    expected = sorted((repr(r.doc_id), len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in rows)
+    assert sorted((repr(r.doc_id), r.size, r.text_crc32) for r in out) == expected
+    places = {}
+    for r in out:
+        assert 0 <= r.shard < 7 and places.setdefault((r.shard, r.slot), r) is r
+    loads = {}
+    for r in out:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+        assert r.slot == 0 or (r.shard, r.slot - 1) in places
+    of_group = {}
+    for r in out:
+        of_group[r.text_crc32, r.size] = of_group.get((r.text_crc32, r.size), 0) + r.size
+    share = max(max(of_group.values()), sum(loads.values()) / 7)
+    assert max(loads.values()) <= 1.25 * share
+    assert {r.shard for r in out if r.size == 25 and r.doc_id is None} and len({r.shard for r in out if r.doc_id is None and r.size == 25}) == 1
+
+
 def test_shards_are_near_equal():
     r = random.Random(5)
     sizes = sorted((max(17, int(r.lognormvariate(7, 1))) for _ in range(5000)), reverse=True)
