@@ -658,6 +658,55 @@ def test_packing_places_every_id_once(spark, docs, empty):
     assert packing.pack(docs, path).groupBy().sum("length").collect()[0][0] == packing.pack(docs, path).where("start = 0").groupBy().sum("doc_tokens").collect()[0][0]
 
 
+def test_windows_are_near_equal_with_many_repeated_rows(spark):
+    r = random.Random(15)
+    rows = [(None, "the same words again and again")] * 3000 + [(i, prose(600 + i, r.randrange(1, 120))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = public_tokenizers.path(packing.VOCABULARY)
+    out = packing.pack(df, path, 512).collect()
+    sizes = {}
+    for x in out:
+        sizes[x.sequence_id] = sizes.get(x.sequence_id, 0) + x.length
+    assert sum(x.length for x in out) == sum(x.doc_tokens for x in out if x.start == 0) and len({(x.sequence_id, x.offset) for x in out}) == len(out)
+    blocks = {}
+    for s, n in sizes.items():
+        assert n <= 512
+        if n < 512:
+            blocks.setdefault(s >> 32, []).append(n)
+    assert len(blocks) > 1 and all(max(b) - min(b) <= 64 for b in blocks.values())
+    assert sum(sizes.values()) / (512 * len(sizes)) > 0.97
+    members = {}
+    for x in out:
+        if x.length < 512:
+            members[x.sequence_id >> 32] = members.get(x.sequence_id >> 32, 0) + 1
+    assert max(members.values()) < 3 * packing.BLOCK_RESTS
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Upper and lower.Case, words", "", "two  blanks\n and\ttabs.", "é.è"]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 4096, True).collect()
+    own = Tokenizer.from_file(path)
+    assert {x.doc_id: np.frombuffer(x.ids, "<u4").tolist() for x in out} == {i: [*own.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    from types import SimpleNamespace
+
+    from halyard.llm import common
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder or default), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(session("spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(session("local-cluster[2,1,1024]"))
+    assert common.shared_dir(session("yarn", "hdfs:///x/")) == "hdfs:///x" and common.shared_dir(session("local[4]")).startswith("file://")
+
+
 def test_differencing():
     r = random.Random(7)
     for n, ways in ((0, 3), (1, 1), (5, 9), (200, 20)):
