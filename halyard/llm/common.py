@@ -82,6 +82,12 @@ def delete(spark: SparkSession, path: str) -> None:
         written().remove(path)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete what operators called in this context have left, once their results have been written or are not wanted any more."""
+    for path in list(written()):
+        delete(spark, path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
