@@ -12,6 +12,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Columns of the star schema benchmark's text files.
+TEXT_TABLES = {
+    "lineorder": "lo_orderkey int, lo_linenumber int, lo_custkey int, lo_partkey int, lo_suppkey int, lo_orderdate int, lo_orderpriority string, lo_shippriority string, lo_quantity int, lo_extendedprice int, lo_ordtotalprice int, lo_discount int, lo_revenue int, lo_supplycost int, lo_tax int, lo_commitdate int, lo_shipmode string",
+    "supplier": "s_suppkey int, s_name string, s_address string, s_city string, s_nation string, s_region string, s_phone string",
+    "customer": "c_custkey int, c_name string, c_address string, c_city string, c_nation string, c_region string, c_phone string, c_mktsegment string",
+    "part": "p_partkey int, p_name string, p_mfgr string, p_category string, p_brand1 string, p_color string, p_type string, p_size int, p_container string",
+    "ddate": "d_datekey int, d_date string, d_dayofweek string, d_month string, d_year int, d_yearmonthnum int, d_yearmonth string, d_daynuminweek int, d_daynuminmonth int, d_daynuminyear int, d_monthnuminyear int, d_weeknuminyear int, d_sellingseason string, d_lastdayinweekfl int, d_lastdayinmonthfl int, d_holidayfl int, d_weekdayfl int",
+}
+_SORTED_BY = {"lineorder": ["lo_orderdate"]}
+
+
+def load_star(spark: SparkSession, folder: str, target: str, delimiter: str = "|") -> None:
+    """All star tables' text files (``<table>.tbl``) as Parquet, the fact table in order of its date."""
+    for name, schema in TEXT_TABLES.items():
+        load_table(spark, f"{folder}/{name}.tbl", schema, f"{target}/{name}", delimiter, _SORTED_BY.get(name))
+
+
 def read_table(spark: SparkSession, path: str, schema: str, delimiter: str = "|") -> DataFrame:
     """Delimited text; a delimiter at the end of each line is allowed, empty fields are null."""
     return spark.read.csv(path, schema=schema, sep=delimiter, mode="PERMISSIVE")

@@ -11,7 +11,7 @@ from halyard.operators.ordering import top
 from halyard.operators.windows import row_number, running_sum
 from halyard.plans import catalogue, texts
 from halyard.plans.engine import Config, Engine, QueryError, Shell, parse_size, statements
-from halyard.sources import loader
+from halyard.sources import formats, loader
 from halyard.sources.star import Star
 
 
@@ -151,6 +151,29 @@ def test_loader(spark, tmp_path):
     assert [r.n for r in coded.orderBy("id").collect()] == [1, None]
 
 
+def test_star_text_files(spark, tmp_path):
+    values = {"int": ["3", "1", "2"], "string": ["x", "", "z"]}
+    for name, schema in loader.TEXT_TABLES.items():
+        kinds = [f.split()[1] for f in schema.split(", ")]
+        (tmp_path / f"{name}.tbl").write_text("".join("|".join(values[k][i] for k in kinds) + "|\n" for i in range(3)))
+    loader.load_star(spark, str(tmp_path), str(tmp_path / "out"))
+    for name, schema in loader.TEXT_TABLES.items():
+        rows = spark.read.parquet(str(tmp_path / "out" / name))
+        assert rows.columns == [f.split()[0] for f in schema.split(", ")] and rows.count() == 3
+    assert [r.lo_orderdate for r in spark.read.parquet(str(tmp_path / "out/lineorder")).coalesce(1).collect()] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
+def test_formats(spark, tmp_path, kind):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b c")], "id int, t string")
+    formats.write(rows, str(tmp_path / "x"), kind)
+    assert sorted(formats.read(spark, str(tmp_path / "x"), kind, "id int, t string").collect()) == sorted(rows.collect())
+    formats.write(rows, str(tmp_path / "y"), kind, ["id"])
+    assert (tmp_path / "y/id=2").is_dir()
+    with pytest.raises(ValueError):
+        formats.read(spark, "x", "nope")
+
+
 def test_statistics_are_kept_until_files_change(spark, tmp_path):
     path, cache = str(tmp_path / "t"), str(tmp_path / "cache")
     spark.range(5).write.parquet(path)
