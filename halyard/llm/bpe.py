@@ -5,38 +5,39 @@ neighbouring pieces of lowest rank, leftmost first, until no neighbours have a r
 a literal in the plan: an array of small maps, entered by a hash of the piece, so a look-up costs the
 same for any vocabulary.  Bytes are written as the characters U+0000 to U+00FF, so pieces are strings.
 
-Only distinct words are folded.  Those that come more than once (the most frequent ones, a bounded number) become a
-dictionary, with which documents are put together in Arrow batches; the words outside it, which come once while the others
-fit, are folded where they stand.  A fold rebuilds its arrays at every merge, so its time grows with the square of a word's length;
-the rare words of more than ``LONG`` bytes have their merges ordered by a heap over linked pieces instead.
+Only distinct words are folded, each of them once.  Documents are cut into words and put together in slices, in which a word is
+a code.  A slice's distinct words are dealt by hash, so all of one kind meet, are folded there and written as a table; from it
+every slice is told the ids of its words, and puts its documents together again.  Nothing about words passes the driver.  A fold
+rebuilds its arrays at every merge, so its time grows with the square of a word's length; the rare words of more than ``LONG``
+bytes have their merges ordered by a heap over linked pieces instead.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, releasing, table, text_or_empty
+from .common import buffers, materialize, partitions, releasing, table, take_ranges, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 16
-#: Words in the dictionary, and bytes in such a word, at most: so its size is bounded.
-DICTIONARY_WORDS = 1_000_000
-DICTIONARY_BYTES = 64
 NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
-#: Words that are looked up together.
-LOOKUP_WORDS = 2_000_000
-SEGMENT = "ids:string, n:int, bytes:binary, word:string"
+#: Words of a slice, as far as whole documents allow.
+SLICE_WORDS = 500_000
 
 
 def murmur3(data: bytes) -> int:
@@ -89,15 +90,14 @@ class Coder:
         texts = [p.decode("latin-1") for p in pieces]
         for rank, t in enumerate(texts):
             maps[murmur3(t.encode()) % BUCKETS][t] = rank
-        self.rank_json, self.piece_json, self.pattern = json.dumps(maps), json.dumps(texts), java_pattern(pattern)
+        self.rank_json, self.pattern = json.dumps(maps), java_pattern(pattern)
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def encode(self, word: Column) -> Column:
-        """struct(ids, n, bytes, word): ids in decimal joined by commas, how many, and what they decode to."""
+        """The ids of a word."""
         ranks = F.from_json(F.lit(self.rank_json), "array<map<string,int>>")
-        names = F.from_json(F.lit(self.piece_json), "array<string>")
 
         def rank(table: Column, piece: Column) -> Column:
             return F.get(table, F.hash(piece).bitwiseAND(F.lit(BUCKETS - 1)))[piece]
@@ -135,11 +135,7 @@ class Coder:
             pieces = let(latin, lambda w: F.when(rank(table, w).isNotNull(), F.array(w)).otherwise(folded(table, w)))
             return F.transform(pieces, lambda x: rank(table, x))
 
-        def finish(ids: Column) -> Column:
-            text = let(names, lambda n: F.array_join(F.transform(ids, lambda i: F.get(n, i)), ""))
-            return F.struct(F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.size(ids).alias("n"), F.encode(text, "ISO-8859-1").alias("bytes"), word.alias("word"))
-
-        return let(let(ranks, coded), finish)
+        return let(ranks, coded)
 
 
 def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -168,122 +164,182 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
-    """Words of (word, n) as frequent as can be without exceeding ``most`` words."""
-    fit = counts.where(F.octet_length("word") <= longest)
-    sizes = fit.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 2**20 rows
-    least, held = (1 << 20) + 1, 0
-    for row in sizes:
-        if held + row["count"] > most:
-            break
-        least, held = row["n"], held + row["count"]
-    return fit.where(F.col("n") >= least)
-
-
-def put_together(dictionary, vocabulary):
-    """Cut each document's words into segments: runs of dictionary words, and single other words (long ones already merged)."""
-    kind = pa.struct([("ids", pa.string()), ("n", pa.int32()), ("bytes", pa.binary()), ("word", pa.string())])
-
-    def segments(rows: pa.RecordBatch, known: pa.Table) -> pa.ListArray:
-        lists = rows.column("words")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        words = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets = offsets - offsets[0]
-        at = pc.index_in(words, value_set=known.column("word").chunk(0))
-        unknown = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
-        bounds = np.unique(np.concatenate([offsets, unknown, unknown + 1]))
-        if len(bounds) < 2:
-            return pa.array([[]] * rows.num_rows, pa.list_(kind))
-        starts = bounds[:-1]
-        alone = np.isin(starts, unknown, assume_unique=True)
-        where = pa.array(bounds.astype(np.int32))
-        at = at.fill_null(0)
-        join = lambda column, by: pc.binary_join(pa.ListArray.from_arrays(where, known.column(column).chunk(0).take(at)), by)
-        n = np.add.reduceat(known.column("n").chunk(0).to_numpy()[at.to_numpy()], starts) if len(starts) else np.zeros(0)
-        gone = pa.array(alone)
-        ids = pc.if_else(gone, pa.scalar(None, pa.string()), join("ids", ","))
-        data = pc.if_else(gone, pa.scalar(None, pa.binary()), join("bytes", b""))
-        others = pc.if_else(gone, words.take(pa.array(starts)), pa.scalar(None, pa.string()))
-        n = n.astype(np.int32)
-        long = np.flatnonzero(pc.greater(pc.fill_null(pc.binary_length(others), 0), LONG).to_numpy(zero_copy_only=False))
-        if len(long):
-            pieces = vocabulary.value
-            ranks = {p: i for i, p in enumerate(pieces)}
-            found = {w: merged_by_heap(w.encode(), ranks) for w in set(others.take(pa.array(long)).to_pylist())}
-            ids, data, others, alone = ids.to_pylist(), data.to_pylist(), others.to_pylist(), alone.copy()
-            for k in long.tolist():
-                own = found[others[k]]
-                ids[k], data[k], n[k], others[k], alone[k] = ",".join(map(str, own)), b"".join(pieces[i] for i in own), len(own), None, False
-            ids, data, others = pa.array(ids, pa.string()), pa.array(data, pa.binary()), pa.array(others, pa.string())
-        struct = pa.StructArray.from_arrays([ids, pa.array(n, mask=alone), data, others], fields=list(kind))
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, offsets).astype(np.int32)), struct)
+def packed_words(words: pa.Array, packer: zstandard.ZstdCompressor) -> bytes:
+    data, at = buffers(words)
+    return packer.compress(len(words).to_bytes(4, "little") + at.astype("<i4").tobytes() + data.tobytes())
+
+
+def unpacked_words(blob: bytes) -> pa.Array:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    whole = pa.py_buffer(raw)
+    return pa.Array.from_buffers(pa.string(), n, [None, whole.slice(4, 4 * n + 4), whole.slice(4 * n + 8)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.ipc.open_stream(pa.BufferReader(dictionary.value)).read_all()
-        if not known.num_rows:
-            known = pa.table({"word": pa.array([""]), "ids": pa.array([""]), "n": pa.array([0], pa.int32()), "bytes": pa.array([b""])})
 
-        def ready(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), segments(rows, known)], names=["doc_id", "segments"])
+def home(words: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of every word."""
+    return np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.to_pylist()), np.int64, len(words))
 
+
+def into_slices(buckets: int, kind: pa.DataType):
+    """Slices: documents as codes of words (kind 0), and the distinct words by bucket (kind 1); codes follow buckets."""
+    names = ["kind", "slice", "to", "docs", "counts", "codes", "words"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), pa.binary(), pa.binary(), pa.binary()]
+
+    def slice_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        packer = zstandard.ZstdCompressor(level=1)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        lists = whole.column("words").chunk(0)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(lists.values.slice(at[0], at[-1] - at[0]))
+        bucket = home(coded.dictionary, buckets)
+        order = np.argsort(bucket, kind="stable")
+        code = np.empty(len(order), np.int32)
+        code[order] = np.arange(len(order))
+        own = uuid.uuid4().int >> 65  # a written table holds it, so it is drawn once
+        rows = [(0, own, None, whole.column("doc_id").to_pylist(), packer.compress(np.diff(at).astype("<u4").tobytes()), packer.compress(code[coded.indices.to_numpy()].tobytes()), None)]
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            rows.append((1, own, b, None, None, None, packed_words(coded.dictionary.take(pa.array(order[cuts[b] : cuts[b + 1]])), packer)))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = [], 0
         for batch in batches:
             ends = batch.column("words").offsets.to_numpy()
             begin = 0
             while begin < batch.num_rows:  # as many rows as there is room for, or one
-                end = min(batch.num_rows, max(begin + (not held), int(np.searchsorted(ends, ends[begin] + LOOKUP_WORDS - words, "right")) - 1))
+                end = min(batch.num_rows, max(begin + (not held), int(np.searchsorted(ends, ends[begin] + SLICE_WORDS - words, "right")) - 1))
                 if end > begin:
                     held.append(batch.slice(begin, end - begin))
                     words += int(ends[end] - ends[begin])
                 if end < batch.num_rows:
-                    yield ready(held)
+                    yield slice_of(held)
                     held, words = [], 0
                 begin = end
         if held:
-            yield ready(held)
+            yield slice_of(held)
 
     return releasing(run)
 
 
-def packed_dictionary(words: DataFrame, coder: Coder) -> bytes:
-    """The words, which are bounded in number and size, with their codes, as one Arrow stream."""
-    known = words.select(coder.encode(F.col("word")).alias("c")).select("c.word", "c.ids", "c.n", "c.bytes").toArrow()
-    known = known.cast(pa.schema([("word", pa.string()), ("ids", pa.string()), ("n", pa.int32()), ("bytes", pa.binary())])).combine_chunks()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, known.schema) as writer:
-        writer.write_table(known)
-    return sink.getvalue().to_pybytes()
+def distinct_words(buckets: int, vocabulary):
+    """The distinct words of a task's buckets, with the ids of long ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = pa.array([], pa.string())
+        held: list[pa.Array] = []
+        size = 0
+
+        def met() -> pa.Array:
+            return pc.unique(pa.chunked_array([seen, *held], pa.string()))
+
+        for batch in batches:
+            for blob in batch.column("words").to_pylist():
+                held.append(unpacked_words(blob))
+                size += len(held[-1])
+            if size > max(1_000_000, 2 * len(seen)):
+                seen, held, size = met(), [], 0
+        seen = met()
+        long = pc.greater(pc.binary_length(seen), LONG).to_numpy(zero_copy_only=False)
+        given: dict[int, list[int]] = {}
+        if long.any():
+            ranks = {p: i for i, p in enumerate(vocabulary.value)}
+            given = {k: merged_by_heap(seen[k].as_py().encode(), ranks) for k in np.flatnonzero(long).tolist()}
+        for i in range(0, len(seen), 10_000):
+            some = seen.slice(i, 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(home(some, buckets).astype(np.int32)), some, pa.array([given.get(k) for k in range(i, i + len(some))], pa.list_(pa.int32()))], names=["to", "word", "given"])
+
+    return releasing(run)
 
 
-def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str) -> DataFrame:
-    """doc_id, ids (decimal, joined by commas), n_tokens and decoded bytes of every row's whole text.
+@releasing
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of every slice's words; folded words (kind 0) come first in a partition."""
+    packer = zstandard.ZstdCompressor(level=1)
+    words, lists, known = [], [], None
+    for batch in batches:
+        kinds = batch.column("kind").to_numpy()
+        cut = int(np.searchsorted(kinds, 1))
+        if cut:
+            words.append(batch.column("word").slice(0, cut))
+            lists.append(batch.column("ids").slice(0, cut))
+        if cut == batch.num_rows:
+            continue
+        if known is None:
+            known, ids = pa.chunked_array(words).combine_chunks(), pa.chunked_array(lists).combine_chunks()
+            at, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
+            words, lists = [], []
+        for own, to, blob in zip(*(batch.column(c).slice(cut).to_pylist() for c in ("slice", "to", "words")), strict=True):
+            index = pc.index_in(unpacked_words(blob), value_set=known).to_numpy()
+            n = at[index + 1] - at[index]
+            found = (1, own, to, packer.compress(n.astype("<u4").tobytes()), packer.compress(flat[take_ranges(at[index], n)].astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(found, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "slice", "to", "counts", "codes"])
+
+
+def assemble(vocabulary, digests: bool):
+    """Documents of each slice from its codes (kind 0) and the answers (kind 1, by bucket) that come after."""
+
+    def documents(docs: pa.Array, counts: bytes, codes: bytes, answers: list[tuple[bytes, bytes]], texts: pa.Array, pieces: pa.Array) -> pa.RecordBatch:
+        read = zstandard.ZstdDecompressor().decompress
+        n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(read(a), "<u4") for a, _ in answers)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(read(b), "<i4") for _, b in answers)])
+        code = np.frombuffer(read(codes), "<i4")
+        words = np.concatenate([[0], np.cumsum(np.frombuffer(read(counts), "<u4"), dtype=np.int64)])
+        lengths = n[code]
+        ids = flat[take_ranges((np.cumsum(n) - n)[code], lengths)]
+        ends = np.concatenate([[0], np.cumsum(lengths)])[words]
+        offsets, index = pa.array(ends.astype(np.int32)), pa.array(ids)
+        told = pc.binary_join(pa.ListArray.from_arrays(offsets, texts.take(index)), ",")
+        decoded = pc.binary_join(pa.ListArray.from_arrays(offsets, pieces.take(index)), b"")
+        if digests:
+            told, decoded = (pa.array([hashlib.sha256(x).hexdigest() for x in column.cast(pa.binary()).to_pylist()]) for column in (told, decoded))
+        return pa.RecordBatch.from_arrays([docs, pa.array(np.diff(ends)), told, decoded], names=["doc_id", "n_tokens", "ids", "bytes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(vocabulary.value, pa.binary())
+        texts = pa.array([str(i) for i in range(len(pieces))])
+        docs, answers = None, []
+        for batch in batches:
+            lists = batch.column("docs")
+            for i, (kind, counts, codes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "counts", "codes")), strict=True)):
+                if kind == 1:
+                    answers.append((counts, codes))
+                    continue
+                if docs is not None:
+                    yield documents(*docs, answers, texts, pieces)
+                docs, answers = (lists.slice(i, 1).flatten(), counts, codes), []
+        if docs is not None:
+            yield documents(*docs, answers, texts, pieces)
+
+    return releasing(run)
+
+
+def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, digests: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by commas) and decoded bytes of every row's whole text, or the SHA-256 of the last two.
 
     Null text is empty, and gives no ids.  Rows with a null or repeated doc_id are rows like others.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     spark = docs.sparkSession
+    buckets = partitions(spark)
     coder = Coder(pieces, pattern)
-    cut = docs.select("doc_id", coder.words(text_or_empty()).alias("words"))
-    counts = materialize(cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "bpe-words")
-    frequent = frequent_words(counts, DICTIONARY_WORDS, DICTIONARY_BYTES)
-    dictionary = spark.sparkContext.broadcast(packed_dictionary(frequent, coder))
-    discard(counts)
-    vocabulary = spark.sparkContext.broadcast(pieces)
     kind = dict(docs.dtypes)["doc_id"]
-    parts = cut.mapInArrow(put_together(dictionary, vocabulary), f"doc_id {kind}, segments array<struct<{SEGMENT}>>")
-    whole = F.transform("segments", lambda s: F.when(s["word"].isNull(), s).otherwise(coder.encode(s["word"])))
-    parts = parts.withColumn("segments", whole)
-    return parts.select(
-        "doc_id",
-        F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("n_tokens"),
-        F.concat_ws(",", F.col("segments.ids")).alias("ids"),
-        F.col("segments.bytes").alias("pieces"),
-    )
-
-
-def joined_bytes(pieces: Column) -> Column:
-    """One binary of an array of binaries (as strings on the way, which keep any bytes as they are)."""
-    return F.concat_ws("", pieces.cast("array<string>")).cast("binary")
+    vocabulary = spark.sparkContext.broadcast(pieces)
+    cut = docs.select("doc_id", coder.words(text_or_empty()).alias("words"))
+    fields = f"kind int, slice long, to int, docs array<{kind}>, counts binary, codes binary, words binary"
+    coded = materialize(cut.mapInArrow(into_slices(buckets, to_arrow_type(docs.schema["doc_id"].dataType)), fields), "bpe-slices", 500)
+    lists = coded.where("kind = 1")
+    words = lists.select("to", "words").repartition(buckets, "to").mapInArrow(distinct_words(buckets, vocabulary), "to int, word string, given array<int>")
+    ids = F.when(F.col("given").isNotNull(), F.col("given")).otherwise(coder.encode(F.col("word")))
+    folded = materialize(words.select("to", "word", ids.alias("ids")), "bpe-words", 10_000)
+    asked = lists.select("to", F.lit(1).alias("kind"), "slice", "words", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"))
+    told = folded.select("to", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("words"), "word", "ids")
+    answers = told.unionByName(asked).repartition(buckets, "to").sortWithinPartitions("kind").mapInArrow(answer, "kind int, slice long, to int, counts binary, codes binary")
+    both = coded.where("kind = 0").drop("words").unionByName(answers, allowMissingColumns=True)
+    both = both.repartition(buckets, "slice").sortWithinPartitions("slice", "kind", "to")
+    return both.mapInArrow(assemble(vocabulary, digests), f"doc_id {kind}, n_tokens long, ids string, bytes {'string' if digests else 'binary'}")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,5 +347,5 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = read_ranks(public_tokenizers.path(VOCABULARY))
-    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), F.sha2(joined_bytes(F.col("pieces")), 256).alias("decoded_sha256"))
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, public_tokenizers.PATTERN, True)
+    return coded.select("doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("bytes").alias("decoded_sha256"))

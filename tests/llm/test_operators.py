@@ -201,12 +201,12 @@ def test_bpe_against_tiktoken(spark, docs, empty):
     odd = [(30, "don't WE'LL 'tis  it's\u00a0nbsp\u2003em\x1cfs \u0085 12345 ٣ 漢字かな 🙂🙂 e\u0301 \r\n\t x "), (31, "q" * 700), (34, "".join(random.Random(5).choice("abcdefghijklmnop") for _ in range(66_000)) + " tail"), (35, "é" * 200 + "x" * 300), (32, "<|endoftext|> ''' re've"), (33, "\x00\x01 \ufeff")]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     out = bpe.encode_documents(rows, pieces, public_tokenizers.PATTERN)
-    out = out.select("ids", "n_tokens", bpe.joined_bytes(F.col("pieces")).alias("b")).collect()
+    out = out.collect()
     expected = []
     for (t,) in rows.select("text").collect():
         ids = encoding.encode_ordinary(t or "")
         expected.append((",".join(map(str, ids)), len(ids), encoding.decode_bytes(ids)))
-    assert sorted((r.ids, r.n_tokens, bytes(r.b)) for r in out) == sorted(expected)
+    assert sorted((r.ids, r.n_tokens, bytes(r.bytes)) for r in out) == sorted(expected)
     assert bpe.encode_documents(empty, pieces, public_tokenizers.PATTERN).count() == 0
 
 
@@ -226,12 +226,16 @@ def test_long_words_are_merged_in_little_time():
             assert found == encoding.encode_ordinary(word)
 
 
-def test_bpe_without_a_dictionary(spark, docs, monkeypatch):
-    pieces = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
-    few = docs.where("doc_id < 9").select("doc_id", "text")
-    full = sorted(map(str, bpe.encode_documents(few, pieces, public_tokenizers.PATTERN).select("doc_id", "ids").collect()))
-    monkeypatch.setattr(bpe, "DICTIONARY_WORDS", 3)
-    assert sorted(map(str, bpe.encode_documents(few, pieces, public_tokenizers.PATTERN).select("doc_id", "ids").collect())) == full
+def test_words_of_many_slices_meet():
+    kind = pa.int64()
+    texts = [[f"w{i % 50}", "again", f"é{i}", "x" * 400] * (i % 4) for i in range(60)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60), kind), pa.array(texts, pa.list_(pa.string()))], names=["doc_id", "words"])
+    slices = list(bpe.into_slices(3, kind)([rows.slice(0, 25), rows.slice(25)]))
+    listed = [b.filter(pa.compute.equal(b["kind"], 1)) for b in slices]
+    pieces = [bytes([i]) for i in range(256)] + [b"ag", b"xx", b"xxxx"]
+    distinct = [w for b in bpe.distinct_words(3, Shared(pieces))(listed) for w in b.to_pylist()]
+    assert sorted(w["word"] for w in distinct) == sorted({w for t in texts for w in t})
+    assert [w["given"] for w in distinct if len(w["word"]) == 400] == [[258] * 100] and all(w["given"] is None for w in distinct if len(w["word"]) < 100)
 
 
 def test_patterns_cut_alike(spark):
