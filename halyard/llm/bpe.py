@@ -36,8 +36,8 @@ BUCKETS = 1 << 16
 NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
-#: Words of a slice, as far as whole documents allow.
-SLICE_WORDS = 500_000
+#: Words of a slice, as far as whole documents allow, and words that are looked up together.
+SLICE_WORDS, ASKED_WORDS = 500_000, 1_000_000
 
 
 def murmur3(data: bytes) -> int:
@@ -257,7 +257,7 @@ def distinct_words(buckets: int, vocabulary):
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of every slice's words; folded words (kind 0) come first in a partition."""
     packer = zstandard.ZstdCompressor(level=1)
-    words, lists, known = [], [], None
+    words, lists, known, asked, size = [], [], None, [], 0
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
         cut = int(np.searchsorted(kinds, 1))
@@ -270,11 +270,27 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, ids = pa.chunked_array(words).combine_chunks(), pa.chunked_array(lists).combine_chunks()
             at, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
             words, lists = [], []
-        for own, to, blob in zip(*(batch.column(c).slice(cut).to_pylist() for c in ("slice", "to", "words")), strict=True):
-            index = pc.index_in(unpacked_words(blob), value_set=known).to_numpy()
-            n = at[index + 1] - at[index]
-            found = (1, own, to, packer.compress(n.astype("<u4").tobytes()), packer.compress(flat[take_ranges(at[index], n)].astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(found, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "slice", "to", "counts", "codes"])
+        for row in zip(*(batch.column(c).slice(cut).to_pylist() for c in ("slice", "to", "words")), strict=True):
+            asked.append((*row[:2], unpacked_words(row[2])))
+            size += len(asked[-1][2])
+            if size > ASKED_WORDS:
+                yield from look_up(asked, known, at, flat, packer)
+                asked, size = [], 0
+    if asked:
+        yield from look_up(asked, known, at, flat, packer)
+
+
+def look_up(asked: list[tuple], known: pa.Array, at: np.ndarray, flat: np.ndarray, packer: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    """Answers to many slices at once: a look-up builds a table of all words first."""
+    index = pc.index_in(pa.chunked_array([a[2] for a in asked]).combine_chunks(), value_set=known).to_numpy()
+    rows, begin = [], 0
+    for own, to, words in asked:
+        mine = index[begin : begin + len(words)]
+        begin += len(words)
+        n = at[mine + 1] - at[mine]
+        rows.append((1, own, to, packer.compress(n.astype("<u4").tobytes()), packer.compress(flat[take_ranges(at[mine], n)].astype("<i4").tobytes())))
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "slice", "to", "counts", "codes"])
 
 
 def assemble(vocabulary, digests: bool):
