@@ -6,8 +6,9 @@ a literal in the plan: an array of small maps, entered by a hash of the piece, s
 same for any vocabulary.  Bytes are written as the characters U+0000 to U+00FF, so pieces are strings.
 
 Only distinct words are folded, each of them once.  Documents are cut into words and put together in slices, in which a word is
-a code.  A slice's distinct words are dealt by hash, so all of one kind meet, are folded there and written as a table; from it
-every slice is told the ids of its words, and puts its documents together again.  Nothing about words passes the driver.  A fold
+a code.  A slice's distinct words are dealt by hash, so all of one kind meet, are folded there; from there
+every slice is told the ids of its words, and puts its documents together again.  Slices are written once, in buckets, so
+that only the answers move to them.  Nothing about words passes the driver.  A fold
 rebuilds its arrays at every merge, so its time grows with the square of a word's length; the rare words of more than ``LONG``
 bytes have their merges ordered by a heap over linked pieces instead.
 """
@@ -37,7 +38,7 @@ NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
 #: Words of a slice, as far as whole documents allow, and words that are looked up together.
-SLICE_WORDS, ASKED_WORDS = 500_000, 1_000_000
+SLICE_WORDS, ASKED_WORDS = 1_000_000, 1_000_000
 
 
 def murmur3(data: bytes) -> int:
@@ -182,9 +183,9 @@ def home(words: pa.Array, buckets: int) -> np.ndarray:
 
 
 def into_slices(buckets: int, kind: pa.DataType):
-    """Slices: documents as codes of words (kind 0), and the distinct words by bucket (kind 1); codes follow buckets."""
-    names = ["kind", "slice", "to", "docs", "counts", "codes", "words"]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), pa.binary(), pa.binary(), pa.binary()]
+    """Slices: documents as codes of words (kind 0), and the distinct words by bucket (kind 1); a code's place is that of its word in all buckets."""
+    names = ["kind", "slice", "to", "docs", "counts", "places", "codes", "words"]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def slice_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         packer = zstandard.ZstdCompressor(level=1)
@@ -192,15 +193,20 @@ def into_slices(buckets: int, kind: pa.DataType):
         lists = whole.column("words").chunk(0)
         at = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(at[0], at[-1] - at[0]))
-        bucket = home(coded.dictionary, buckets)
-        order = np.argsort(bucket, kind="stable")
-        code = np.empty(len(order), np.int32)
-        code[order] = np.arange(len(order))
+        words, bucket, at_word = coded.dictionary, home(coded.dictionary, buckets), coded.indices.to_numpy()
+        ranked = np.empty(len(words), np.int64)
+        ranked[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+        order = np.lexsort((ranked, bucket))  # in order of letters, words and their ids pack well
+        place, often = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        common = np.argsort(-np.bincount(at_word, minlength=len(words)), kind="stable")
+        often[common] = np.arange(len(order))  # codes by frequency, byte by byte, pack well too
+        planes = np.ascontiguousarray(often[at_word].astype("<i4").view(np.uint8).reshape(-1, 4).T)
         own = uuid.uuid4().int >> 65  # a written table holds it, so it is drawn once
-        rows = [(0, own, None, whole.column("doc_id").to_pylist(), packer.compress(np.diff(at).astype("<u4").tobytes()), packer.compress(code[coded.indices.to_numpy()].tobytes()), None)]
+        rows = [(0, own, None, whole.column("doc_id").to_pylist(), packer.compress(np.diff(at).astype("<u4").tobytes()), packer.compress(place[common].astype("<i4").tobytes()), packer.compress(planes.tobytes()), None)]
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            rows.append((1, own, b, None, None, None, packed_words(coded.dictionary.take(pa.array(order[cuts[b] : cuts[b + 1]])), packer)))
+            rows.append((1, own, b, None, None, None, None, packed_words(words.take(pa.array(order[cuts[b] : cuts[b + 1]])), packer)))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,8 +229,11 @@ def into_slices(buckets: int, kind: pa.DataType):
     return releasing(run)
 
 
-def distinct_words(buckets: int, vocabulary):
-    """The distinct words of a task's buckets, with the ids of long ones."""
+WORD_OR_LIST = ["kind", "slice", "to", "words", "word", "given"]
+
+
+def distinct_words(vocabulary):
+    """The distinct words of a task's buckets (kind 0), with the ids of long ones, and then the slices' lists (kind 1) as they came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = pa.array([], pa.string())
@@ -234,28 +243,36 @@ def distinct_words(buckets: int, vocabulary):
         def met() -> pa.Array:
             return pc.unique(pa.chunked_array([seen, *held], pa.string()))
 
+        lists = []
         for batch in batches:
-            for blob in batch.column("words").to_pylist():
+            for own, to, blob in zip(*(batch.column(c).to_pylist() for c in ("slice", "to", "words")), strict=True):
+                lists.append((own, to, blob))
                 held.append(unpacked_words(blob))
                 size += len(held[-1])
-            if size > max(1_000_000, 2 * len(seen)):
-                seen, held, size = met(), [], 0
+                if size > max(1_000_000, 2 * len(seen)):
+                    seen, held, size = met(), [], 0
         seen = met()
         long = pc.greater(pc.binary_length(seen), LONG).to_numpy(zero_copy_only=False)
         given: dict[int, list[int]] = {}
         if long.any():
             ranks = {p: i for i, p in enumerate(vocabulary.value)}
             given = {k: merged_by_heap(seen[k].as_py().encode(), ranks) for k in np.flatnonzero(long).tolist()}
+        seen = seen.combine_chunks() if isinstance(seen, pa.ChunkedArray) else seen
         for i in range(0, len(seen), 10_000):
             some = seen.slice(i, 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(home(some, buckets).astype(np.int32)), some, pa.array([given.get(k) for k in range(i, i + len(some))], pa.list_(pa.int32()))], names=["to", "word", "given"])
+            n = len(some)
+            given_here = pa.array([given.get(k) for k in range(i, i + n)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), some, given_here], names=WORD_OR_LIST)
+        for own, to, blob in lists:
+            row = (1, own, to, blob, None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.list_(pa.int32())), strict=True)], names=WORD_OR_LIST)
 
     return releasing(run)
 
 
 @releasing
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ids of every slice's words; folded words (kind 0) come first in a partition."""
+    """The ids of every slice's words; a partition's folded words (kind 0) come before its lists."""
     packer = zstandard.ZstdCompressor(level=1)
     words, lists, known, asked, size = [], [], None, [], 0
     for batch in batches:
@@ -294,13 +311,15 @@ def look_up(asked: list[tuple], known: pa.Array, at: np.ndarray, flat: np.ndarra
 
 
 def assemble(vocabulary, digests: bool):
-    """Documents of each slice from its codes (kind 0) and the answers (kind 1, by bucket) that come after."""
+    """Documents of each slice from its codes and the answers of its buckets."""
 
-    def documents(docs: pa.Array, counts: bytes, codes: bytes, answers: list[tuple[bytes, bytes]], texts: pa.Array, pieces: pa.Array) -> pa.RecordBatch:
+    def documents(docs: pa.Array, counts: bytes, places: bytes, codes: bytes, answers: list[dict] | None, texts: pa.Array, pieces: pa.Array) -> pa.RecordBatch:
         read = zstandard.ZstdDecompressor().decompress
-        n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(read(a), "<u4") for a, _ in answers)]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(read(b), "<i4") for _, b in answers)])
-        code = np.frombuffer(read(codes), "<i4")
+        answers = sorted(answers or [], key=lambda a: a["to"])
+        n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(read(a["counts"]), "<u4") for a in answers)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(read(a["codes"]), "<i4") for a in answers)])
+        planes = np.frombuffer(read(codes), np.uint8).reshape(4, -1)
+        code = np.frombuffer(read(places), "<i4")[np.ascontiguousarray(planes.T).view("<i4").ravel()]
         words = np.concatenate([[0], np.cumsum(np.frombuffer(read(counts), "<u4"), dtype=np.int64)])
         lengths = n[code]
         ids = flat[take_ranges((np.cumsum(n) - n)[code], lengths)]
@@ -315,18 +334,10 @@ def assemble(vocabulary, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(vocabulary.value, pa.binary())
         texts = pa.array([str(i) for i in range(len(pieces))])
-        docs, answers = None, []
         for batch in batches:
             lists = batch.column("docs")
-            for i, (kind, counts, codes) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "counts", "codes")), strict=True)):
-                if kind == 1:
-                    answers.append((counts, codes))
-                    continue
-                if docs is not None:
-                    yield documents(*docs, answers, texts, pieces)
-                docs, answers = (lists.slice(i, 1).flatten(), counts, codes), []
-        if docs is not None:
-            yield documents(*docs, answers, texts, pieces)
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("counts", "places", "codes", "answers")), strict=True)):
+                yield documents(lists.slice(i, 1).flatten(), *row, texts, pieces)
 
     return releasing(run)
 
@@ -344,17 +355,15 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, digests
     kind = dict(docs.dtypes)["doc_id"]
     vocabulary = spark.sparkContext.broadcast(pieces)
     cut = docs.select("doc_id", coder.words(text_or_empty()).alias("words"))
-    fields = f"kind int, slice long, to int, docs array<{kind}>, counts binary, codes binary, words binary"
-    coded = materialize(cut.mapInArrow(into_slices(buckets, to_arrow_type(docs.schema["doc_id"].dataType)), fields), "bpe-slices", 500)
-    lists = coded.where("kind = 1")
-    words = lists.select("to", "words").repartition(buckets, "to").mapInArrow(distinct_words(buckets, vocabulary), "to int, word string, given array<int>")
-    ids = F.when(F.col("given").isNotNull(), F.col("given")).otherwise(coder.encode(F.col("word")))
-    folded = materialize(words.select("to", "word", ids.alias("ids")), "bpe-words", 10_000)
-    asked = lists.select("to", F.lit(1).alias("kind"), "slice", "words", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"))
-    told = folded.select("to", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("slice"), F.lit(None).cast("binary").alias("words"), "word", "ids")
-    answers = told.unionByName(asked).repartition(buckets, "to").sortWithinPartitions("kind").mapInArrow(answer, "kind int, slice long, to int, counts binary, codes binary")
-    both = coded.where("kind = 0").drop("words").unionByName(answers, allowMissingColumns=True)
-    both = both.repartition(buckets, "slice").sortWithinPartitions("slice", "kind", "to")
+    fields = f"slice long, to int, docs array<{kind}>, counts binary, places binary, codes binary, words binary"
+    sliced = cut.mapInArrow(into_slices(buckets, to_arrow_type(docs.schema["doc_id"].dataType)), f"kind int, {fields}")
+    coded = materialize(sliced, "bpe-slices", 500, "slice", "kind")
+    lists = coded.where("kind = 1").select("slice", "to", "words").repartition(buckets, "to")
+    met = lists.mapInArrow(distinct_words(vocabulary), "kind int, slice long, to int, words binary, word string, given array<int>")
+    ids = F.when(F.col("word").isNotNull(), F.when(F.col("given").isNotNull(), F.col("given")).otherwise(coder.encode(F.col("word"))))
+    answers = met.select("kind", "slice", "to", "words", "word", ids.alias("ids")).mapInArrow(answer, "kind int, slice long, to int, counts binary, codes binary")
+    answers = answers.groupBy(F.col("slice").alias("of")).agg(F.collect_list(F.struct("to", "counts", "codes")).alias("answers"))
+    both = coded.where("kind = 0").join(answers, F.col("slice") == F.col("of"), "left").select("docs", "counts", "places", "codes", "answers")
     return both.mapInArrow(assemble(vocabulary, digests), f"doc_id {kind}, n_tokens long, ids string, bytes {'string' if digests else 'binary'}")
 
 

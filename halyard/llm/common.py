@@ -47,22 +47,27 @@ def written() -> list[str]:
     return mine
 
 
-def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS, bucket_by: str | None = None, split_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors.
 
-    Arrow batches of Python steps hold at most ``batch_rows`` meanwhile; the session's setting is put back.
+    Arrow batches of Python steps hold at most ``batch_rows`` meanwhile; the session's setting is put back.  With ``bucket_by``
+    (and folders by ``split_by``) later joins on that column needn't move the table; that is for tasks that write few, large rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/halyard-{name}-{uuid.uuid4().hex}"
+    own = path.rpartition("/")[2].replace("-", "_")
     before = spark.conf.get(BATCH_KEY)
     if not 0 < int(before) <= batch_rows:
         spark.conf.set(BATCH_KEY, batch_rows)
     written().append(path)
     try:
-        df.write.parquet(path)
+        if bucket_by:
+            df.write.format("parquet").option("path", path).partitionBy(split_by).bucketBy(partitions(spark), bucket_by).saveAsTable(own)
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.set(BATCH_KEY, before)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.table(own).select(df.columns) if bucket_by else spark.read.schema(df.schema).parquet(path)
     out._halyard_path = path
     return out
 
@@ -76,6 +81,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2].replace('-', '_')}")  # of those with buckets
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in written():
