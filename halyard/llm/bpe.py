@@ -38,7 +38,7 @@ NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
 #: Words of a slice, as far as whole documents allow, and words that are looked up together.
-SLICE_WORDS, ASKED_WORDS = 1_000_000, 1_000_000
+SLICE_WORDS, ASKED_WORDS = 2_000_000, 1_000_000
 
 
 def murmur3(data: bytes) -> int:
