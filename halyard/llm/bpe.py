@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize, partitions, releasing, table, take_ranges, text_or_empty
+from .common import buffers, collect_garbage, delete, materialize, partitions, releasing, table, take_ranges, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 16
@@ -38,7 +38,7 @@ NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
 #: Words of a slice, as far as whole documents allow, and words that are looked up together.
-SLICE_WORDS, ASKED_WORDS = 2_000_000, 1_000_000
+SLICE_WORDS, ASKED_WORDS = 1_000_000, 1_000_000
 
 
 def murmur3(data: bytes) -> int:
@@ -362,6 +362,9 @@ def encode_documents(docs: DataFrame, pieces: list[bytes], pattern: str, digests
     met = lists.mapInArrow(distinct_words(vocabulary), "kind int, slice long, to int, words binary, word string, given array<int>")
     ids = F.when(F.col("word").isNotNull(), F.when(F.col("given").isNotNull(), F.col("given")).otherwise(coder.encode(F.col("word"))))
     answers = met.select("kind", "slice", "to", "words", "word", ids.alias("ids")).mapInArrow(answer, "kind int, slice long, to int, counts binary, codes binary")
+    answers = materialize(answers, "bpe-answers", 10_000)
+    delete(spark, f"{coded._halyard_path}/kind=1")  # the lists have been answered
+    collect_garbage(spark)
     answers = answers.groupBy(F.col("slice").alias("of")).agg(F.collect_list(F.struct("to", "counts", "codes")).alias("answers"))
     both = coded.where("kind = 0").join(answers, F.col("slice") == F.col("of"), "left").select("docs", "counts", "places", "codes", "answers")
     return both.mapInArrow(assemble(vocabulary, digests), f"doc_id {kind}, n_tokens long, ids string, bytes {'string' if digests else 'binary'}")

@@ -77,11 +77,17 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         delete(df.sparkSession, df._halyard_path)
     if frames:
-        frames[0].sparkSession._jvm.System.gc()  # Spark removes shuffle files when the driver's objects for them are collected
+        collect_garbage(frames[0].sparkSession)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of a plan when the driver's objects for it are collected."""
+    spark._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2].replace('-', '_')}")  # of those with buckets
+    if path in written():
+        spark.sql(f"DROP TABLE IF EXISTS {path.rpartition('/')[2].replace('-', '_')}")  # of those with buckets
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     if path in written():
