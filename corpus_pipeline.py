@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import delete, discard, materialize, written
-from halyard.llm.jaccard import Measure, near_duplicates
+from halyard.llm.jaccard import BROADCAST_BYTES, Measure, near_duplicates
 from halyard.llm.packing import VOCABULARY, pack
 from halyard.llm.quality import judge, with_statistics
 from halyard.llm.secrets import mask_secrets
@@ -50,6 +50,8 @@ def name_of(path: str) -> str:
     return path.rpartition("/")[2]
 
 
+#: Bytes of a row of fates, in memory.
+FATE_BYTES = 48
 #: Near duplicates: shingles of five words, Jaccard similarity of 0.8 or more.
 NEAR = Measure(5, 80, 100)
 
@@ -78,7 +80,8 @@ def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     fate = rows.join(keeper, same, "left").where(F.col("stays").isNull() | (F.col("n") > 1))
     fate = materialize(fate.select(rows["doc_id"].alias("_id"), rows["text_hash"].alias("_hash"), F.coalesce("stays", F.lit(False)).alias("_stays")), "near-fate")
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumn("_h", hashed).join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    some = F.broadcast(fate) if fate.count() * FATE_BYTES <= BROADCAST_BYTES else fate
+    joined = docs.withColumn("_h", hashed).join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
     single = joined.where(F.col("_stays").isNull())
     again = joined.where(F.col("_stays")).dropDuplicates(["doc_id", "_h"])
     return single.select(*columns).unionByName(again.select(*columns))
