@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buffers, collect_garbage, delete, materialize, partitions, releasing, table, take_ranges, text_or_empty
+from .common import buffers, collect_garbage, delete, materialize, partitions, release, releasing, table, take_ranges, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 1 << 16
@@ -38,7 +38,9 @@ NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
 #: Words of a slice, as far as whole documents allow, and words that are looked up together.
-SLICE_WORDS, ASKED_WORDS = 1_000_000, 1_000_000
+SLICE_WORDS, ASKED_WORDS = 1_300_000, 1_000_000
+#: Level of compression of what lies on disk or moves.
+LEVEL = 6
 
 
 def murmur3(data: bytes) -> int:
@@ -165,6 +167,15 @@ def merged_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then the next ones, and so on, which packs better."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
 def packed_words(words: pa.Array, packer: zstandard.ZstdCompressor) -> bytes:
     data, at = buffers(words)
     return packer.compress(len(words).to_bytes(4, "little") + at.astype("<i4").tobytes() + data.tobytes())
@@ -188,7 +199,7 @@ def into_slices(buckets: int, kind: pa.DataType):
     types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(kind), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
     def slice_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=LEVEL)
         whole = pa.Table.from_batches(held).combine_chunks()
         lists = whole.column("words").chunk(0)
         at = lists.offsets.to_numpy().astype(np.int64)
@@ -201,9 +212,8 @@ def into_slices(buckets: int, kind: pa.DataType):
         place[order] = np.arange(len(order))
         common = np.argsort(-np.bincount(at_word, minlength=len(words)), kind="stable")
         often[common] = np.arange(len(order))  # codes by frequency, byte by byte, pack well too
-        planes = np.ascontiguousarray(often[at_word].astype("<i4").view(np.uint8).reshape(-1, 4).T)
         own = uuid.uuid4().int >> 65  # a written table holds it, so it is drawn once
-        rows = [(0, own, None, whole.column("doc_id").to_pylist(), packer.compress(np.diff(at).astype("<u4").tobytes()), packer.compress(place[common].astype("<i4").tobytes()), packer.compress(planes.tobytes()), None)]
+        rows = [(0, own, None, whole.column("doc_id").to_pylist(), packer.compress(np.diff(at).astype("<u4").tobytes()), packer.compress(planes(place[common])), packer.compress(planes(often[at_word])), None)]
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             rows.append((1, own, b, None, None, None, None, packed_words(words.take(pa.array(order[cuts[b] : cuts[b + 1]])), packer)))
@@ -222,6 +232,7 @@ def into_slices(buckets: int, kind: pa.DataType):
                 if end < batch.num_rows:
                     yield slice_of(held)
                     held, words = [], 0
+                    release()
                 begin = end
         if held:
             yield slice_of(held)
@@ -273,7 +284,7 @@ def distinct_words(vocabulary):
 @releasing
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of every slice's words; a partition's folded words (kind 0) come before its lists."""
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=LEVEL)
     words, lists, known, asked, size = [], [], None, [], 0
     for batch in batches:
         kinds = batch.column("kind").to_numpy()
@@ -305,7 +316,7 @@ def look_up(asked: list[tuple], known: pa.Array, at: np.ndarray, flat: np.ndarra
         mine = index[begin : begin + len(words)]
         begin += len(words)
         n = at[mine + 1] - at[mine]
-        rows.append((1, own, to, packer.compress(n.astype("<u4").tobytes()), packer.compress(flat[take_ranges(at[mine], n)].astype("<i4").tobytes())))
+        rows.append((1, own, to, packer.compress(planes(n)), packer.compress(planes(flat[take_ranges(at[mine], n)]))))
     types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["kind", "slice", "to", "counts", "codes"])
 
@@ -316,10 +327,9 @@ def assemble(vocabulary, digests: bool):
     def documents(docs: pa.Array, counts: bytes, places: bytes, codes: bytes, answers: list[dict] | None, texts: pa.Array, pieces: pa.Array) -> pa.RecordBatch:
         read = zstandard.ZstdDecompressor().decompress
         answers = sorted(answers or [], key=lambda a: a["to"])
-        n = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(read(a["counts"]), "<u4") for a in answers)]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, "<i4"), *(np.frombuffer(read(a["codes"]), "<i4") for a in answers)])
-        planes = np.frombuffer(read(codes), np.uint8).reshape(4, -1)
-        code = np.frombuffer(read(places), "<i4")[np.ascontiguousarray(planes.T).view("<i4").ravel()]
+        n = np.concatenate([np.zeros(0, "<i4"), *(from_planes(read(a["counts"])) for a in answers)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, "<i4"), *(from_planes(read(a["codes"])) for a in answers)])
+        code = from_planes(read(places))[from_planes(read(codes))]
         words = np.concatenate([[0], np.cumsum(np.frombuffer(read(counts), "<u4"), dtype=np.int64)])
         lengths = n[code]
         ids = flat[take_ranges((np.cumsum(n) - n)[code], lengths)]
@@ -338,6 +348,7 @@ def assemble(vocabulary, digests: bool):
             lists = batch.column("docs")
             for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("counts", "places", "codes", "answers")), strict=True)):
                 yield documents(lists.slice(i, 1).flatten(), *row, texts, pieces)
+                release()
 
     return releasing(run)
 
