@@ -38,7 +38,7 @@ NO_RANK = (1 << 31) - 1
 #: Bytes beyond which a word is merged by a heap.
 LONG = 256
 #: Words of a slice, as far as whole documents allow, and words that are looked up together.
-SLICE_WORDS, ASKED_WORDS = 1_300_000, 1_000_000
+SLICE_WORDS, ASKED_WORDS = 1_000_000, 1_000_000
 #: Level of compression of what lies on disk or moves.
 LEVEL = 6
 
@@ -178,14 +178,14 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 def packed_words(words: pa.Array, packer: zstandard.ZstdCompressor) -> bytes:
     data, at = buffers(words)
-    return packer.compress(len(words).to_bytes(4, "little") + at.astype("<i4").tobytes() + data.tobytes())
+    return packer.compress(len(words).to_bytes(4, "little") + planes(np.diff(at)) + data.tobytes())
 
 
 def unpacked_words(blob: bytes) -> pa.Array:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:4], "little")
-    whole = pa.py_buffer(raw)
-    return pa.Array.from_buffers(pa.string(), n, [None, whole.slice(4, 4 * n + 4), whole.slice(4 * n + 8)])
+    at = np.concatenate([[0], np.cumsum(from_planes(raw[4 : 4 * n + 4]))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(at), pa.py_buffer(raw).slice(4 * n + 4)])
 
 
 def home(words: pa.Array, buckets: int) -> np.ndarray:
