@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -35,6 +36,11 @@ SLICE = 4 << 20
 LETTER_THEN_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?]+)"
 #: The pre-tokenizer that never joins a letter with the punctuation after it, and drops white space.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What this normalizer and the pre-tokenizer's second step do to a text; words of LETTERS alone need only their last parts.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+AS_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+#: Words that are one piece to the pre-tokenizer, in composed letters that Python lower-cases like the tokenizer, one for one.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Words that the tokenizer takes as one text; it cuts at blanks, so each is encoded as if alone.
 JOINED_WORDS = 100
 #: Distinct words whose ids a Python worker remembers.
@@ -63,10 +69,29 @@ class WordIds:
         self.lowers = any(n["type"] == "Lowercase" for n in parts_of(config.get("normalizer"), "normalizers"))
         first = (parts_of(config.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
         self.by_word = first.get("pattern") == {"Regex": WORD_SPLIT} and first.get("behavior") == "Removed" and first.get("invert") is True
+        self.letters, self.last = self.without_rules(config) if self.by_word else (None, None)
         self.known: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
+    def without_rules(self, config: dict):
+        """A tokenizer of the same model that cuts at blanks alone, and which ids end a piece; nothing for other rules or models."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        rest, model = parts_of(config["pre_tokenizer"], "pretokenizers")[1:], config["model"]
+        suffix = model.get("end_of_word_suffix")
+        if parts_of(config.get("normalizer"), "normalizers") != NORMALIZERS or len(rest) != 1 or not suffix or model.get("dropout"):
+            return None, None
+        if any(rest[0].get(k) != v for k, v in AS_BYTES.items()):
+            return None, None
+        letters = Tokenizer(self.tokenizer.model)
+        letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return letters, last
+
     def forget(self) -> None:
         """Keep the words that were met again since they were learned."""
         names = list(self.known)
@@ -92,10 +117,18 @@ class WordIds:
         starts = np.fromiter(chain.from_iterable(map(itemgetter(0), e.offsets) for e in coded), np.int64, len(ids))
         return ids, np.bincount(np.searchsorted(ends, starts + np.repeat(before, counts), "right"), minlength=len(words))
 
-    def learn(self, words: list[str]) -> None:
+    def encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of LETTERS: each is one piece, so its last id tells where it ends."""
+        texts = [" ".join(words[i : i + JOINED_WORDS]).lower() for i in range(0, len(words), JOINED_WORDS)]
+        coded = self.letters.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in coded), np.int32)
+        ends = np.flatnonzero(self.last[ids])
+        return (ids, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self.encode_words(words)
+
+    def learn(self, words: list[str], encode) -> None:
         for begin in range(0, len(words), 10_000):
             some = words[begin : begin + 10_000]
-            fresh, lengths = self.encode_words(some)
+            fresh, lengths = encode(some)
             if (end := self.used + len(fresh)) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(fresh)), np.int32)])
             n = len(self.known)
@@ -121,15 +154,16 @@ class WordIds:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(lists.values.slice(bounds[0], bounds[-1] - bounds[0]))
         bounds -= bounds[0]
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > MEMORY_WORDS:
             self.forget()
         found = list(map(self.known.get, words))
         new = [k for k, i in enumerate(found) if i is None]
-        if new:
+        plain = {k for k in new if LETTERS(words[k])} if self.letters else set()
+        for some, encode in ((sorted(plain), self.encode_letters), ([k for k in new if k not in plain], self.encode_words)):
             n = len(self.known)
-            self.learn([words[k] for k in new])
-            for i, k in enumerate(new, n):
+            self.learn([words[k] for k in some], encode)
+            for i, k in enumerate(some, n):
                 found[k] = i
         index = np.array(found, np.int64)
         self.hits[index] += 1

@@ -662,6 +662,20 @@ def test_packing_places_every_id_once(spark, docs, empty):
     assert packing.pack(docs, path).groupBy().sum("length").collect()[0][0] == packing.pack(docs, path).where("start = 0").groupBy().sum("doc_tokens").collect()[0][0]
 
 
+def test_words_of_letters_skip_the_rules_of_the_tokenizer():
+    path = public_tokenizers.path(packing.VOCABULARY)
+    coder, r = packing.WordIds(path), random.Random(7)
+    plain = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàéîõüÿÀÉÎÕÜÞ", k=r.randint(1, 30))) for _ in range(3000)]
+    odd = ["don't", "'since", "H\u0331", "e\u0301t\u00e9", "\u00aa\u00ba\u00b5", "\u0130x", "a\u00d7b", "\u00f7", "x9y", "</w>", "<|endoftext|>", "a_b", "\u03a3\u03c3\u03c2", "\u1e96", "漢字"]
+    words = r.sample(plain + odd, len(plain) + len(odd))
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    slow, general = [], coder.encode_words
+    coder.encode_words = lambda some: slow.extend(some) or general(some)
+    ids, at = coder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [[*e.ids, packing.END_ID] for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert set(odd) <= set(slow) and not any(map(packing.LETTERS, slow))
+
+
 def test_windows_are_near_equal_with_many_repeated_rows(spark):
     r = random.Random(15)
     rows = [(None, "the same words again and again")] * 3000 + [(i, prose(600 + i, r.randrange(1, 120))) for i in range(600)]
