@@ -491,9 +491,10 @@ def settle_shard(parts: list[tuple], often: np.ndarray, buckets: int) -> Iterato
     number = np.full(len(text), -1, np.int32)  # of windows, in order of document and place
     windows = take_ranges(starts, counts)
     number[windows] = np.arange(len(windows))
-    array = array[number[array] >= 0]
-    head = prefix[array] < SPAN
-    head[0] = True
+    kind = np.cumsum(prefix[array] < SPAN)  # over all suffixes: one that begins at an end's number may lie first among equal windows
+    array, kind = array[number[array] >= 0], kind[number[array] >= 0]
+    head = np.ones(len(array), bool)
+    head[1:] = kind[1:] != kind[:-1]
     mine = number[array]
     lead = np.minimum.reduceat(mine, np.flatnonzero(head))[np.cumsum(head) - 1]
     block = np.repeat(np.arange(len(counts)), counts)

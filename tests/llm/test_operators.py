@@ -176,6 +176,15 @@ def test_windows_are_merged_across_shards(monkeypatch, hot, lists):
         assert (gone == masks[(i, 0)]).all(), i
 
 
+def test_numbers_of_blocks_are_not_taken_for_text(monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 64)  # block 97 is numbered "a", block 98 "b"
+    texts = ["ab" * 4000, "cde" + "ba" * 3900]
+    spans, _ = suffixes_by_hand(texts, False)
+    masks = removed_by_brute_force([((i, 0), t) for i, t in enumerate(texts)])
+    for i, t in enumerate(texts):
+        assert (suffixes.covered(len(t), spans[i]) == masks[(i, 0)]).all(), i
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(1)
     for size, letters in ((1, 2), (7, 1), (50, 1), (400, 2), (700, 4)):
