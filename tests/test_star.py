@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from halyard.functions import dialect
+from halyard.operators import reorder
 from halyard.operators.joins import or_key_join
 from halyard.operators.ordering import top
 from halyard.operators.windows import row_number, running_sum
@@ -87,6 +88,30 @@ def test_or_joins_of_texts_are_no_nested_loops(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Union" in plan
 
 
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["sql_join_using", "sql_join_natural", "sql_join_right"])
+@pytest.mark.parametrize("rows", [64 << 20, 0])
+def test_joins_on_few_keys_are_dealt_evenly(spark, duck, monkeypatch, name, rows):
+    monkeypatch.setattr(reorder, "SMALL_ROWS", rows)
+    monkeypatch.setattr(reorder, "TILE", 3)
+    df = texts.queries()[name](spark, DATA)
+    assert ("Repartition 96" if rows else "explode") in _optimized(df)
+    same_rows(df, duck, texts.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("side", ["LEFT", "RIGHT"])
+def test_outer_joins_on_few_keys_keep_rows_without_partner(spark, side):
+    left = spark.sql("SELECT * FROM VALUES (1, 'a'), (1, 'a'), (2, 'b'), (NULL, 'c'), (4, 'd') AS t(k, v)")
+    right = spark.sql("SELECT * FROM VALUES (1, 7), (1, 8), (2, 7), (NULL, 9), (5, 1) AS t(j, w)")
+    plain = left.join(right, F.col("k") == F.col("j"), side.lower())
+    dealt = reorder.changed(plain, reorder.deal_evenly)
+    assert dealt is not plain and dealt.schema == plain.schema and dealt.columns == plain.columns
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_dialect(spark):
     e = Engine(spark, DATA)
     value = lambda text: e.sql(text).collect()[0][0]
