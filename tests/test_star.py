@@ -112,6 +112,31 @@ def test_outer_joins_on_few_keys_keep_rows_without_partner(spark, side):
     assert sorted(map(repr, dealt.collect())) == sorted(map(repr, plain.collect()))
 
 
+@pytest.mark.parametrize("name", ["sql_alias_01_self_join_customer_nation", "sql_mht_01_non_unique_join_city", "sql_join_null_keys"])
+def test_pairs_of_few_keys_are_counted_before_the_join(spark, duck, name):
+    df = texts.queries()[name](spark, DATA)
+    plan = _optimized(df)
+    assert plan.count("Aggregate") == 3 and "count(1)" in plan.split("Join Inner", 1)[1]
+    same_rows(df, duck, texts.oracle_sql()[name])
+
+
+def test_counts_before_joins_keep_nulls_names_and_empty_results(spark):
+    one = "(SELECT * FROM VALUES (1, 'x'), (1, NULL), (1, NULL), (2, 'y'), (NULL, 'z') AS t(k, g))"
+    two = "(SELECT * FROM VALUES (1, 3), (1, 3), (2, 4), (NULL, 5) AS t(j, h))"
+    for text in (
+        f"SELECT h, count(*) AS many, g, count(1) AS again FROM {one} JOIN {two} ON k = j GROUP BY g, h",
+        f"SELECT count(*) AS n FROM {one} JOIN {two} ON k + 10 = j",
+        f"SELECT g, count(*) AS n FROM {one} JOIN {two} ON k = j AND k + 2 = h GROUP BY g ORDER BY n DESC, g",
+    ):
+        plain = spark.sql(text)
+        counted = reorder.changed(plain, reorder.count_before_join)
+        assert counted is not plain and counted.schema == plain.schema
+        assert sorted(map(repr, counted.collect())) == sorted(map(repr, plain.collect()))
+    for text in (f"SELECT count(g) AS n FROM {one} JOIN {two} ON k = j", f"SELECT count(*) AS n FROM {one} JOIN {two} ON k = j AND k < h", f"SELECT g, max(h) AS n FROM {one} JOIN {two} ON k = j GROUP BY g"):
+        plain = spark.sql(text)
+        assert reorder.changed(plain, reorder.count_before_join) is plain
+
+
 def test_dialect(spark):
     e = Engine(spark, DATA)
     value = lambda text: e.sql(text).collect()[0][0]
