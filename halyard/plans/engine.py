@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from halyard.functions import dialect
 from halyard.functions.dialect import QueryError
 from halyard.operators.joins import split_or_joins
-from halyard.operators.reorder import changed, count_before_join, deal_evenly
+from halyard.operators.reorder import changed, count_before_join, deal_evenly, move_down
 from halyard.sources.star import Star
 
 _UNITS = {"": 1, "b": 1, "kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30}
@@ -118,7 +118,7 @@ class Engine:
         text = dialect.nulls_last(dialect.case_when(found[-1]))
         text = dialect.whole_division(text, lambda t: self.spark.sql(t)._jdf.queryExecution().analyzed())
         df = split_or_joins(self.spark.sql(text))
-        for change in (count_before_join, deal_evenly):
+        for change in (count_before_join, move_down, deal_evenly):
             df = changed(df, change)
         names = [c.lower() for c in df.columns]
         if twice := {c for c in names if names.count(c) > 1}:

@@ -137,6 +137,27 @@ def test_counts_before_joins_keep_nulls_names_and_empty_results(spark):
         assert reorder.changed(plain, reorder.count_before_join) is plain
 
 
+@pytest.mark.parametrize("name", ["proj_join_02_star_customer", "stress_01_wide_star_customer", "stress_02_wide_star_customer_supplier"])
+@pytest.mark.parametrize("rows", [64 << 20, 0])
+def test_customers_meet_orders_before_lines(spark, duck, monkeypatch, name, rows):
+    monkeypatch.setattr(reorder, "SMALL_ROWS", rows)
+    for df in (catalogue.queries()[name](spark, DATA), texts.queries()[f"sql_{name}"](spark, DATA)):
+        joins = [line.strip(" :+-") for line in _optimized(df).splitlines() if "Join Inner" in line]
+        orders = next(i for i, line in enumerate(joins) if "l_orderkey" in line)
+        assert "o_custkey" in joins[orders + 1] and not any("custkey" in line for line in joins[:orders])
+        assert "p_partkey" in joins[0]  # parts come last, to the lines that are left
+        same_rows(df, duck, catalogue.oracle_sql()[name])
+
+
+def test_joins_are_moved_below_filters_and_names(spark):
+    lines, orders = "(SELECT id AS l, id % 7 AS o FROM range(100))", "(SELECT id AS ok, nullif(id % 3, 2) AS c FROM range(9))"
+    customers = "(SELECT * FROM VALUES (0L, 'x'), (0L, 'y'), (1L, 'z'), (NULL, 'n') AS t(c_custkey, name))"
+    plain = spark.sql(f"SELECT name, l, c2 FROM (SELECT l, ok, c AS c2 FROM {lines} JOIN {orders} ON o = ok WHERE l % 5 <> ok) JOIN {customers} ON c2 = c_custkey AND l > length(name)")
+    moved = reorder.changed(plain, reorder.move_down)
+    assert moved is not plain and moved.schema == plain.schema
+    assert sorted(map(repr, moved.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_dialect(spark):
     e = Engine(spark, DATA)
     value = lambda text: e.sql(text).collect()[0][0]
