@@ -12,7 +12,7 @@ from halyard.operators.ordering import top
 from halyard.operators.windows import row_number, running_sum
 from halyard.plans import catalogue, texts
 from halyard.plans.engine import Config, Engine, QueryError, Shell, parse_size, statements
-from halyard.sources import formats, loader
+from halyard.sources import formats, loader, star
 from halyard.sources.star import Star
 
 
@@ -149,6 +149,16 @@ def test_customers_meet_orders_before_lines(spark, duck, monkeypatch, name, rows
         same_rows(df, duck, catalogue.oracle_sql()[name])
 
 
+def test_large_lines_meet_orders_and_parts_in_parts_of_their_size(spark, duck, monkeypatch):
+    monkeypatch.setattr(star, "PART_BYTES", 1 << 12)
+    for name in ("mht_02_or_join_dedup", "sql_mht_02_or_join_dedup", "sql_join_or_keys", "sql_stress_01_wide_star_customer", "stress_02_wide_star_customer_supplier"):
+        found = catalogue.queries() | texts.queries()
+        df = found[name](spark, DATA)
+        parts = -(-star._bytes(Star(spark, DATA).table("lineitem")) // (1 << 12))
+        assert "RepartitionByExpression [l_orderkey" in _optimized(df) and f"], {parts}" in _optimized(df)
+        same_rows(df, duck, (catalogue.oracle_sql() | texts.oracle_sql())[name])
+
+
 def test_joins_are_moved_below_filters_and_names(spark):
     lines, orders = "(SELECT id AS l, id % 7 AS o FROM range(100))", "(SELECT id AS ok, nullif(id % 3, 2) AS c FROM range(9))"
     customers = "(SELECT * FROM VALUES (0L, 'x'), (0L, 'y'), (1L, 'z'), (NULL, 'n') AS t(c_custkey, name))"
